@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import lookalikes, mixing, tokenizer
+from pitchlake.llm import canonical, lookalikes, mixing, tokenizer
 from pitchlake.plans.registry import QUERIES, query
 from pitchlake.session import materialize, table
 
@@ -14,6 +14,18 @@ _P7_SQL = " UNION ALL ".join(
 )
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Province or position of each typed birthplace and position; the two lists are small tables of fixed size."""
+    places = canonical.place_canonicalizer(table(spark, sf, "provinces_reference").collect())
+    positions = canonical.position_canonicalizer(table(spark, sf, "positions_reference").collect())
+    typed = table(spark, sf, "player_parsed").select("wiki_id", "place_of_birth", "position")
+    parts = []
+    for name, own in (("place_of_birth", places), ("position", positions)):
+        values = typed.select("wiki_id", F.col(name).alias("value")).filter("value is not null").distinct()
+        parts.append(values.select("wiki_id", F.lit(name).alias("field"), canonical.to_canonical(F.col("value"), own).alias("target")))
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of entity and relation that aren't in plain form."""
     parts = []
@@ -49,6 +61,7 @@ def load() -> None:
     """Register the queries."""
     if "p8_ids" in QUERIES:
         return
+    query("p2_found")(p2_found)
     query("p7_found", _P7_SQL)(p7_found)
     query("p8_ids")(p8_ids)
     query("p9_mix")(p9_mix)
