@@ -68,14 +68,25 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def ready_sql(column: str) -> str:
+    """DuckDB expression: a text is plain by its characters alone."""
+    sign = f"[!-~–—’‘“”…{alphabet()}]"
+    return f"regexp_full_match({column}, {_quoted(f'(?:{sign}+(?: {sign}+)*)?')})"
+
+
 def plain_sql(column: str) -> str:
-    """DuckDB expression for the plain form of a text column. Null stays null, an empty text empty."""
+    """DuckDB expression for the plain form of a text column. Null stays null, an empty text empty.
+
+    A text of single-spaced letters of the alphabet, ASCII signs and common punctuation is its own plain form, which one
+    pass of a regular expression tells; only the others take the steps.
+    """
     width, letters = width_table(), letter_table()
     s = f"translate(nfc_normalize({column}), {_quoted(width[0])}, {_quoted(width[1])})"
     s = f"regexp_replace({s}, {_quoted(INVISIBLE)}, '', 'g')"
     s = f"nfc_normalize(trim(regexp_replace({s}, {_quoted(SPACES + '+')}, ' ', 'g')))"
     latin = f"regexp_replace(nfc_normalize(translate(x, {_quoted(letters[0])}, {_quoted(letters[1])})), '[\\x{{300}}-\\x{{36f}}]', '', 'g')"
-    return f"list_transform([{s}], lambda x: CASE WHEN regexp_matches(x, '\\p{{Latin}}') THEN {latin} ELSE x END)[1]"
+    mapped = f"list_transform([{s}], lambda x: CASE WHEN regexp_matches(x, '\\p{{Latin}}') THEN {latin} ELSE x END)[1]"
+    return f"CASE WHEN {ready_sql(column)} THEN {column} ELSE {mapped} END"
 
 
 def strange_sql(plain: str) -> str:
@@ -86,7 +97,7 @@ def strange_sql(plain: str) -> str:
 def variant_sql(source: str, key: str, columns: list[str]) -> str:
     """DuckDB statement: (key, field) of the cells of ``columns`` that aren't in plain form."""
     parts = [
-        f"SELECT {key}, '{c}' AS field FROM (SELECT {key}, {c}, {plain_sql(c)} AS plain FROM {source} WHERE {c} IS NOT NULL) WHERE plain <> {c} OR {strange_sql('plain')}"
+        f"SELECT {key}, '{c}' AS field FROM (SELECT {key}, {c}, {plain_sql(c)} AS plain FROM {source} WHERE {c} IS NOT NULL AND NOT {ready_sql(c)}) WHERE plain <> {c} OR {strange_sql('plain')}"
         for c in columns
     ]
     return " UNION ALL ".join(parts)
