@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import canonical, lookalikes, mixing, tokenizer
+from pitchlake.llm import canonical, lookalikes, matching, mixing, tokenizer
 from pitchlake.plans.registry import QUERIES, query
 from pitchlake.session import materialize, table
 
@@ -26,6 +26,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def p3_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Player of each relation without a subject id, with the rule that found them and its confidence."""
+    return matching.match_subjects(table(spark, sf, "relation"), table(spark, sf, "entity"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Player of each relation without a subject id."""
+    return p3_matches(spark, sf).select("relation_id", "wiki_id").distinct()
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of entity and relation that aren't in plain form."""
     parts = []
@@ -62,6 +72,8 @@ def load() -> None:
     if "p8_ids" in QUERIES:
         return
     query("p2_found")(p2_found)
+    query("p3_found")(p3_found)
+    query("p3_matches")(p3_matches)
     query("p7_found", _P7_SQL)(p7_found)
     query("p8_ids")(p8_ids)
     query("p9_mix")(p9_mix)
