@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import canonical, lookalikes, matching, mixing, tokenizer
+from pitchlake.llm import canonical, lookalikes, matching, mixing, tokenizer, variants
 from pitchlake.plans.registry import QUERIES, query
 from pitchlake.session import materialize, table
 
@@ -36,6 +36,24 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_matches(spark, sf).select("relation_id", "wiki_id").distinct()
 
 
+def _resolved(spark: SparkSession, sf: str) -> DataFrame:
+    clubs = table(spark, sf, "club_parsed")
+    names = table(spark, sf, "teammate").select(F.lit("club_name").alias("field"), F.col("club_name").alias("name"))
+    for field in ("chairman", "manager"):
+        names = names.unionByName(clubs.select(F.lit(field).alias("field"), F.col(field).alias("name")))
+    return variants.resolve(names, {"club_name": False, "chairman": True, "manager": True})
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of spellings of one club or person within a field."""
+    return variants.linked_pairs(_resolved(spark, sf))
+
+
+def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity of each different spelling of a field."""
+    return _resolved(spark, sf)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of entity and relation that aren't in plain form."""
     parts = []
@@ -74,6 +92,8 @@ def load() -> None:
     query("p2_found")(p2_found)
     query("p3_found")(p3_found)
     query("p3_matches")(p3_matches)
+    query("p5_found")(p5_found)
+    query("p5_entities")(p5_entities)
     query("p7_found", _P7_SQL)(p7_found)
     query("p8_ids")(p8_ids)
     query("p9_mix")(p9_mix)
