@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchlake.llm.lookalikes import alphabet
-from pitchlake.llm.names import club_core, edits, fold, plain_name
+from pitchlake.llm.names import bare, club_core, edits, fold, plain_name
 from pitchlake.session import materialize
 
 # Words before a name that aren't part of it, folded; patterns of what a sentence says of its subject.
-TITLES = ("anh", "chi", "ong", "ba", "mr", "mrs", "ms", "cau thu", "player", "tien dao", "tien ve", "hau ve", "thu mon", "trung ve", "captain", "doi truong", "cuu cau thu", "striker", "midfielder", "defender", "goalkeeper", "hlv", "coach")
+TITLES = frozenset({"anh", "chi", "ong", "ba", "mr", "mrs", "ms", "cau thu", "player", "tien dao", "tien ve", "hau ve", "thu mon", "trung ve", "captain", "doi truong", "cuu cau thu", "striker", "midfielder", "defender", "goalkeeper", "hlv", "coach"})
 _CAPS = rf"[{''.join(c for c in alphabet() if c.isupper())}][\w'’]*"
 YEAR = re.compile(r"(?:sinh năm|sinh|\bSN|born in|born|\bb\.|lứa)\s*((?:19|20)\d\d)\b|\(((?:19|20)\d\d)\)", re.IGNORECASE)
 CLUB = re.compile(rf"\b(?:khoác áo|hiện chơi cho|chơi cho|bên phía|thuộc biên chế|của|from|playing for)\s+((?:CLB|Câu lạc bộ|Đội bóng)?(?:\s*{_CAPS})+)")
@@ -41,16 +41,14 @@ MOST_EDITS = 2
 
 def name_forms(text: str, typed: bool) -> dict[str, set[str]]:
     """Keys of a name by form. ``typed`` names may be short, abbreviated or reordered; others are whole names."""
-    marked = plain_name(text)
-    words = marked.split()
+    words = plain_name(text).split()
+    plain = [bare(w) for w in words]
     while len(words) > 2:
-        title = next((t for t in TITLES if fold(" ".join(words)).startswith(t + " ") and len(words) - len(t.split()) >= 2), None)
-        if title is None:
+        n = next((n for n in (3, 2, 1) if len(words) - n >= 2 and " ".join(plain[:n]) in TITLES), 0)
+        if n == 0:
             break
-        words = words[len(title.split()) :]
-    marked = " ".join(words)
-    folded = fold(marked)
-    plain = folded.split()
+        words, plain = words[n:], plain[n:]
+    marked, folded = " ".join(words), " ".join(plain)
     out: dict[str, set[str]] = {"marked": {marked}, "folded": {folded}, "order": {" ".join(sorted(plain))}}
     if len(plain) > 2 and not any(len(w) == 1 for w in plain):
         out["typo"] = {" ".join([*plain[:i], "_", *plain[i + 1 :]]) for i in range(len(plain))}

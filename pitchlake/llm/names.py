@@ -12,12 +12,19 @@ _MARKS = re.compile("[̀-ͯ]")
 
 def tidy(s: str) -> str:
     """Composed lower-case text with punctuation as single spaces; marks stay."""
-    return _APART.sub(" ", unicodedata.normalize("NFC", unicodedata.normalize("NFKC", s).lower().replace("ð", "đ"))).strip()
+    if not s.isascii():
+        s = unicodedata.normalize("NFKC", s).lower().replace("ð", "đ")
+    return _APART.sub(" ", unicodedata.normalize("NFC", s.lower())).strip()
+
+
+def bare(s: str) -> str:
+    """A tidy text without marks, đ as d."""
+    return s if s.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", s)).replace("đ", "d")
 
 
 def fold(s: str) -> str:
     """``tidy`` without marks, đ as d."""
-    return _MARKS.sub("", unicodedata.normalize("NFD", tidy(s))).replace("đ", "d")
+    return bare(tidy(s))
 
 
 def edits(a: str, b: str, most: int = 2) -> int:
@@ -60,9 +67,10 @@ def plain_name(s: str) -> str:
         from pitchlake.llm.lookalikes import INVISIBLE, letter_table
 
         _LETTERS = (str.maketrans(*letter_table()), re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", INVISIBLE)))
-    s = _LETTERS[1].sub("", unicodedata.normalize("NFKC", s))
-    if not s.isascii() and _ASCII_LETTER.search(s):
-        s = s.translate(_LETTERS[0])
+    if not s.isascii():
+        s = _LETTERS[1].sub("", unicodedata.normalize("NFKC", s))
+        if _ASCII_LETTER.search(s):
+            s = s.translate(_LETTERS[0])
     return tidy(s)
 
 
@@ -76,4 +84,4 @@ _CLUB = re.compile(r"\b(?:" + "|".join(CLUB_WORDS) + r")\b")
 
 def club_core(s: str) -> str:
     """Folded name of a club without the words that every club may bear; a side marked B keeps its b."""
-    return " ".join(_CLUB.sub(" ", fold(plain_name(s))).split())
+    return " ".join(_CLUB.sub(" ", bare(plain_name(s))).split())
