@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import canonical, lookalikes, matching, mixing, tokenizer, variants
+from pitchlake.llm import canonical, lookalikes, matching, mixing, privacy, tokenizer, variants
 from pitchlake.plans.registry import QUERIES, query
 from pitchlake.session import materialize, table
 
@@ -85,6 +85,26 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(_mixed(spark, sf), table(spark, sf, "mix_targets"))
 
 
+def _public(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of the persons who are public: players, coaches and officials of the tables."""
+    out = None
+    for name, columns in (("player_parsed", ["name", "full_name"]), ("coach_parsed", ["name", "full_name"]), ("club_parsed", ["chairman", "manager"]), ("national_team_parsed", ["manager"])):
+        for c in columns:
+            own = table(spark, sf, name).select(F.col(c).alias("name")).filter("name IS NOT NULL")
+            out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal information of private persons in each document."""
+    return privacy.personal_information(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", _public(spark, sf))
+
+
+def p10_sanitised(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's text with placeholders for the personal information in it."""
+    return privacy.sanitise(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", p10_found(spark, sf))
+
+
 def load() -> None:
     """Register the queries."""
     if "p8_ids" in QUERIES:
@@ -98,3 +118,5 @@ def load() -> None:
     query("p8_ids")(p8_ids)
     query("p9_mix")(p9_mix)
     query("p9_shares")(p9_shares)
+    query("p10_found")(p10_found)
+    query("p10_sanitised")(p10_sanitised)
