@@ -1 +1 @@
-
+"""Column expressions: cleaning, parsing and classification of text, numbers and dates."""
