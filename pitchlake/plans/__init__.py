@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries.
-MODULES = ("training_data", "projections", "edges", "stats")
+MODULES = ("training_data", "projections", "edges", "stats", "graph")
 
 
 def load() -> None:
