@@ -26,12 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: cuts lineage and survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back, for results used several times."""
     spark = df.sparkSession
@@ -40,16 +34,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table ``name`` of a data folder."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a step of a loop: a table in the shared folder, which survives the loss of executors.
 
+    A written table also forgets the constraints that the optimiser inferred; over many steps with self-joins these grow
+    faster than the data.
+    """
+    return materialize(df, "step")
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Raise the number of partitions of a CPU-heavy stage whose input has few splits; larger inputs stay as they are.
 
-    The round-robin shuffle is only added where the scan would leave cores idle, so it never touches large inputs.
-    """
-    spark = df.sparkSession
-    least = least or spark.sparkContext.defaultParallelism
-    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet table ``name`` of a data folder."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
