@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries.
-MODULES = ("training_data", "projections", "edges", "stats", "graph")
+MODULES = ("training_data", "projections", "edges", "stats", "graph", "text", "sources")
 
 
 def load() -> None:

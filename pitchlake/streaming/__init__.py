@@ -1 +1 @@
-
+"""Structured Streaming: incremental ingestion and keyed interval maps."""
