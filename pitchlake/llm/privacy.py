@@ -16,9 +16,11 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchlake.llm.names import bare, tidy
 from pitchlake.llm.variants import read_person
@@ -148,12 +150,13 @@ def name_terms(text: str, surnames: frozenset[str], middles: frozenset[str]) ->
 
 
 def _rows(text: str, surnames: frozenset[str], middles: frozenset[str]) -> list[tuple]:
-    """(type, text, whole, marked key, contexts) of what a text holds."""
+    """(type, text, whole, words with marks, words without, contexts) of what a text holds."""
     spans = direct_identifiers(text)
-    out = [(kind, text[s:e], True, None, None) for s, e, kind in spans]
+    out = [(kind, text[s:e], True, None, None, None) for s, e, kind in spans]
     for s, e, whole in name_terms(text, surnames, middles):
         if not any(a < e and s < b for a, b, _ in spans):
-            out.append(("name", text[s:e], whole, tidy(text[s:e]), _context(text, s, e)))
+            words = sorted(tidy(text[s:e]).split())
+            out.append(("name", text[s:e], whole, " ".join(words), " ".join(sorted(bare(w) for w in words)), _context(text, s, e)))
     return out
 
 
@@ -166,27 +169,29 @@ def common_words(names: DataFrame, at: int, least_words: int, share: int = 200)
     return frozenset(own | {f"~{bare(w)}" for w in own})
 
 
-def public_keys(names: DataFrame) -> DataFrame:
-    """(key): the names of public persons, in their words with marks and without, sorted as parts are reordered."""
+_NAME_KEYS = T.StructType([T.StructField("marked", T.StringType()), T.StructField("plain", T.StringType()), T.StructField("marks", T.BooleanType())])
 
-    @F.pandas_udf("array<string>")
-    def keys(s):
-        import pandas as pd
 
-        from pitchlake.llm.privacy import name_keys
+def name_keys(name: str) -> tuple[str, str, bool]:
+    """(words with marks, words without, has marks) of a public person's name without titles, sorted as parts are reordered."""
+    _, words, _, _, _, _ = read_person(name)
+    words = sorted(words.split())
+    plain = [bare(w) for w in words]
+    return " ".join(words), " ".join(sorted(plain)), words != plain
 
-        return pd.Series([name_keys(x) for x in s])
 
-    return names.filter("name IS NOT NULL").select(F.explode(keys("name")).alias("k")).select(F.xxhash64("k").alias("key")).distinct()
+@F.pandas_udf(_NAME_KEYS)
+def _name_keys(names: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([name_keys(n) for n in names], columns=["marked", "plain", "marks"])
 
 
-def name_keys(name: str) -> list[str]:
-    """Keys of a public person's name: its words with marks, and without."""
-    kind, words, folded, _, _, _ = read_person(name)
-    return [words, folded] if kind == "full" else [" ".join(sorted(words.split()))]
+def public_keys(names: DataFrame) -> DataFrame:
+    """(plain_key, marked_keys, bare): the public names by their words without marks; ``bare`` where one is listed without any."""
+    k = names.filter("name IS NOT NULL").select(_name_keys("name").alias("k")).select("k.*").distinct()
+    return k.groupBy(F.xxhash64("plain").alias("plain_key")).agg(F.collect_set(F.xxhash64("marked")).alias("marked_keys"), F.max(~F.col("marks")).alias("bare"))
 
 
-_CANDIDATE = "type string, text string, whole boolean, key string, contexts array<string>"
+_CANDIDATE = "type string, text string, whole boolean, marked string, plain string, contexts array<string>"
 
 
 def candidates(df: DataFrame, key: str, text: str, surnames: frozenset[str], middles: frozenset[str]) -> DataFrame:
@@ -203,9 +208,9 @@ def candidates(df: DataFrame, key: str, text: str, surnames: frozenset[str], mid
                     found = _rows(t, surnames, middles)
                     rows += found
                     at += [i] * len(found)
-            cols = list(zip(*rows)) if rows else [[], [], [], [], []]
-            arrays = [b.column(0).take(pa.array(at, pa.int32())), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[key, "type", "text", "whole", "key", "contexts"])
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            arrays = [b.column(0).take(pa.array(at, pa.int32())), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[key, "type", "text", "whole", "marked", "plain", "contexts"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {_CANDIDATE}")
 
@@ -213,7 +218,7 @@ def candidates(df: DataFrame, key: str, text: str, surnames: frozenset[str], mid
 #: Bits of information on a private person, and share of private names, from which a context removes a name.
 THRESHOLD_BITS, THRESHOLD_SHARE = 1.0, 0.5
 #: Names as common as the corpus's that each context is counted with, so that few cases decide little.
-SMOOTHING = 2
+SMOOTHING = 1
 
 
 def personal_information(df: DataFrame, key: str, text: str, public: DataFrame) -> DataFrame:
@@ -225,9 +230,11 @@ def personal_information(df: DataFrame, key: str, text: str, public: DataFrame)
     surnames, middles = common_words(people, 0, 3), common_words(people, 1, 4)
     found = materialize(candidates(df, key, text, surnames, middles), "p10-candidates")
     direct = found.filter("type <> 'name'").select(key, F.col("type").alias("pii_type"), F.col("text").alias("pii_text"))
-    names = found.filter("type = 'name'").withColumn("hash", F.xxhash64(F.array_join(F.array_sort(F.split("key", " ")), " ")))
-    listed = public_keys(people).withColumn("public", F.lit(1)).withColumnRenamed("key", "hash")
-    terms = materialize(names.join(listed, "hash", "left").withColumn("private", F.col("whole") & F.col("public").isNull()).select(key, "text", "contexts", "private", "whole"), "p10-names")
+    names = found.filter("type = 'name'").select(key, "text", "whole", "contexts", F.xxhash64("marked").alias("marked_key"), F.xxhash64("plain").alias("plain_key"))
+    # a name is listed as it stands; written without marks, or where the list has it without, by its letters alone
+    listed = F.col("bare") | F.array_contains("marked_keys", F.col("marked_key")) | (F.col("marked_key") == F.col("plain_key"))
+    terms = names.join(public_keys(people), "plain_key", "left").withColumn("private", F.col("whole") & ~F.coalesce(listed, F.lit(False)))
+    terms = materialize(terms.select(key, "text", "contexts", "private", "whole"), "p10-names")
     one, private, whole = F.lit(1), F.col("private").cast("int"), F.col("whole").cast("int")
     contexts = terms.select(F.explode("contexts").alias("context"), private.alias("private"), whole.alias("whole"), one.alias("n"))
     contexts = contexts.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("private", "whole", "n")]).filter("private > 0")
@@ -247,8 +254,6 @@ def sanitise(df: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def replace(texts, pieces):
-        import pandas as pd
-
         out = []
         for t, ps in zip(texts, pieces):
             if t is not None and ps is not None and len(ps):

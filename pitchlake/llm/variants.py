@@ -229,6 +229,16 @@ def _fold(s: pd.Series) -> pd.Series:
     return s.map(fold)
 
 
+def settled(links: DataFrame) -> DataFrame:
+    """Links (entity, target) that may merge at once: the target stays where it is.
+
+    A link to an entity that moves itself waits for the next round; of two entities that link to each other the greater moves.
+    So every round lowers the number of entities and the rounds end.
+    """
+    onward = links.select(F.col("entity").alias("target"), F.col("target").alias("onward"))
+    return links.join(onward, "target", "left").filter("onward IS NULL OR (onward = entity AND entity > target)").select("entity", "target")
+
+
 RULES = ("marks", "typing", "short", "initials", "given")
 
 
@@ -252,7 +262,7 @@ def resolve(names: DataFrame, persons: dict[str, bool]) -> DataFrame:
         for rule in RULES:
             if seen[rule] == merges:
                 continue
-            links = materialize(_links(records, words, rule), f"p5-links-{rule}")
+            links = settled(materialize(_links(records, words, rule), f"p5-links-{rule}"))
             seen[rule] = merges
             if not links.isEmpty():
                 merges += 1

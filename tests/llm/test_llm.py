@@ -162,6 +162,24 @@ def test_variants(spark):
     assert variants.resolve(df.limit(0).select("field", "name"), {"club_name": False, "chairman": True}).count() == 0
 
 
+def test_merges_settle(spark):
+    links = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (4, 5), (6, 5), (7, 8), (8, 9), (9, 7)], "entity long, target long")
+    assert {tuple(r) for r in variants.settled(links).collect()} == {(2, 1), (4, 5), (6, 5)}
+    # two clusters that each hold a short and a whole form of the other still end
+    rows = [("chairman", n) for n in ("Quảnh Rửu Thúc Toành", "Quảnh Thúc Toành", "Quảnh Rửu Lây Khoi", "Quảnh Lây Khoi", "Quảnh Lây Khoi Rửu")]
+    found = variants.resolve(spark.createDataFrame(rows, "field string, name string"), {"chairman": True})
+    assert found.count() == 5 and found.select("entity").distinct().count() == 2
+
+
+def test_personal_names_listed_without_marks(spark):
+    public = [("Luong Tuy An Binh",)] + [(f"Lường Tuy Kề Cận{c}",) for c in "abcdefgh"]
+    docs = [(1, "Ký tên: Lường Tuy An Bình, đội trưởng."), (2, "Ký tên: LUONG TUY AN BINH."), (3, "Ký tên: Lường Tuy Xa Lạ."), (4, "Ký tên: Lường Tuy Ke Can.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = privacy.personal_information(df, "doc_id", "text", spark.createDataFrame(public, "name string"))
+    assert {r.doc_id for r in found.filter("pii_type = 'name'").collect()} <= {3, 4}
+    assert privacy.name_keys("Ông Lường Tuy An Bình") == ("an bình lường tuy", "an binh luong tuy", True)
+
+
 def test_mix(spark):
     rows = [(i, "a" if i % 3 else "b", 10 + i % 7) for i in range(3000)] + [(9001, None, 5), (9002, "a", 0), (9003, "z", 7), (9003, "z", 7)]
     df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
