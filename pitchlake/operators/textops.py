@@ -67,3 +67,36 @@ def dictionary_mentions(df: DataFrame, key: str, text: str, names: DataFrame, na
     starts = df.filter(F.col(text).isNotNull()).select(key, words.alias("_w")).select(key, "_w", F.posexplode("_w").alias("_at", "_first"))
     starts = starts.join(entries.select("_first").distinct(), "_first", "left_semi").select(key, F.explode(runs).alias("_r"))
     return starts.join(entries, "_r").select(key, ident).distinct()
+
+
+def without_sections(text: Column, excluded: list[str]) -> Column:
+    """A wiki text without the sections whose folded heading is listed, up to the next heading of the same or a higher level.
+
+    One pass over the lines by an aggregate: the state is the level of the section being dropped, 0 outside of one.
+    """
+    lines = F.split(text, "\n")
+    start = F.struct(F.lit(0).alias("level"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, line: Column) -> Column:
+        marks = F.length(F.regexp_extract(line, r"^(={2,6})[^=]", 1))
+        title = F.lower(F.trim(F.regexp_extract(line, r"^={2,6}\s*([^=]*?)\s*={2,6}\s*$", 1)))
+        listed = F.exists(F.array(*[F.lit(e) for e in excluded]), lambda e: title == e)
+        heading = marks > 0
+        open_level = F.when(heading & (acc["level"] > 0) & (marks > acc["level"]), acc["level"]).when(heading & listed, marks).when(heading, 0).otherwise(acc["level"])
+        return F.struct(open_level.alias("level"), F.when(open_level > 0, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(line))).alias("kept"))
+
+    return F.aggregate(lines, start, step, lambda acc: F.array_join(acc["kept"], "\n"))
+
+
+def pattern_relations(df: DataFrame, key: str, text: str, rules: list[tuple[str, str, bool, float]], name: str) -> DataFrame:
+    """(key, predicate, subject, object, confidence): the first match of each rule in a text.
+
+    A rule is (verb, predicate, reversed, confidence); a match is a name, the verb, a name. Reversed rules swap the two.
+    """
+    found = []
+    for verb, predicate, swapped, confidence in rules:
+        pattern = f"({name}) {verb} ({name})"
+        a, b = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+        subject, target = (b, a) if swapped else (a, b)
+        found.append(F.struct(F.lit(predicate).alias("predicate"), subject.alias("subject"), target.alias("object"), F.lit(confidence).alias("confidence")))
+    return df.filter(F.col(text).isNotNull()).select(key, F.inline(F.array(*found))).filter("subject <> ''")

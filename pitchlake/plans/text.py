@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pitchlake.functions.text import UPPER
 from pitchlake.operators import stats, textops
 from pitchlake.plans.registry import query
 from pitchlake.session import table
@@ -120,6 +121,29 @@ def import_queues(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "entity").groupBy(queue.alias("queue")).agg(F.count("*").alias("n"))
 
 
+NAME = f"[{UPPER}][^ .,]*(?: [{UPPER}][^ .,]*)*"
+#: (verb, predicate, swapped, confidence) of the relations that patterns find.
+RULES = [
+    ("đã thi đấu cho", "PLAYED_FOR", False, 0.9), ("chuyển sang", "TRANSFERRED_TO", False, 0.85), ("ký hợp đồng với", "SIGNED_WITH", False, 0.85),
+    ("đeo băng đội trưởng", "CAPTAINED", False, 0.9), ("ghi bàn vào lưới", "SCORED_AGAINST", False, 0.8), ("scored against", "CONCEDED_FROM", True, 0.8),
+]
+RULES_SQL = " UNION ALL ".join(
+    f"SELECT relation_id, '{p}' AS predicate, regexp_extract(context, '({NAME}) {v} ({NAME})', {2 if r else 1}) AS subject, regexp_extract(context, '({NAME}) {v} ({NAME})', {1 if r else 2}) AS object, object_type, {c}::DOUBLE AS c FROM relation WHERE context IS NOT NULL" for v, p, r, c in RULES
+)
+
+
+@query(
+    "pattern_relations",
+    f"SELECT relation_id, predicate, subject, object, round(c * CASE WHEN object_type IS DISTINCT FROM 'CLUB' THEN 0.7 ELSE 1 END, 6)::DOUBLE AS confidence FROM ({RULES_SQL}) WHERE subject <> '' AND c * CASE WHEN object_type IS DISTINCT FROM 'CLUB' THEN 0.7 ELSE 1 END >= 0.6",
+)
+def pattern_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations by verb patterns, with a penalty where the object isn't a club, from a confidence of 0.6 on."""
+    r = table(spark, sf, "relation")
+    found = textops.pattern_relations(r, "relation_id", "context", RULES, NAME).join(r.select("relation_id", "object_type"), "relation_id")
+    confidence = F.col("confidence") * F.when(F.col("object_type").eqNullSafe("CLUB"), 1.0).otherwise(0.7)
+    return found.withColumn("confidence", F.round(confidence, 6)).filter("confidence >= 0.6").select("relation_id", "predicate", "subject", "object", "confidence")
+
+
 @query(
     "first_relations",
     """SELECT subject, predicate, object, relation_id FROM (SELECT lower(subject_text) AS subject, predicate, lower(object_text) AS object, relation_id, row_number() OVER (PARTITION BY lower(subject_text), predicate, lower(object_text) ORDER BY relation_id) AS rn FROM relation) WHERE rn = 1""",

@@ -158,3 +158,12 @@ def test_stats(spark):
     total = stats.grouped_sets(df, [["k"], []], F.count("*").alias("n")).collect()
     assert {(r.k, r.n) for r in total} == {("a", 7), ("b", 3), (None, 10)}
     assert stats.hash_sample(spark.range(20_000), F.col("id"), "#", "40").count() == pytest.approx(5000, rel=0.1)
+
+
+def test_sections_and_relation_patterns(spark):
+    page = "intro\n== Sự nghiệp ==\na\n=== Câu lạc bộ ===\nb\n== Tham khảo ==\nc\n=== Sách ===\nd\n== Khác ==\ne"
+    assert one(spark, page, textops.without_sections(F.col("x"), ["tham khảo"]).alias("t")).t == "intro\n== Sự nghiệp ==\na\n=== Câu lạc bộ ===\nb\n== Khác ==\ne"
+    assert one(spark, None, textops.without_sections(F.col("x"), ["x"]).alias("t")).t is None
+    df = spark.createDataFrame([(1, "Đạ Thúc chuyển sang Reo Nhoạt FC mùa 2001."), (2, "A thua B"), (3, None)], "id long, t string")
+    found = textops.pattern_relations(df, "id", "t", [("chuyển sang", "TO", False, 0.9), ("thua", "BEAT", True, 0.8)], f"[{X.UPPER}][^ .,]*(?: [{X.UPPER}][^ .,]*)*")
+    assert {(r.id, r.predicate, r.subject, r.object) for r in found.collect()} == {(1, "TO", "Đạ Thúc", "Reo Nhoạt FC"), (2, "BEAT", "B", "A")}
