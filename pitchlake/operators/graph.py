@@ -87,6 +87,42 @@ def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return reached
 
 
+def path_counts(edges: DataFrame, words: int = 8, at_once: int = 1 << 15) -> DataFrame:
+    """(distance, pairs): how many ordered pairs of different nodes lie at each distance, undirected; from every node, without a cap on hops.
+
+    Breadth-first level by level until the frontier is empty. A row holds the sources that reach a node at this level as bits,
+    64 to a word and ``words`` words to a block, so pairs are counted without a row each. A neighbour of a node at distance d is
+    at d - 1, d or d + 1, so what is new is told from the last two levels alone. ``at_once`` sources go through in one pass.
+    """
+    spark = edges.sparkSession
+    pairs = checkpoint(undirected(edges))
+    step = pairs.select(F.col("a").alias("id"), F.col("b").alias("next")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("next")))
+    nodes = checkpoint(step.select("id").distinct().withColumn("no", F.monotonically_increasing_id()))
+    width, zero = 64 * words, F.lit(0).cast("bigint")
+    w, k = [f"w{i}" for i in range(words)], [f"k{i}" for i in range(words)]
+    bit = F.expr("shiftleft(1L, CAST(no % 64 AS INT))")
+    own = [F.when(F.floor(F.col("no") / 64) % words == i, bit).otherwise(zero).alias(c) for i, c in enumerate(w)]
+    starts = nodes.select("id", F.expr(f"no div {width}").alias("block"), *own)
+    passes = max(1, -(-nodes.count() // at_once))
+    found: dict[int, int] = {}
+    for p in range(passes):
+        frontier = checkpoint(starts.filter(F.pmod("block", F.lit(passes)) == p).groupBy("id", "block").agg(*[F.bit_or(c).alias(c) for c in w]))
+        before, d = None, 0
+        while True:
+            d += 1
+            known = frontier if before is None else frontier.unionByName(before)
+            known = known.select("id", "block", *[zero.alias(c) for c in w], *[F.col(c).alias(n) for c, n in zip(w, k)])
+            spread = frontier.join(step, "id").select(F.col("next").alias("id"), "block", *w, *[zero.alias(n) for n in k])
+            both = spread.unionByName(known).groupBy("id", "block").agg(*[F.bit_or(c).alias(c) for c in [*w, *k]])
+            fresh = both.select("id", "block", *[F.col(c).bitwiseAND(F.bitwise_not(n)).alias(c) for c, n in zip(w, k)])
+            before, frontier = frontier, checkpoint(fresh.filter(" OR ".join(f"{c} <> 0" for c in w)))
+            n = frontier.agg(F.sum(sum((F.bit_count(c).cast("bigint") for c in w), zero))).first()[0]
+            if not n:
+                break
+            found[d] = found.get(d, 0) + n
+    return spark.createDataFrame(sorted(found.items()), "distance int, pairs bigint")
+
+
 def shortest_paths(edges: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame:
     """(source, target, hops, path): one shortest undirected path of node ids per wanted pair within ``most`` hops; pairs without one are left out.
 

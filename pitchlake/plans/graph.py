@@ -56,10 +56,20 @@ def distances(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("path_lengths", f"SELECT round(avg(distance), 6) AS mean, max(distance)::INT AS longest, count(*)::BIGINT AS pairs FROM ({DIST_SQL}) WHERE distance > 0")
 def path_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean and longest distance from the start nodes, within three hops."""
+    """Mean and longest distance from the start nodes, within three hops, as its SQL; ``path_lengths_all`` has the whole graph."""
     return distances(spark, sf).filter("distance > 0").agg(F.round(F.avg("distance"), 6).alias("mean"), F.max("distance").alias("longest"), F.count("*").alias("pairs"))
 
 
+@query("path_lengths_all")
+def path_lengths_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and longest finite distance between all players of the teammate graph, from every node and without a cap on hops.
+
+    (Not in SQL: one row per pair would be needed. Tested against brute force.)
+    """
+    at = graph.path_counts(team(spark, sf))
+    return at.agg(F.round(F.sum(F.col("distance") * F.col("pairs")) / F.sum("pairs"), 6).alias("mean"), F.max("distance").alias("longest"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+
+
 @query("k_hop_nodes", f"SELECT id, min(distance)::INT AS hops FROM ({DIST_SQL}) WHERE distance <= 2 GROUP BY 1")
 def k_hop_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes within two hops of any start node."""
@@ -124,12 +134,20 @@ def clustering(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("small_world", f"SELECT round(m.mean, 6) AS mean_path, round(c.cc, 6) AS mean_clustering, m.mean < 6 AND c.cc > 0.1 AS small_world FROM (SELECT avg(distance) AS mean FROM ({DIST_SQL}) WHERE distance > 0) m, (SELECT avg(coefficient) AS cc FROM ({CLUSTER_SQL}) WHERE coefficient > 0) c")
 def small_world(spark: SparkSession, sf: str) -> DataFrame:
-    """Small-world test: short paths and clustering among the nodes that have any."""
+    """Small-world test from the start nodes within three hops, as its SQL; ``small_world_all`` has the whole graph."""
     m = distances(spark, sf).filter("distance > 0").agg(F.avg("distance").alias("mean"))
     c = clustering(spark, sf).filter("coefficient > 0").agg(F.avg("coefficient").alias("cc"))
     return m.join(F.broadcast(c)).select(F.round("mean", 6).alias("mean_path"), F.round("cc", 6).alias("mean_clustering"), ((F.col("mean") < 6) & (F.col("cc") > 0.1)).alias("small_world"))
 
 
+@query("small_world_all")
+def small_world_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Small-world test of the whole teammate graph: the mean is over all pairs of ``path_lengths_all``."""
+    m = graph.path_counts(team(spark, sf)).agg((F.sum(F.col("distance") * F.col("pairs")) / F.sum("pairs")).alias("mean"))
+    c = clustering(spark, sf).filter("coefficient > 0").agg(F.avg("coefficient").alias("cc"))
+    return m.join(F.broadcast(c)).select(F.round("mean", 6).alias("mean_path"), F.round("cc", 6).alias("mean_clustering"), ((F.col("mean") < 6) & (F.col("cc") > 0.1)).alias("small_world"))
+
+
 @query(
     "components",
     """WITH RECURSIVE e AS (SELECT DISTINCT from_coach_id AS a, to_club_id AS b FROM coached WHERE from_coach_id IS NOT NULL AND to_club_id IS NOT NULL), l AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(id, seen) AS (SELECT x, x FROM l UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.seen)

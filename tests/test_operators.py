@@ -118,6 +118,43 @@ def test_paths(spark):
     assert {r.other for r in graph.neighbours(e, s, "out").collect()} == {2, 3} and graph.neighbours(e, s, "in").count() == 0
 
 
+def test_path_counts_are_brute_force(spark):
+    rnd = random.Random(11)
+    pairs = [(i, i + 1) for i in range(20)] + [(rnd.randint(200, 330), rnd.randint(200, 330)) for _ in range(150)] + [(500, 500)]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for start in near:
+        level, reached, d = {start}, {start}, 0
+        while level:
+            level = {y for x in level for y in near[x]} - reached
+            reached |= level
+            d += 1
+            if level:
+                want[d] = want.get(d, 0) + len(level)
+    assert max(want) == 20
+    got = graph.path_counts(links(spark, pairs), 1, 100)
+    assert {r.distance: r.pairs for r in got.collect()} == want
+    assert graph.path_counts(links(spark, TWO_TRIANGLES).limit(0)).count() == 0
+
+
+def test_whole_graph_paths_have_no_cap(spark, tmp_path):
+    from pitchlake.plans import graph as queries
+
+    chain = spark.createDataFrame([(i, i, i + 1) for i in range(12)], "edge_id long, player1_id long, player2_id long")
+    tables = {
+        "teammate": chain,
+        "played_for": spark.createDataFrame([], "edge_id long, from_player_id long, to_club_id long"),
+        "coached": spark.createDataFrame([], "edge_id long, from_coach_id long, to_club_id long"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert tuple(queries.path_lengths_all(spark, str(tmp_path)).first()) == (round(14 / 3, 6), 12, 156)
+
+
 def test_merges(spark):
     old = spark.createDataFrame([(1, 1, "a", None), (2, 1, "b", "x")], "k long, v long, n string, p string")
     new = spark.createDataFrame([(1, 2, None, "y"), (3, 1, "c", None), (3, 0, "d", None)], "k long, v long, n string, p string")
