@@ -294,20 +294,38 @@ def left_outer_degrees(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(p, "wiki_id", "left").join(k, "wiki_id", "left").fillna(0, ["players", "coaches"]).select("wiki_id", "players", "coaches")
 
 
+def free_clubs(asked: DataFrame, key: str, m: DataFrame, clubs: DataFrame, most: int) -> DataFrame:
+    """(key, turn, club): ``most`` different clubs for each row of ``asked`` (key, player, and own: a club besides, or null) that aren't the player's, or all that remain where they are fewer.
+
+    Clubs are numbered; a hash draws a rank among the numbers that remain, which is then shifted past the player's own
+    numbers in order. So no draw fails, however many clubs a player has, and each club drawn counts as own for the next.
+    """
+    from pitchlake.operators.dedup import with_surrogate_ids
+
+    numbered = with_surrogate_ids(clubs.select("club").filter("club IS NOT NULL").distinct(), ["club"], "no")
+    size = numbered.agg(F.count("*").alias("size"))
+    owned = m.join(numbered, "club").groupBy("player").agg(F.collect_set("no").alias("nos"))
+    own = asked.join(numbered.select(F.col("club").alias("own"), F.col("no").alias("own_no")), "own", "left").join(owned, "player", "left").join(F.broadcast(size))
+    none = F.array().cast("array<bigint>")
+    taken = F.array_union(F.coalesce("nos", none), F.when(F.col("own_no").isNotNull(), F.array("own_no")).otherwise(none))
+
+    def draw(state, turn):
+        left = F.col("size") - F.size(state["taken"])
+        rank = F.pmod(F.xxhash64(key, turn), left) + 1
+        no = F.aggregate(F.array_sort(state["taken"]), rank, lambda x, o: F.when(o <= x, x + 1).otherwise(x))
+        return F.when(left > 0, F.struct(F.concat(state["taken"], F.array(no)).alias("taken"), F.concat(state["drawn"], F.array(no)).alias("drawn"))).otherwise(state)
+
+    drawn = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.struct(taken.alias("taken"), none.alias("drawn")), draw, lambda s: s["drawn"])
+    return own.select(key, F.posexplode(drawn).alias("turn", "no")).join(numbered, "no").select(key, "turn", "club")
+
+
 @query("false_memberships")
 def false_memberships(spark: SparkSession, sf: str) -> DataFrame:
     """A club that each player never played for, drawn by hash: a negative sample without a cross product.
 
-    Clubs are numbered; a player draws three numbers and the first that isn't a club of theirs counts. (Not in SQL: the
-    draw uses a hash of Spark. Tested by its property.)
+    Only a player of all clubs has no row. (Not in SQL: the draw uses a hash of Spark. Tested by its property.)
     """
-    from pitchlake.operators.dedup import with_surrogate_ids
-
-    clubs = with_surrogate_ids(table(spark, sf, "club_parsed").select(F.col("wiki_id").alias("club")).filter("club IS NOT NULL").distinct(), ["club"], "no")
-    size = clubs.agg(F.count("*").alias("size"))
+    clubs = table(spark, sf, "club_parsed").select(F.col("wiki_id").alias("club"))
     m = table(spark, sf, "played_for").select(F.col("from_player_id").alias("player"), F.col("to_club_id").alias("club")).dropna().distinct()
-    players = m.select("player").distinct().join(F.broadcast(size))
-    drawn = players.select("player", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.pmod(F.xxhash64("player", i), F.col("size")) + 1)).alias("turn", "no"))
-    free = drawn.join(clubs, "no").join(m, ["player", "club"], "left_anti")
-    return free.groupBy("player").agg(F.min_by("club", "turn").alias("club"))
-
+    players = m.select("player").distinct().withColumn("own", F.lit(None).cast(m.schema["club"].dataType))
+    return free_clubs(players, "player", m, clubs, 1).select("player", "club")

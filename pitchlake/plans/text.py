@@ -228,14 +228,19 @@ def question_set(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("choice_questions")
 def choice_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Multiple-choice questions: a true club and others drawn by hash, scored by word overlap with the sentence; the first best wins."""
+    """Multiple-choice questions: a true club and three others drawn by hash, scored by word overlap with the sentence; the first best wins.
+
+    The others have a name, differ, and are neither the answer nor a club of the player; where fewer than three remain, all do.
+    """
     from pitchlake.functions.text import word_overlap
-    from pitchlake.plans.graph import false_memberships
+    from pitchlake.plans.graph import free_clubs
 
     clubs = table(spark, sf, "club_parsed").filter("name IS NOT NULL").groupBy(F.col("wiki_id").alias("club")).agg(F.min("name").alias("choice"))
     facts = table(spark, sf, "relation").filter("predicate = 'PLAYED_FOR'").select("relation_id", F.col("subject_wiki_id").alias("player"), F.col("object_wiki_id").alias("club"), "context").dropna()
-    wrong = false_memberships(spark, sf).withColumnRenamed("club", "wrong")
-    choices = facts.join(wrong, "player").select("relation_id", "context", F.col("club").alias("answer"), F.explode(F.array("club", "wrong")).alias("club")).join(clubs, "club")
+    m = table(spark, sf, "played_for").select(F.col("from_player_id").alias("player"), F.col("to_club_id").alias("club")).dropna().distinct()
+    wrong = free_clubs(facts.select("relation_id", "player", F.col("club").alias("own")), "relation_id", m, clubs, 3).select("relation_id", "club")
+    shown = facts.select("relation_id", "club").unionByName(wrong).join(clubs, "club")
+    choices = shown.join(facts.select("relation_id", "context", F.col("club").alias("answer")), "relation_id")
     score = F.when(F.contains(F.lower("context"), F.lower("choice")), 0.9).otherwise(word_overlap(F.col("context"), F.col("choice")))
     best = choices.groupBy("relation_id", "answer").agg(F.max(F.struct(score.alias("score"), (-F.col("club")).alias("club"))).alias("b"))
     return best.select("relation_id", "answer", (-F.col("b.club")).alias("chosen"), F.round("b.score", 6).alias("score"))

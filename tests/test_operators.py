@@ -204,3 +204,32 @@ def test_sections_and_relation_patterns(spark):
     df = spark.createDataFrame([(1, "Đạ Thúc chuyển sang Reo Nhoạt FC mùa 2001."), (2, "A thua B"), (3, None)], "id long, t string")
     found = textops.pattern_relations(df, "id", "t", [("chuyển sang", "TO", False, 0.9), ("thua", "BEAT", True, 0.8)], f"[{X.UPPER}][^ .,]*(?: [{X.UPPER}][^ .,]*)*")
     assert {(r.id, r.predicate, r.subject, r.object) for r in found.collect()} == {(1, "TO", "Đạ Thúc", "Reo Nhoạt FC"), (2, "BEAT", "B", "A")}
+
+
+def test_distractors_are_whole(spark, tmp_path):
+    from pitchlake.plans import graph as queries
+    from pitchlake.plans import text as questions
+
+    clubs = [(i, f"Club{i}") for i in range(1, 41)]
+    played = [(1000 + p, g) for p in range(30) for g in range(1, 41) if g != p + 1]  # all clubs but one
+    played += [(2000, g) for g in range(1, 41)] + [(3000, 5), (3000, 99)]
+    facts = [(1, 1000, 2, "a Club1"), (2, 3000, 5, "a Club5"), (3, 7777, 6, "a Club6"), (4, 2000, 7, "a Club7"), (5, 3000, 8, "nothing")]
+    tables = {
+        "club_parsed": spark.createDataFrame(clubs, "wiki_id long, name string"),
+        "played_for": spark.createDataFrame(played, "from_player_id long, to_club_id long"),
+        "relation": spark.createDataFrame([(*f, "PLAYED_FOR") for f in facts], "relation_id long, subject_wiki_id long, object_wiki_id long, context string, predicate string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r.player: r.club for r in queries.false_memberships(spark, str(tmp_path)).collect()}
+    assert set(got) == {*range(1000, 1030), 3000} and got[3000] not in (5, 99)
+    assert all(got[1000 + p] == p + 1 for p in range(30))
+    m = tables["played_for"].toDF("player", "club")
+    asked = tables["relation"].select("relation_id", F.col("subject_wiki_id").alias("player"), F.col("object_wiki_id").alias("own"))
+    drawn = {}
+    for r in queries.free_clubs(asked, "relation_id", m, tables["club_parsed"].withColumnRenamed("wiki_id", "club"), 3).collect():
+        drawn.setdefault(r.relation_id, []).append(r.club)
+    assert {k: len(v) for k, v in drawn.items()} == {1: 1, 2: 3, 3: 3, 5: 3} and all(len(set(v)) == len(v) for v in drawn.values())
+    assert drawn[1] == [1] and 5 not in drawn[2] and 6 not in drawn[3] and not {5, 8} & set(drawn[5])
+    asked = questions.choice_questions(spark, str(tmp_path)).collect()
+    assert {r.relation_id: r.chosen for r in asked if r.relation_id < 5} == {1: 1, 2: 5, 3: 6, 4: 7} and len(asked) == 5
