@@ -205,10 +205,12 @@ def _links(records: DataFrame, words: DataFrame, rule: str) -> DataFrame:
         rich = named.filter("size > 1").select("field", "first", "tail", F.col("entity").alias("target"), F.col("all").alias("t_all")).distinct()
         pairs = poor.join(rich, ["field", "first", "tail"]).filter("entity <> target AND size(array_except(all, t_all)) = 0")
         return pairs.groupBy("entity").agg(F.min("target").alias("target"), F.max("target").alias("other")).filter("target = other").drop("other")
-    # typing errors: entities of one spelling, against those with more of it
+    # typing errors: each entity by its most frequent spelling, against all spellings of the others
     size = full.groupBy("field", "entity").agg(F.countDistinct("name").alias("names"), F.sum("n").alias("rows"), F.max("marks").alias("any_marks"))
-    counted = full.select("field", "entity", "words", "folded").distinct().join(size, ["field", "entity"])
-    weak = counted.filter("names = 1").select("field", F.explode(_near("folded")).alias("key"), "entity", "words", "folded", "any_marks", "rows")
+    spelled = full.groupBy("field", "entity", "words", "folded").agg(F.sum("n").alias("n"))
+    counted = spelled.join(size, ["field", "entity"])
+    common = spelled.groupBy("field", "entity", "folded").agg(F.sum("n").alias("n"), F.max("words").alias("words")).groupBy("field", "entity").agg(F.max(F.struct("n", "folded", "words")).alias("m"))
+    weak = common.join(size, ["field", "entity"]).select("field", F.explode(_near("m.folded")).alias("key"), "entity", F.col("m.words").alias("words"), F.col("m.folded").alias("folded"), "any_marks", "rows", "names")
     strong = counted.select("field", F.explode(_near("folded")).alias("key"), F.col("entity").alias("target"), F.col("words").alias("t_words"), F.col("folded").alias("t_folded"), F.col("any_marks").alias("t_marks"), F.col("rows").alias("t_rows"))
     pairs = weak.join(strong, ["field", "key"]).filter("entity <> target AND folded <> t_folded").drop("key", "field").distinct()
     pairs = pairs.withColumn("d", _difference("folded", "t_folded", "words", "t_words")).filter("d.edits <= 1 AND d.marks = 0")
@@ -219,9 +221,9 @@ def _links(records: DataFrame, words: DataFrame, rule: str) -> DataFrame:
     unmarked = ~F.col("any_marks") & F.col("t_marks") & (F.col("rows") <= F.col("t_rows"))
     several = F.size(F.split("folded", " ")) >= 3  # the other words alone tell who it is
     better = F.struct(usual, "t_marks", "t_rows", "target") > F.struct(odd, "any_marks", "rows", "entity")
+    pairs = pairs.filter(f"names = 1 OR rows * {RARER} <= t_rows")  # several dressings may be another club, unless they are rare beside the target
     pairs = pairs.filter(better | (unmarked & (usual >= 2))).filter((F.col("d.odd") == "") | (odd * RARER <= usual) | ((odd <= 1) & (usual > odd)) | unmarked | doubled | (several & ~F.col("folded").endswith(" b")))
-    best = pairs.groupBy("entity").agg(F.min("target").alias("target"), F.max("target").alias("other")).filter("target = other").drop("other")
-    return best.join(best.select(F.col("entity").alias("target")), "target", "left_anti")
+    return pairs.groupBy("entity").agg(F.min("target").alias("target"), F.max("target").alias("other")).filter("target = other").drop("other")
 
 
 @F.pandas_udf(T.StringType())

@@ -162,6 +162,18 @@ def test_variants(spark):
     assert variants.resolve(df.limit(0).select("field", "name"), {"club_name": False, "chairman": True}).count() == 0
 
 
+def test_errors_in_several_dressings(spark):
+    clubs = ["CLB Đóp Troi"] * 40 + ["Đóp Troi FC", "Đóp Troi B FC", "Đóp Troii FC", "Đóp Troii FC", "CLB Đóp Troii", "ĐÓP TROII", "Reo Nhoạt FC", "CLB Reo Nhoạt"]
+    people = ["Quảnh Rửu Thúc Toành"] * 20 + ["QUẢNH RỬU THÚC TOÀNH", "Quảh Rửu Thúc Toành", "QUẢH RỬU THÚC TOÀNH", "Quảnh Bấu Lây Khoi", "QUẢNH BẤU LÂY KHOI"]
+    rows = [("club_name", n) for n in clubs] + [("chairman", n) for n in people]
+    groups = {}
+    for r in variants.resolve(spark.createDataFrame(rows, "field string, name string"), {"club_name": False, "chairman": True}).collect():
+        groups.setdefault(r.entity, set()).add(r.name)
+    assert {"CLB Đóp Troi", "Đóp Troi FC", "Đóp Troii FC", "CLB Đóp Troii", "ĐÓP TROII"} in groups.values()
+    assert {"Quảnh Rửu Thúc Toành", "QUẢNH RỬU THÚC TOÀNH", "Quảh Rửu Thúc Toành", "QUẢH RỬU THÚC TOÀNH"} in groups.values()
+    assert {"Reo Nhoạt FC", "CLB Reo Nhoạt"} in groups.values() and {"Quảnh Bấu Lây Khoi", "QUẢNH BẤU LÂY KHOI"} in groups.values()
+
+
 def test_merges_settle(spark):
     links = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (4, 5), (6, 5), (7, 8), (8, 9), (9, 7)], "entity long, target long")
     assert {tuple(r) for r in variants.settled(links).collect()} == {(2, 1), (4, 5), (6, 5)}
