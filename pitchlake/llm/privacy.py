@@ -217,6 +217,8 @@ def candidates(df: DataFrame, key: str, text: str, surnames: frozenset[str], mid
 
 #: Bits of information on a private person, and share of private names, from which a context removes a name.
 THRESHOLD_BITS, THRESHOLD_SHARE = 1.0, 0.5
+#: Information is measured against a prior of at most this: a context at the share above has the bits above even where most names are private.
+MOST_PRIOR = THRESHOLD_SHARE / 2**THRESHOLD_BITS
 #: Names as common as the corpus's that each context is counted with, so that few cases decide little.
 SMOOTHING = 1
 
@@ -241,7 +243,7 @@ def personal_information(df: DataFrame, key: str, text: str, public: DataFrame)
     totals = terms.agg(F.sum(private).alias("p"), F.sum(whole).alias("n")).first()
     prior = max(totals["p"] or 0, 1) / max(totals["n"] or 0, 1)
     share = lambda n: (F.col("private") + SMOOTHING * prior) / (F.col(n) + SMOOTHING)
-    revealing = contexts.withColumn("any", share("n")).withColumn("of_whole", share("whole")).filter((F.col("of_whole") >= THRESHOLD_SHARE) & (F.log2(F.col("of_whole") / prior) >= THRESHOLD_BITS))
+    revealing = contexts.withColumn("any", share("n")).withColumn("of_whole", share("whole")).filter((F.col("of_whole") >= THRESHOLD_SHARE) & (F.log2(F.col("of_whole") / F.lit(min(prior, MOST_PRIOR))) >= THRESHOLD_BITS))
     revealing = materialize(revealing.select("context", "any"), "p10-contexts")
     asked = terms.filter("private OR NOT whole").select(key, "text", "whole", F.explode("contexts").alias("context"))
     removed = asked.join(revealing, "context").filter(F.col("whole") | (F.col("any") >= THRESHOLD_SHARE))

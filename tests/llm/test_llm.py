@@ -239,3 +239,14 @@ def test_personal_information(spark):
     assert clean[100] == "Ký tên: [NAME], gọi [PHONE]." and clean[201] is None and clean[202] == "" and clean[0] == docs[0][1]
     assert privacy.personal_information(df.limit(0), "doc_id", "text", names_).count() == 0
     assert privacy.personal_information(df, "doc_id", "text", names_.limit(0)).filter("pii_type = 'phone'").count() == 10
+
+
+def test_names_in_a_mostly_private_corpus(spark):
+    public = [(f"Lường Tuy An Bình{chr(97 + i)}",) for i in range(20)]
+    docs = [(i, f"Ký tên: Lường Tuy Kín Đáo{chr(97 + i % 26)}{chr(97 + i // 26)}, gọi.") for i in range(90)]
+    docs += [(100 + i, f"Phút 5, {public[i][0]} ghi bàn cho đội.") for i in range(10)] + [(200, "Receipt issued to Lường Tuy Lạ Lẫm.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = privacy.personal_information(df, "doc_id", "text", spark.createDataFrame(public, "name string"))
+    assert {r.doc_id for r in found.filter("pii_type = 'name'").collect()} == {*range(90), 200}
+    clean = {r.doc_id: r.text for r in privacy.sanitise(df, "doc_id", "text", found).collect()}
+    assert clean[0] == "Ký tên: [NAME], gọi." and clean[100] == docs[90][1]
