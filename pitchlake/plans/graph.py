@@ -120,6 +120,19 @@ def pagerank_of_best(spark: SparkSession, sf: str) -> DataFrame:
     return top.join(F.broadcast(top.agg(F.max("score").alias("best")))).select("id", "score", F.round(F.col("score") / F.col("best"), 6).alias("of_best"))
 
 
+@query("pagerank_20", _pagerank_sql(20))
+def pagerank_20(spark: SparkSession, sf: str) -> DataFrame:
+    """PageRank after the documented twenty rounds on the teammate graph."""
+    return algorithms.pagerank(team(spark, sf), 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query("pagerank_20_of_best", f"SELECT id, score, round(score / max(score) OVER (), 6) AS of_best FROM ({_pagerank_sql(20)}) ORDER BY score DESC, id LIMIT 10")
+def pagerank_20_of_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best scores after twenty rounds and their ratio to the best."""
+    top = pagerank_20(spark, sf).orderBy(F.desc("score"), "id").limit(10)
+    return top.join(F.broadcast(top.agg(F.max("score").alias("best")))).select("id", "score", F.round(F.col("score") / F.col("best"), 6).alias("of_best"))
+
+
 CLUSTER_SQL = f"""WITH p AS ({PAIRS_SQL}), l AS ({LINKS_SQL}), d AS (SELECT id, count(*) AS degree FROM l GROUP BY 1),
 t AS (SELECT x.a, x.b, y.b AS c FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = x.a AND z.b = y.b),
 n AS (SELECT id, count(*) AS triangles FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1)

@@ -233,3 +233,21 @@ def test_distractors_are_whole(spark, tmp_path):
     assert drawn[1] == [1] and 5 not in drawn[2] and 6 not in drawn[3] and not {5, 8} & set(drawn[5])
     asked = questions.choice_questions(spark, str(tmp_path)).collect()
     assert {r.relation_id: r.chosen for r in asked if r.relation_id < 5} == {1: 1, 2: 5, 3: 6, 4: 7} and len(asked) == 5
+
+
+def test_pagerank_has_twenty_rounds(spark, tmp_path):
+    from pitchlake.plans import graph as queries
+
+    pairs = [(i, i + 1) for i in range(30)] + [(0, 40), (0, 41), (0, 42)]
+    spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "edge_id long, player1_id long, player2_id long").write.parquet(str(tmp_path / "teammate.parquet"))
+    spark.createDataFrame([], "edge_id long, from_player_id long, to_club_id long").write.parquet(str(tmp_path / "played_for.parquet"))
+    spark.createDataFrame([], "edge_id long, from_coach_id long, to_club_id long").write.parquet(str(tmp_path / "coached.parquet"))
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    score = dict.fromkeys(near, 1.0)
+    for _ in range(20):
+        score = {x: 0.15 + 0.85 * sum(score[y] / len(near[y]) for y in near[x]) for x in near}
+    got = {r.id: r.score for r in queries.pagerank_20(spark, str(tmp_path)).collect()}
+    assert set(got) == set(score) and all(abs(got[x] - score[x]) < 2e-6 for x in score)
