@@ -2,8 +2,11 @@
 
 A rule joins exactly on one form of the name and one set of further attributes; rules run from the strongest to the
 weakest in passes, and what a pass resolves is taken out by an anti join before the next. A key that several entities
-share decides nothing. The confidence of a match is its rule's precision on the records whose entity is known, smoothed
-by one right and one wrong match. Rules below a least confidence give no matches.
+share decides nothing. The confidence of a match is its rule's precision on records whose entity is known. Each of them is
+tried against every rule, whatever an earlier pass would have made of it, under its own name and under the forms that people
+derive from it (short, with initials, given name, one word open), since labelled names are mostly written in full. Counts are
+smoothed by two cases of the precision of similar rules, and those by one right and one wrong case. A rule gives no matches
+only where its trials show that it is bad.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ RULES = [(f, w) for f in FORMS for w in WITH if not (w == "name" and f not in ("
 PASSES = (("marked", "folded", "order"), ("typo",), ("short", "initials", "given", "given_folded"))
 #: Edits that a name may have from its entity's, where a rule leaves one word open.
 MOST_EDITS = 2
+#: Records with a known entity that the rules are tried on: a bound on this sample, which a hash of the id draws.
+LABELLED = 20_000
 
 
 def name_forms(text: str, typed: bool) -> dict[str, set[str]]:
@@ -70,8 +75,8 @@ def name_forms(text: str, typed: bool) -> dict[str, set[str]]:
     return out
 
 
-def _keys(forms: dict[str, set[str]], years, clubs, provinces, wanted: tuple[str, ...] = FORMS) -> list[tuple[int, str]]:
-    """(rule, key) of a name with the attributes known, for the rules of the wanted forms."""
+def _keys(forms: dict[str, set[str]], years, clubs, provinces, wanted: tuple[str, ...] = FORMS) -> list[str]:
+    """Keys (rule, form of the name, attributes) of a name for the rules of the wanted forms."""
     values = {
         "year+club": [f"{y}|{c}" for y in years for c in clubs],
         "year+province": [f"{y}|{p}" for y in years for p in provinces],
@@ -80,10 +85,9 @@ def _keys(forms: dict[str, set[str]], years, clubs, provinces, wanted: tuple[str
         "province": list(provinces),
         "name": [""],
     }
-    return [(i, f"{k}#{v}") for i, (f, w) in enumerate(RULES) if f in wanted for k in forms.get(f, ()) for v in values[w]]
+    return [f"{i}|{k}#{v}" for i, (f, w) in enumerate(RULES) if f in wanted for v in values[w] for k in forms.get(f, ())]
 
 
-_KEYS = T.ArrayType(T.StructType([T.StructField("rule", T.IntegerType()), T.StructField("key", T.StringType())]))
 _FACTS = T.StructType([T.StructField("year", T.IntegerType()), T.StructField("clubs", T.ArrayType(T.StringType())), T.StructField("provinces", T.ArrayType(T.StringType()))])
 
 
@@ -101,13 +105,22 @@ def _facts(contexts: pd.Series) -> pd.DataFrame:
 
 
 def _key_column(typed: bool, wanted: tuple[str, ...]):
-    @F.pandas_udf(_KEYS)
-    def keys(names: pd.Series, years: pd.Series, clubs: pd.Series, provinces: pd.Series) -> pd.Series:
+    """Keys of rows (name, years, clubs, provinces). Of typed rows those with ``trial`` have the keys of their name's derived forms, too."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def keys(names: pd.Series, years: pd.Series, clubs: pd.Series, provinces: pd.Series, trial: pd.Series) -> pd.Series:
         from pitchlake.llm.matching import _keys, name_forms
 
-        return pd.Series([[{"rule": i, "key": k} for i, k in _keys(name_forms(n, typed), y, c, p, wanted)] for n, y, c, p in zip(names, years, clubs, provinces)])
+        out = []
+        for n, y, c, p, both in zip(names, years, clubs, provinces, trial):
+            forms = name_forms(n, typed)
+            if both:
+                for f, ks in name_forms(n, False).items():
+                    forms[f] = forms.get(f, set()) | ks
+            out.append(_keys(forms, y, c, p, wanted))
+        return pd.Series(out)
 
-    return keys("name", "years", "clubs", "provinces")
+    return keys("name", "years", "clubs", "provinces", F.col("trial") if typed else F.lit(False))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -134,7 +147,7 @@ def _whole_name(s: pd.Series) -> pd.Series:
 def player_profiles(entity: DataFrame) -> DataFrame:
     """(wiki_id, name, years, clubs, provinces) of each player and whole name that entity rows give.
 
-    The linked name counts where a row has one, else the text if it has three words or more. Repeated rows are
+    The linked name counts where a row has one, else the text; a name has two words or more. Repeated rows are
     pre-aggregated; a set holds the different values of one player only.
     """
     rows = entity.filter("entity_type = 'PLAYER' AND wiki_id IS NOT NULL").select(
@@ -147,42 +160,60 @@ def player_profiles(entity: DataFrame) -> DataFrame:
     return names.join(facts, "wiki_id")
 
 
-def match_subjects(relation: DataFrame, entity: DataFrame, least: float = 0.5) -> DataFrame:
+def rule_confidences(trials: DataFrame) -> DataFrame:
+    """(rule, confidence, bad): smoothed precision of each rule from its trials (rule, right); at most one row a rule.
+
+    The counts are smoothed by two cases of the lower precision of two pools: all rules with the same attributes, where
+    any was tried, and all rules with the same form. ``bad`` tells that the upper end of the Wilson interval (95 %) of the
+    rule's own trials lies below one half.
+    """
+    tried = trials.groupBy("rule").agg(F.sum(F.col("right").cast("int")).alias("r"), F.count("*").alias("t"))
+    rules = tried.sparkSession.createDataFrame([(i, f, w) for i, (f, w) in enumerate(RULES)], "rule int, form string, attributes string")
+    tried = rules.join(F.broadcast(tried), "rule", "left").fillna(0, ["r", "t"])
+    pool = lambda by: tried.groupBy(by).agg(((F.sum("r") + 1) / (F.sum("t") + 2)).alias(f"of_{by}"), F.sum("t").alias(f"t_{by}"))
+    tried = tried.join(F.broadcast(pool("form")), "form").join(F.broadcast(pool("attributes")), "attributes")
+    prior = F.when(F.col("t_attributes") > 0, F.least("of_form", "of_attributes")).otherwise(F.col("of_form"))
+    share, z = F.col("r") / F.col("t"), 1.96
+    upper = (share + z * z / (2 * F.col("t")) + z * F.sqrt(share * (1 - share) / F.col("t") + z * z / (4 * F.col("t") * F.col("t")))) / (1 + z * z / F.col("t"))
+    return tried.select("rule", ((F.col("r") + 2 * prior) / (F.col("t") + 2)).alias("confidence"), F.when(F.col("t") > 0, upper < 0.5).otherwise(False).alias("bad"))
+
+
+def match_subjects(relation: DataFrame, entity: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """(relation_id, wiki_id, rule, confidence): relations without a subject id and the player each speaks of.
 
     Null and empty subjects and subjects unknown to ``entity`` give no row, nor do subjects that two players fit
-    equally. A birth year in the sentence that differs from all the player's known ones refutes a match.
+    equally. A birth year in the sentence that differs from all the player's known ones refutes a match. ``labelled``
+    bounds the relations with a subject id on which the rules are tried; without any the confidences are one half.
     """
     profiles = materialize(player_profiles(entity), "p3-profiles")
     about = profiles.groupBy("wiki_id").agg(F.first("years").alias("years"), F.collect_set("name").alias("names"))
     said = relation.filter("subject_type = 'PLAYER' AND subject_text IS NOT NULL AND trim(subject_text) <> ''")
-    said = said.select("relation_id", F.col("subject_wiki_id").alias("known"), F.col("subject_text").alias("name"), _facts("context").alias("f"))
+    known = said.filter("subject_wiki_id IS NOT NULL").count()
+    drawn = F.col("subject_wiki_id").isNull() | (F.pmod(F.xxhash64("relation_id"), F.lit(known)) < labelled) if known else F.lit(True)
+    said = said.filter(drawn).select("relation_id", F.col("subject_wiki_id").alias("known"), F.col("subject_text").alias("name"), _facts("context").alias("f"))
     one_year = F.when(F.col("f.year").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("f.year").cast("string")))
-    rest = materialize(said.select("relation_id", "known", "name", one_year.alias("years"), "f.clubs", "f.provinces"), "p3-subjects")
+    subjects = said.select("relation_id", "known", "name", one_year.alias("years"), "f.clubs", "f.provinces", F.col("known").isNotNull().alias("trial"))
+    rest = materialize(subjects, "p3-subjects")
+    rule = F.split_part("key", F.lit("|"), F.lit(1)).cast("int").alias("rule")
 
-    def exploded(df: DataFrame, kept: list[str], typed: bool, forms: tuple[str, ...]) -> DataFrame:
-        return df.select(*kept, F.explode(_key_column(typed, forms)).alias("k")).select(*kept, F.col("k.rule").alias("rule"), F.xxhash64("k.rule", "k.key").alias("key"))
-
-    parts = []
+    parts, trials = [], []
     for forms in PASSES:
-        keys = exploded(profiles, ["wiki_id"], False, forms).groupBy("key").agg(F.min("wiki_id").alias("wiki_id"), F.max("wiki_id").alias("other")).filter("wiki_id = other").drop("other")
-        asked = exploded(rest, ["relation_id"], True, forms)
-        fits = asked.join(keys, "key").select("relation_id", "rule", "wiki_id").distinct()
+        keys = profiles.select("wiki_id", F.explode(_key_column(False, forms)).alias("key"))
+        keys = keys.groupBy("key").agg(F.min("wiki_id").alias("wiki_id"), F.max("wiki_id").alias("other")).filter("wiki_id = other").drop("other")
+        asked = rest.select("relation_id", F.explode(_key_column(True, forms)).alias("key"))
+        fits = asked.join(keys, "key").select("relation_id", rule, "wiki_id").distinct()
         fits = fits.join(rest.select("relation_id", "known", "name", F.col("years").alias("said")), "relation_id").join(about, "wiki_id")
         fits = fits.filter("size(said) = 0 OR size(years) = 0 OR arrays_overlap(years, said)")
         if "typo" in forms:
             fits = fits.filter(_close("name", "names"))
-        best = fits.groupBy("relation_id", "known").agg(F.min(F.struct("rule", "wiki_id")).alias("low"), F.max(F.struct(-F.col("rule"), "wiki_id")).alias("high"))
-        found = materialize(best.filter("low.wiki_id = high.wiki_id").select("relation_id", "known", "low.rule", "low.wiki_id"), "p3-found")
-        parts.append(found)
-        rest = rest.join(found.select("relation_id"), "relation_id", "left_anti")
-    matched = reduce(DataFrame.unionByName, parts)
-    labelled = matched.filter("known IS NOT NULL").groupBy("rule").agg(((F.sum((F.col("known") == F.col("wiki_id")).cast("int")) + 1) / (F.count("*") + 2)).alias("confidence"))
+        fits = materialize(fits.select("relation_id", "known", "rule", "wiki_id"), "p3-fits")
+        trials.append(fits.filter("known IS NOT NULL").select("rule", (F.col("known") == F.col("wiki_id")).alias("right")))
+        low, high = F.min(F.struct("rule", "wiki_id")).alias("low"), F.max(F.struct(-F.col("rule"), "wiki_id")).alias("high")
+        found = fits.filter("known IS NULL").groupBy("relation_id").agg(low, high).filter("low.wiki_id = high.wiki_id")
+        parts.append(found.select("relation_id", "low.wiki_id", "low.rule"))
+        if forms != PASSES[-1]:
+            rest = rest.join(found.select("relation_id"), "relation_id", "left_anti")
     names = F.array(*[F.lit(f"{f}/{w}") for f, w in RULES])
-    return (
-        matched.filter("known IS NULL")
-        .join(F.broadcast(labelled), "rule", "left")
-        .withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
-        .filter(F.col("confidence") >= least)
-        .select("relation_id", "wiki_id", names[F.col("rule")].alias("rule"), "confidence")
-    )
+    known_good = rule_confidences(reduce(DataFrame.unionByName, trials)).filter("NOT bad").drop("bad")
+    matched = reduce(DataFrame.unionByName, parts).join(F.broadcast(known_good), "rule")
+    return matched.select("relation_id", "wiki_id", names[F.col("rule")].alias("rule"), "confidence")

@@ -143,6 +143,51 @@ def test_cascade(spark):
     assert matching.match_subjects(relation, entity.limit(0)).count() == 0
 
 
+def people(n):
+    """Players of four-word names with a year and a club, and the entity rows that tell of them."""
+    lead, middle, given = ("Mẻng", "Hẹn", "Lường", "Quảnh", "Tạc"), ("Sứt", "Xằm", "Tuy", "Rửu", "Lây"), ("Nguyệt", "Diệp", "An", "Thúc", "Sẹc")
+    names_ = [f"{lead[i % 5]} {middle[i // 5 % 5]} {given[i // 25 % 5]} Phẩu{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(n)]
+    return names_, [(i, "x", "PLAYER", 1000 + i, name, {"birth_year": str(1960 + i % 40), "club": f"CLB Roán Chin{chr(97 + i % 7)}"}) for i, name in enumerate(names_)]
+
+
+def test_wrong_labels_remove_no_rule(spark):
+    names_, rows = people(120)
+    entity = spark.createDataFrame(rows, ENTITY)
+    asked = [(i, n[:-1] + "xx" if i % 3 == 0 else f"{n[0]}. {' '.join(n.split()[2:])}" if i % 3 == 1 else n.upper(), "PLAYER", None, f"sinh năm {1960 + i % 40}", 1) for i, n in enumerate(names_[:60])]
+    known = [(500 + i, n, "PLAYER", 1060 + i, f"b. {1960 + (60 + i) % 40}", 1) for i, n in enumerate(names_[60:])]
+    got = {}
+    for wrong in (0, 1, 60):
+        relation = spark.createDataFrame(asked + [(k, n, t, 7 if i < wrong else w, c, x) for i, (k, n, t, w, c, x) in enumerate(known)], RELATION)
+        got[wrong] = {(r.relation_id, r.wiki_id): r.confidence for r in matching.match_subjects(relation, entity).collect()}
+    assert set(got[0]) == set(got[1]) == {(i, 1000 + i) for i in range(60)}
+    assert min(got[0].values()) > 0.95 and all(got[1][k] <= v for k, v in got[0].items())
+    assert not got[60]  # rules that are shown to be bad give nothing
+    few = matching.match_subjects(spark.createDataFrame(asked + known, RELATION), entity, labelled=5)
+    assert {(r.relation_id, r.wiki_id) for r in few.collect()} == set(got[0])
+
+
+def test_rule_confidences(spark):
+    i = {r: n for n, r in enumerate(matching.RULES)}
+    trials = [(i["marked", "year"], True)] * 98 + [(i["marked", "year"], False)] * 2 + [(i["typo", "year"], False)]
+    got = {r.rule: r for r in matching.rule_confidences(spark.createDataFrame(trials, "rule int, right boolean")).collect()}
+    assert len(got) == len(matching.RULES) and not any(r.bad for r in got.values())
+    assert abs(got[i["marked", "year"]].confidence - (98 + 2 * 99 / 103) / 102) < 0.01 and got[i["marked", "club"]].confidence > 0.95
+    assert got[i["typo", "year"]].confidence < 0.34 and got[i["given", "club"]].confidence == 0.5
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables here")
+def test_blinded_labels_are_found_again(spark):
+    from pitchlake.session import table
+
+    relation, entity = (table(spark, "/root/testdata/sf0.01", t) for t in ("relation", "entity"))
+    blind = (F.col("relation_id") % 2 == 0) & F.col("subject_wiki_id").isNotNull() & (F.col("subject_type") == "PLAYER")
+    told = relation.filter(blind).select("relation_id", F.col("subject_wiki_id").alias("truth"))
+    told = told.join(matching.player_profiles(entity).select(F.col("wiki_id").alias("truth")).distinct(), "truth", "left_semi")  # others entity doesn't know
+    found = matching.match_subjects(relation.withColumn("subject_wiki_id", F.when(~blind, F.col("subject_wiki_id"))), entity)
+    both = told.join(found, "relation_id", "left").agg(F.count("*").alias("n"), F.count("wiki_id").alias("found"), F.count_if(F.col("wiki_id") == F.col("truth")).alias("right")).first()
+    assert both.right >= 0.9 * both.n and both.right >= 0.99 * both.found
+
+
 def test_variants(spark):
     rows = [("club_name", n) for n in ("CLB Đóp Troi", "Đóp Troi FC", "F.C. DOP TROI", "Clb. Đóp-Troi", "CLB Cao Su – Đóp Troi", "Đóp Troii FC", "Đóp Troi B FC", "ĐT Đóp Troi", "Reo Nhoạt FC", None, "", "CLB")]
     rows += [("chairman", n) for n in ("Quảnh Rửu Thúc Toành", "QUẢNH RỬU THÚC TOÀNH", "quanh ruu thuc toanh", "Q. R. Thúc Toành", "Ông Thúc Toành", "Thúc Toành, Quảnh Rửu", "Quảnh Rửu Thúc-Toành (Gấu)", 'Quảnh "Tí" Thúc Toành', "Quảh Rửu Thúc Toành", "Quảnh Bấu Lây Khoi", "Quảnh Bấu Sẹc Bịa")] * 2
