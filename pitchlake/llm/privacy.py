@@ -1,12 +1,15 @@
 """Personal information in free text: information-theoretic sanitisation.
 
-Direct identifiers (mail addresses, telephone and identity numbers, street addresses) are found by their form. Names
-are found as terms, and the corpus tells how strongly each reveals a private person: every context of a name-like term
-(the words before and after it) is counted with names of the public tables and with other names, and the information
-that the context carries about a private person is ``log2(p(private | context) / p(private))``. A term that no public
-table lists is removed where its best context carries the threshold or more; a short or abbreviated name, which says
-little by itself, only where its context makes a private person likelier than not. What is removed is replaced by a
-typed placeholder.
+Terms are found with their places: direct identifiers (mail addresses, telephone and identity numbers, street addresses) by
+their form, other numbers and handles beside them, and name-like runs of capitalised words. The corpus tells how strongly a
+term reveals a private person: every context of a term (the words before and after it) is counted over all texts, for names
+with names that no public table lists and with all whole names, for identifiers with those of a personal form and with all
+numbers and handles. The information that a context carries is ``log2(p(personal | context) / p(personal))``. A term that
+is personal by itself (an unlisted whole name, an identifier's form) is removed where its best context carries the threshold
+or more; a short or abbreviated name, which says little by itself, only where its context makes a private person likelier
+than not. What is removed is replaced by a typed placeholder.
+
+Which words begin names is measured in the same way, from the places at which words stand in public names.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchlake.llm.names import bare, tidy
-from pitchlake.llm.variants import read_person
+from pitchlake.llm.variants import _person_words, read_person
 from pitchlake.session import materialize
 
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -50,6 +55,9 @@ _TOKEN = re.compile(rf"[\w{_MARK}]+|[^\w\s]")
 _SPLIT = re.compile("[ -]")
 
 
+#: Numbers of seven digits and more and handles, which are no identifiers by their form.
+LOOSE = re.compile(r"(?<![\w@])(?:[(+]?\d(?:[ .()/-]{0,2}\d){6,}|[@＠]\w+)")
+
 _SPOKEN_START = re.compile(rf"(?:hông|HÔNG|ero|ERO|oh|OH|Oh)[ -]{_DIGIT}[ -]{_DIGIT}[ -]{_DIGIT}(?!\w)")
 
 
@@ -73,12 +81,34 @@ def direct_identifiers(text: str) -> list[tuple[int, int, str]]:
 
 
 _DIGITS = re.compile(r"\d+")
+_AROUND = 32
+
+
+def _before(text: str, start: int) -> list[str]:
+    """The last two words or signs before a place, whole however long they are."""
+    n = _AROUND
+    while True:
+        low = max(0, start - n)
+        found = _TOKEN.findall(text[low:start])
+        if len(found) > 2 or low == 0:  # of more than two the first may be cut
+            return found[-2:]
+        n *= 4
+
+
+def _behind(text: str, end: int) -> list[str]:
+    """The first two words or signs after a place, whole however long they are."""
+    n = _AROUND
+    while True:
+        found = _TOKEN.findall(text[end : end + n])
+        if len(found) > 2 or end + n >= len(text):
+            return found[:2]
+        n *= 4
 
 
 def _context(text: str, start: int, end: int) -> list[str]:
     """Keys of the words before and after a term: one and two each, lower case, digits as one sign."""
-    left = _TOKEN.findall(_DIGITS.sub("9", text[max(0, start - 32) : start].lower()))[-2:]
-    right = _TOKEN.findall(_DIGITS.sub("9", text[end : end + 32].lower()))[:2]
+    left = [_DIGITS.sub("9", w.lower()) for w in _before(text, start)]
+    right = [_DIGITS.sub("9", w.lower()) for w in _behind(text, end)]
     out = []
     if left:
         out.append("<1 " + left[-1])
@@ -98,18 +128,57 @@ def _forms(word: str) -> tuple[str, str]:
     return low, f"~{bare(low)}"
 
 
-_SHOUT_BEFORE = re.compile(rf"[{_UPPER}]{{2,}}\W*$")
-_SHOUT_AFTER = re.compile(rf"\W*[{_UPPER}]{{2,}}(?!\w)")
+_NO_WORD = re.compile(r"\W*")
+_SHOUT = re.compile(rf"[{_UPPER}]{{2,}}(?!\w)")
+
+
+def _in_capitals(text: str, start: int, end: int) -> bool:
+    """A word of capitals stands before or after a run."""
+    at = start
+    while at > 0 and not (text[at - 1].isalnum() or text[at - 1] == "_"):
+        at -= 1
+    if at > 1 and text[at - 1].isupper() and text[at - 2].isupper():
+        return True
+    return _SHOUT.match(text, _NO_WORD.match(text, end).end()) is not None
+
+
+class Lexicon:
+    """Which words begin names, stand second in long names, stand third or later, and fifth or later.
+
+    Each set is a container of words in lower case and, after ~, of words without marks.
+    """
+
+    __slots__ = ("far", "first", "inner", "second")
+
+    def __init__(self, first, second, inner=frozenset(), far=frozenset()) -> None:
+        self.first, self.second, self.inner, self.far = first, second, inner, far
+
+    def length(self, words: list[str], at: int) -> int:
+        """Words of the name that begins at ``at`` in a run of capitalised words, of which three or more are left.
 
+        A fourth word belongs to it after a common second word or where it is a word of names itself, further ones where
+        public names have them at such places.
+        """
+        left = len(words) - at
+        if left == 3:
+            return 3
+        form = 1 if all(w.isascii() for w in words[at : at + 4]) else 0
+        if _forms(words[at + 1])[form] not in self.second and _forms(words[at + 3])[form] not in self.inner:
+            return 3
+        n = 4
+        while n < left and _forms(words[at + n])[form] in self.far:
+            n += 1
+        return n
 
-def name_terms(text: str, surnames: frozenset[str], middles: frozenset[str]) -> list[tuple[int, int, bool]]:
+
+def name_terms(text: str, lexicon: Lexicon) -> list[tuple[int, int, bool]]:
     """(start, end, whole) of name-like terms: capitalised words from a surname on, and short or abbreviated names.
 
-    A whole name has a surname and two or three more words; of a longer run of capitalised words it takes three more
-    where the second word is a common middle name. A short name is a run of a surname and one word, or of initials with
-    two words.
+    A whole name has a surname and two words more or as many as ``Lexicon.length`` tells. A short name is a run of a surname
+    and one word, or of initials with two words.
     """
     out = []
+    surnames = lexicon.first
     for m in _RUN.finditer(text):
         run = m.group()
         if "." not in run:
@@ -123,8 +192,7 @@ def name_terms(text: str, surnames: frozenset[str], middles: frozenset[str]) ->
         else:
             words = [w for w in re.split(r"(?<=\.)[ ]?|[ -]", run) if w]
             initials = sum(w.endswith(".") for w in words)
-        shouted = run.isupper()
-        if shouted and (len(words) > 4 or _SHOUT_BEFORE.search(text[max(0, m.start() - 24) : m.start()]) or _SHOUT_AFTER.match(text[m.end() : m.end() + 24])):
+        if run.isupper() and (len(words) > 4 or _in_capitals(text, m.start(), m.end())):
             continue  # a sentence in capitals shows no names
         i = found = 0
         start = m.start()
@@ -134,11 +202,10 @@ def name_terms(text: str, surnames: frozenset[str], middles: frozenset[str]) ->
             starts.append(start)
             start += len(w)
         while i < len(words):
-            left = len(words) - i
-            if left >= 3:
+            if len(words) - i >= 3:
                 form = 1 if all(w.isascii() for w in words[i : i + 4]) else 0
                 if _forms(words[i])[form] in surnames:
-                    n = left if left <= 4 else 4 if _forms(words[i + 1])[form] in middles else 3
+                    n = lexicon.length(words, i)
                     out.append((starts[i], starts[i + n - 1] + len(words[i + n - 1]), True))
                     i += n
                     found += 1
@@ -149,24 +216,93 @@ def name_terms(text: str, surnames: frozenset[str], middles: frozenset[str]) ->
     return out
 
 
-def _rows(text: str, surnames: frozenset[str], middles: frozenset[str]) -> list[tuple]:
-    """(type, text, whole, words with marks, words without, contexts) of what a text holds."""
+def _rows(text: str, lexicon: Lexicon) -> list[tuple]:
+    """(start, end, type, text, whole, words with marks, words without, contexts) of what a text holds; type ``other`` for loose numbers and handles."""
     spans = direct_identifiers(text)
-    out = [(kind, text[s:e], True, None, None, None) for s, e, kind in spans]
-    for s, e, whole in name_terms(text, surnames, middles):
-        if not any(a < e and s < b for a, b, _ in spans):
+    free = lambda s, e: not any(a < e and s < b for a, b, _ in spans)
+    loose = [(m.start(), m.end(), "other") for m in LOOSE.finditer(text) if free(m.start(), m.end())]
+    out = [(s, e, kind, text[s:e], True, None, None, _context(text, s, e)) for s, e, kind in (*spans, *loose)]
+    for s, e, whole in name_terms(text, lexicon):
+        if free(s, e):
             words = sorted(tidy(text[s:e]).split())
-            out.append(("name", text[s:e], whole, " ".join(words), " ".join(sorted(bare(w) for w in words)), _context(text, s, e)))
+            out.append((s, e, "name", text[s:e], whole, " ".join(words), " ".join(sorted(bare(w) for w in words)), _context(text, s, e)))
     return out
 
 
-def common_words(names: DataFrame, at: int, least_words: int, share: int = 200) -> frozenset[str]:
-    """Words at a place of the public names that at least one in ``share`` of them has, and after ~ without marks: at most 2 x share."""
-    words = names.select(F.split(F.lower("name"), " +").alias("w")).filter(F.size("w") >= least_words).select(F.col("w")[at].alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    rows = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).filter(f"n * {share} >= all").select("word").collect()
-    own = {unicodedata.normalize("NFC", r["word"]) for r in rows}
-    return frozenset(own | {f"~{bare(w)}" for w in own})
+#: Bits of a word filter and places that each word sets: 2 MB however many words there are.
+FILTER_BITS, FILTER_PLACES = 1 << 24, 4
+
+
+def _places(word: str) -> list[int]:
+    h = blake2b(word.encode(), digest_size=4 * FILTER_PLACES).digest()
+    return [int.from_bytes(h[i : i + 4], "little") % FILTER_BITS for i in range(0, 4 * FILTER_PLACES, 4)]
+
+
+class WordFilter:
+    """Set of words as a bit map of fixed size: every word put in is found, another one by chance.
+
+    At a million words the chance is about 1 in 500; such a word makes a term of a run that is none, which its
+    contexts still have to reveal.
+    """
+
+    def __init__(self, bits: bytes) -> None:
+        self.bits, self.known = bits, {}
+
+    def __contains__(self, word: str) -> bool:
+        hit = self.known.get(word)
+        if hit is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            hit = self.known[word] = all(self.bits[p >> 3] >> (p & 7) & 1 for p in _places(word))
+        return hit
+
+
+def filter_bits(words: DataFrame) -> bytes:
+    """Bit map of the words of a one-column table and of their forms without marks. Places reach the driver, at most ``FILTER_BITS``."""
+
+    @F.pandas_udf("array<int>")
+    def places(ws: pd.Series) -> pd.Series:
+        from pitchlake.llm.privacy import _forms, _places
+
+        return pd.Series([[p for f in set(_forms(w)) for p in _places(f)] for w in ws])
+
+    found = words.select(F.explode(places(words.columns[0])).alias("p")).distinct().toArrow()["p"].to_numpy()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    np.bitwise_or.at(bits, found >> 3, (1 << (found & 7)).astype(np.uint8))
+    return bits.tobytes()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words_of(names: pd.Series) -> pd.Series:
+    """Words of whole names of three words or more without titles, nicknames and initials; null for others."""
+    out = []
+    for n in names:
+        words = _person_words(n)
+        out.append(words if len(words) >= 3 and all(len(w) > 1 for w in words) else None)
+    return pd.Series(out, dtype=object)
+
+
+def lexicon_bits(people: DataFrame) -> tuple[bytes, bytes, bytes, bytes]:
+    """Bit maps of the words that begin public names, stand second in names of four words or more, third or later, fifth or later.
+
+    A word begins names where its information on the first place, ``log2(p(first | word) / p(first))``, reaches the
+    threshold; so with the second place.
+    """
+    names = people.select(_words_of("name").alias("w")).filter("w IS NOT NULL").distinct()
+    placed = names.select(F.posexplode("w").alias("at", "word"), F.size("w").alias("size"))
+    counts = placed.groupBy("word").agg(
+        F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("first"), F.count_if((F.col("at") == 1) & (F.col("size") >= 4)).alias("second"),
+        F.count_if(F.col("at") >= 2).alias("inner"), F.count_if(F.col("at") >= 4).alias("far"),
+    )
+    counts = materialize(counts, "p10-words")
+    total = counts.agg(*[F.sum(c).alias(c) for c in ("n", "first", "second")]).first()
+
+    def telling(place: str) -> DataFrame:
+        prior = (total[place] or 0) / max(total["n"] or 0, 1)
+        share = (F.col(place) + SMOOTHING * prior) / (F.col("n") + SMOOTHING)
+        return counts.filter((F.col(place) > 0) & (F.log2(share / F.lit(prior)) >= THRESHOLD_BITS)).select("word")
+
+    return filter_bits(telling("first")), filter_bits(telling("second")), filter_bits(counts.filter("inner > 0").select("word")), filter_bits(counts.filter("far > 0").select("word"))
 
 
 _NAME_KEYS = T.StructType([T.StructField("marked", T.StringType()), T.StructField("plain", T.StringType()), T.StructField("marks", T.BooleanType())])
@@ -191,28 +327,35 @@ def public_keys(names: DataFrame) -> DataFrame:
     return k.groupBy(F.xxhash64("plain").alias("plain_key")).agg(F.collect_set(F.xxhash64("marked")).alias("marked_keys"), F.max(~F.col("marks")).alias("bare"))
 
 
-_CANDIDATE = "type string, text string, whole boolean, marked string, plain string, contexts array<string>"
+_TERM = "text_hash bigint, start int, end int, type string, text string, whole boolean, marked string, plain string, contexts array<string>"
 
 
-def candidates(df: DataFrame, key: str, text: str, surnames: frozenset[str], middles: frozenset[str]) -> DataFrame:
-    """One row per identifier and name-like term of each text. Texts are read whole; null and empty ones give none."""
+def terms_of(df: DataFrame, key: str, text: str, lexicon: tuple[bytes, bytes, bytes, bytes]) -> DataFrame:
+    """One row per term of each text with its place and contexts. Texts are read whole; null and empty ones give none.
+
+    ``text_hash`` tells the texts of repeated keys apart. The broadcast is four word filters of 2 MB.
+    """
     kind = df.schema[key].dataType.simpleString()
+    sent = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pitchlake.llm.privacy import _rows
+        from pitchlake.llm.privacy import Lexicon, WordFilter, _rows
 
+        known = Lexicon(*[WordFilter(b) for b in sent.value])
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string())]
         for b in batches:
             at, rows = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
+            for i, t in enumerate(b.column(2).to_pylist()):
                 if t:
-                    found = _rows(t, surnames, middles)
+                    found = _rows(t, known)
                     rows += found
                     at += [i] * len(found)
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            arrays = [b.column(0).take(pa.array(at, pa.int32())), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[key, "type", "text", "whole", "marked", "plain", "contexts"])
+            cols = list(zip(*rows)) if rows else [[]] * len(kinds)
+            at = pa.array(at, pa.int32())
+            arrays = [b.column(0).take(at), b.column(1).take(at), *[pa.array(c, k) for c, k in zip(cols, kinds)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[key, "text_hash", "start", "end", "type", "text", "whole", "marked", "plain", "contexts"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {_CANDIDATE}")
+    return df.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text)).mapInArrow(run, f"`{key}` {kind}, {_TERM}")
 
 
 #: Bits of information on a private person, and share of private names, from which a context removes a name.
@@ -223,45 +366,70 @@ MOST_PRIOR = THRESHOLD_SHARE / 2**THRESHOLD_BITS
 SMOOTHING = 1
 
 
-def personal_information(df: DataFrame, key: str, text: str, public: DataFrame) -> DataFrame:
-    """(key, pii_type, pii_text): the different pieces of personal information of each text, exactly as they stand.
+def revealing_contexts(terms: DataFrame) -> DataFrame:
+    """(direct, context, any): contexts that reveal private persons, of names and of direct identifiers apart.
+
+    ``terms`` has direct, personal, whole and contexts. ``any`` is the share of personal terms among all in the context,
+    short names included.
+    """
+    count = lambda c: F.sum(F.col(c).cast("int"))
+    seen = terms.select("direct", F.explode("contexts").alias("context"), "personal", "whole")
+    seen = seen.groupBy("direct", "context").agg(count("personal").alias("personal"), count("whole").alias("whole"), F.count("*").alias("n")).filter("personal > 0")
+    totals = terms.groupBy("direct").agg((F.greatest(count("personal"), F.lit(1)) / F.greatest(count("whole"), F.lit(1))).alias("prior"))
+    share = lambda n: (F.col("personal") + SMOOTHING * F.col("prior")) / (F.col(n) + SMOOTHING)
+    told = seen.join(F.broadcast(totals), "direct").withColumn("any", share("n")).withColumn("of_whole", share("whole"))
+    bits = F.log2(F.col("of_whole") / F.least("prior", F.lit(MOST_PRIOR)))
+    return told.filter((F.col("of_whole") >= THRESHOLD_SHARE) & (bits >= THRESHOLD_BITS)).select("direct", "context", "any")
+
+
+def private_spans(df: DataFrame, key: str, text: str, public: DataFrame) -> DataFrame:
+    """(key, text_hash, start, end, pii_type, pii_text): the pieces of personal information of each text and their places.
 
     ``public`` has the names of persons who are public. A text without any gives no row; null and empty texts none.
     """
     people = public.select("name").filter("name IS NOT NULL AND name <> ''")
-    surnames, middles = common_words(people, 0, 3), common_words(people, 1, 4)
-    found = materialize(candidates(df, key, text, surnames, middles), "p10-candidates")
-    direct = found.filter("type <> 'name'").select(key, F.col("type").alias("pii_type"), F.col("text").alias("pii_text"))
-    names = found.filter("type = 'name'").select(key, "text", "whole", "contexts", F.xxhash64("marked").alias("marked_key"), F.xxhash64("plain").alias("plain_key"))
+    found = materialize(terms_of(df, key, text, lexicon_bits(people)), "p10-terms")
+    names = found.filter("type = 'name'").withColumn("marked_key", F.xxhash64("marked")).withColumn("plain_key", F.xxhash64("plain"))
     # a name is listed as it stands; written without marks, or where the list has it without, by its letters alone
-    listed = F.col("bare") | F.array_contains("marked_keys", F.col("marked_key")) | (F.col("marked_key") == F.col("plain_key"))
-    terms = names.join(public_keys(people), "plain_key", "left").withColumn("private", F.col("whole") & ~F.coalesce(listed, F.lit(False)))
-    terms = materialize(terms.select(key, "text", "contexts", "private", "whole"), "p10-names")
-    one, private, whole = F.lit(1), F.col("private").cast("int"), F.col("whole").cast("int")
-    contexts = terms.select(F.explode("contexts").alias("context"), private.alias("private"), whole.alias("whole"), one.alias("n"))
-    contexts = contexts.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("private", "whole", "n")]).filter("private > 0")
-    totals = terms.agg(F.sum(private).alias("p"), F.sum(whole).alias("n")).first()
-    prior = max(totals["p"] or 0, 1) / max(totals["n"] or 0, 1)
-    share = lambda n: (F.col("private") + SMOOTHING * prior) / (F.col(n) + SMOOTHING)
-    revealing = contexts.withColumn("any", share("n")).withColumn("of_whole", share("whole")).filter((F.col("of_whole") >= THRESHOLD_SHARE) & (F.log2(F.col("of_whole") / F.lit(min(prior, MOST_PRIOR))) >= THRESHOLD_BITS))
-    revealing = materialize(revealing.select("context", "any"), "p10-contexts")
-    asked = terms.filter("private OR NOT whole").select(key, "text", "whole", F.explode("contexts").alias("context"))
-    removed = asked.join(revealing, "context").filter(F.col("whole") | (F.col("any") >= THRESHOLD_SHARE))
-    return direct.unionByName(removed.select(key, F.lit("name").alias("pii_type"), F.col("text").alias("pii_text"))).distinct()
-
-
-def sanitise(df: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
-    """(key, text): each text with its personal information replaced by ``[EMAIL]``, ``[NAME]`` and so on; null stays null."""
-    pieces = found.groupBy(key).agg(F.collect_set(F.struct("pii_type", "pii_text")).alias("pieces"))
+    listed = F.col("marked_keys").isNotNull() & (F.col("bare") | F.array_contains("marked_keys", F.col("marked_key")) | (F.col("marked_key") == F.col("plain_key")))
+    place = [F.col(key), F.col("text_hash"), F.col("start"), F.col("end"), F.col("type").alias("pii_type"), F.col("text").alias("pii_text")]
+    names = names.join(public_keys(people), "plain_key", "left").withColumn("personal", F.col("whole") & ~F.coalesce(listed, F.lit(False)))
+    direct = found.filter("type <> 'name'").select(*place, F.lit(True).alias("direct"), "whole", (F.col("type") != "other").alias("personal"), "contexts")
+    terms = materialize(names.select(*place, F.lit(False).alias("direct"), "whole", "personal", "contexts").unionByName(direct), "p10-judged")
+    revealing = materialize(revealing_contexts(terms), "p10-contexts")
+    asked = terms.filter("personal OR NOT whole").withColumn("context", F.explode("contexts"))
+    removed = asked.join(revealing, ["direct", "context"]).filter(F.col("whole") | (F.col("any") >= THRESHOLD_SHARE))
+    return removed.select(key, "text_hash", "start", "end", "pii_type", "pii_text").distinct()
+
+
+def personal_information(df: DataFrame, key: str, text: str, public: DataFrame) -> DataFrame:
+    """(key, pii_type, pii_text): the different pieces of personal information of each text, exactly as they stand."""
+    return private_spans(df, key, text, public).select(key, "pii_type", "pii_text").distinct()
+
+
+def replace_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """A text with the spans (start, end, type), which don't overlap, replaced by ``[TYPE]``."""
+    out, at = [], 0
+    for s, e, kind in sorted(spans):
+        out += [text[at:s], f"[{kind.upper()}]"]
+        at = e
+    return "".join([*out, text[at:]])
+
+
+def sanitise(df: DataFrame, key: str, text: str, public: DataFrame) -> DataFrame:
+    """(key, text): each text with its personal information replaced by ``[EMAIL]``, ``[NAME]`` and so on; null stays null.
+
+    Pieces are replaced at their places, so equal characters elsewhere stay. Every row of ``df`` comes out once.
+    """
+    spans = private_spans(df, key, text, public)
+    pieces = spans.groupBy(F.col(key).alias("_key"), "text_hash").agg(F.collect_list(F.struct("start", "end", "pii_type")).alias("pieces"))
 
     @F.pandas_udf("string")
     def replace(texts, pieces):
-        out = []
-        for t, ps in zip(texts, pieces):
-            if t is not None and ps is not None and len(ps):
-                by = {p["pii_text"]: f"[{p['pii_type'].upper()}]" for p in ps}
-                t = re.sub("|".join(re.escape(k) for k in sorted(by, key=len, reverse=True)), lambda m: by[m.group()], t)
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    return df.select(key, text).join(pieces, key, "left").select(key, replace(text, "pieces").alias(text))
+        from pitchlake.llm.privacy import replace_spans
+
+        return pd.Series([t if t is None or ps is None else replace_spans(t, [tuple(p.values()) for p in ps]) for t, ps in zip(texts, pieces)], dtype=object)
+
+    texts = df.select(F.col(key), F.col(text), F.xxhash64(text).alias("_hash"))
+    joined = texts.join(pieces, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("text_hash")), "left")
+    return joined.select(key, replace(F.col(text), "pieces").alias(text))

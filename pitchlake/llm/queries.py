@@ -102,7 +102,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_sanitised(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's text with placeholders for the personal information in it."""
-    return privacy.sanitise(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", p10_found(spark, sf))
+    return privacy.sanitise(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", _public(spark, sf))
 
 
 def load() -> None:

@@ -268,6 +268,44 @@ def test_direct_identifiers():
     assert [x for x, k in found if k == "address"] == ["7 hẻm 282/10 đường Dịa Nhèo, xã Nển Giư, huyện Triêng Huống, tỉnh Toản Rược", "118B Hì Kệp Road, Coạn Giệch district, Thí Đượp"]
 
 
+def test_places_and_contexts():
+    text = "An Le gặp An Lee, số 0658224799 trong mã 06582247991"
+    assert privacy.replace_spans(text, [(0, 5, "name"), (21, 31, "phone")]) == "[NAME] gặp An Lee, số [PHONE] trong mã 06582247991"
+    long = "x" * 500
+    assert privacy._context(f"{long} {long} Tên {long} y", 1003, 1005) == privacy._context(f"a {long} {long} Tên {long} y", 1005, 1007)
+    assert privacy._context(f"{long} Tên", 501, 504) == [f"<1 {long}"]
+
+
+def test_names_of_any_length():
+    low = lambda *ws: frozenset(ws)
+    names_ = privacy.Lexicon(low("lường"), low("tuy"), low("an", "bình"), low("hoà", "thuận"))
+    found = lambda t: [t[s:e] for s, e, _ in privacy.name_terms(t, names_)]
+    assert found("gặp Lường Tuy An Bình Hoà Thuận Gửi ảnh") == ["Lường Tuy An Bình Hoà Thuận"]
+    assert found("gặp Lường An Khang Gửi ảnh") == ["Lường An Khang"]
+    assert found("gặp Lường Tuy Lạ Lẫm.") == ["Lường Tuy Lạ Lẫm"]
+
+
+def test_identifiers_need_personal_contexts(spark):
+    docs = [(i, f"Mã vé 06582247{i:02d} hết hạn") for i in range(3)] + [(10 + i, f"Mã vé 8658111595{i:02d}9123 hết hạn") for i in range(30)]
+    docs += [(50 + i, f"gọi 06582248{i:02d} nhé") for i in range(10)]
+    found = privacy.personal_information(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame([("Lường Tuy An",)], "name string"))
+    assert {r.doc_id for r in found.collect()} == set(range(50, 60))
+
+
+def test_unlisted_names_without_marks(spark):
+    public = [("Lường Tuy An Bình",), ("Lường Tuy Kề Cận",)]
+    docs = [(1, "Ký tên: LUONG TUY AN BINH."), (2, "Ký tên: Luong Tuy La Lam."), (3, "Ký tên: Luong Tuy Ke Can."), (4, "Ký tên: Lường Tuy Lạ Lùng.")]
+    found = privacy.personal_information(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(public, "name string"))
+    assert {r.doc_id for r in found.collect()} == {2, 4}
+
+
+def test_word_filter(spark):
+    words = spark.createDataFrame([("lường",), ("tuy",), ("đỗ",)], "w string")
+    held = privacy.WordFilter(privacy.filter_bits(words))
+    assert all(w in held for w in ("lường", "~luong", "~do")) and "luong" not in held and "an" not in held
+    assert "x" not in privacy.WordFilter(privacy.filter_bits(words.limit(0)))
+
+
 def test_personal_information(spark):
     public = [(f"Lường Tuy An Bình{chr(97 + i)}",) for i in range(20)]
     docs = [(i, f"Phút 5, {public[i % 20][0]} ghi bàn cho đội.", "x") for i in range(60)]
@@ -280,7 +318,7 @@ def test_personal_information(spark):
     assert {(100 + i, "name", f"Lường Tuy Kín Đáo{chr(97 + i)}") for i in range(10)} <= got
     assert {(100, "phone", "0658224799"), (200, "name", "L. Kín Đáo"), (203, "name", "Lường Tuy Lạ Lẫm")} <= got
     assert not [x for x in got if x[0] < 100]
-    clean = {r.doc_id: r.text for r in privacy.sanitise(df.filter("doc_id < 203"), "doc_id", "text", found).collect()}
+    clean = {r.doc_id: r.text for r in privacy.sanitise(df, "doc_id", "text", names_).collect()}
     assert clean[100] == "Ký tên: [NAME], gọi [PHONE]." and clean[201] is None and clean[202] == "" and clean[0] == docs[0][1]
     assert privacy.personal_information(df.limit(0), "doc_id", "text", names_).count() == 0
     assert privacy.personal_information(df, "doc_id", "text", names_.limit(0)).filter("pii_type = 'phone'").count() == 10
@@ -293,5 +331,5 @@ def test_names_in_a_mostly_private_corpus(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = privacy.personal_information(df, "doc_id", "text", spark.createDataFrame(public, "name string"))
     assert {r.doc_id for r in found.filter("pii_type = 'name'").collect()} == {*range(90), 200}
-    clean = {r.doc_id: r.text for r in privacy.sanitise(df, "doc_id", "text", found).collect()}
+    clean = {r.doc_id: r.text for r in privacy.sanitise(df, "doc_id", "text", spark.createDataFrame(public, "name string")).collect()}
     assert clean[0] == "Ký tên: [NAME], gọi." and clean[100] == docs[90][1]
