@@ -1,10 +1,11 @@
 """Freely typed values mapped to the entries of a reference list.
 
 A multi-pattern automaton over the folded canonical names and aliases finds mentions embedded in a value; of mentions
-that overlap the longest wins. What has no mention goes to token-set similarity: the value's parts are compared with
-every name through a deletion neighbourhood, so that typing errors, joined and abbreviated words still find their
-entry. Values that reach neither are reported as unmatched. The list is small and of fixed size; it is sent to the
-workers as part of the function.
+that overlap the longest wins. What has no mention goes to token-set similarity: the value's words are compared as a set
+with the words of every name that shares a near word, each word with its nearest by edits, so that typing errors, reordered,
+joined and abbreviated words still find their entry. Near words are found through deletion neighbourhoods of the list's
+words. Values that reach neither are reported as unmatched. The list is small and of fixed size; it is sent to the workers as
+part of the function.
 """
 
 from __future__ import annotations
@@ -44,6 +45,34 @@ LOWER_UNITS = ("xa", "huyen", "lang", "thon", "ap", "phuong", "quan", "thi tran"
 PLACE_NOISE = ("tinh", "thanh pho", "tp", "t p", "province", "city", "nay thuoc", "now")
 
 
+def set_errors(a: tuple[str, ...], b: tuple[str, ...], most: int) -> int:
+    """Errors between two sets of words: edits of each word from its partner, the letters of words without one, and one more where the order differs.
+
+    The best assignment counts; ``most + 1`` where there are more errors. The similarity of the sets is 1 less the errors'
+    share of the letters.
+    """
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    if len(a) > len(b):
+        a, b = b, a
+
+    def best(i: int, left: tuple[str, ...], low: int, moved: int, allowed: int) -> int:
+        """Errors of the words of ``a`` from the i-th on with the words ``left``, of which those from ``low`` on keep the order."""
+        if i == len(a):
+            return min(sum(map(len, left)), allowed + 1)
+        out = allowed + 1
+        for j, w in enumerate(left):
+            turn = int(j < low and not moved)
+            n = edits(a[i], w, allowed) + turn
+            if n <= allowed:
+                out = min(out, n + best(i + 1, left[:j] + left[j + 1 :], j, moved or turn, allowed - n))
+                if out == 0:
+                    break
+        return min(out, len(a[i]) + best(i + 1, left, low, moved, allowed - len(a[i]))) if len(a[i]) <= allowed else out
+
+    return min(best(0, tuple(b), 0, 0, most), most + 1)
+
+
 @dataclass
 class Canonicalizer:
     """Maps one value at a time. ``names`` are (target, name) pairs, aliases included.
@@ -79,21 +108,26 @@ class Canonicalizer:
             if len(n) > 3:  # shorter ones only stand alone
                 self.automaton.add_word(f" {n} ", n)
         self.automaton.make_automaton()
-        self.compact = {}
+        self.sets: dict[str, list[tuple[str, ...]]] = {}  # the sets of words of each name: its words, and all of them joined
+        self.by_word: dict[str, set[str]] = {}
+        self.longest = 0
         for n in self.exact:
-            self.compact.setdefault(n.replace(" ", ""), n)
-        self.near: dict[str, set[str]] = {}
-        for c in self.compact:
-            if len(c) >= 4:
-                for d in deletions(c, self._allowed(c)):
-                    self.near.setdefault(d, set()).add(c)
+            joined = n.replace(" ", "")
+            self.sets[n] = [tuple(n.split())] + ([(joined,)] if " " in n else [])
+            self.longest = max(self.longest, len(joined))
+            most = self._allowed(joined)
+            for words in self.sets[n]:
+                for w in words:  # of several words one has at most half of the errors
+                    for d in deletions(w, most if len(words) == 1 else most // 2):
+                        self.by_word.setdefault(d, set()).add(n)
         self.marked = {}
         for _, name in self.names:
             self.marked.setdefault(fold(name), tidy(name).replace(" ", ""))
 
     @staticmethod
     def _allowed(name: str) -> int:
-        return 2 if len(name) >= 6 else 1
+        """Errors that a name may be typed with, by its letters."""
+        return 2 if len(name) >= 6 else 1 if len(name) >= 4 else 0
 
     def _mentions(self, part: str) -> list[tuple[int, int, str]]:
         """Longest non-overlapping mentions (start, end, name) in a folded part, in order."""
@@ -115,28 +149,34 @@ class Canonicalizer:
             text = text.replace(f" {w} ", " ")
         return "" if any(text.startswith(f" {w} ") for w in self.lower) else text.strip()
 
+    def _near_names(self, words: tuple[str, ...]) -> set[str]:
+        """Names with a word near one of the value's words."""
+        out: set[str] = set()
+        for w in words:
+            if len(w) <= self.longest + 2:  # a longer word is within two edits of no word of the list
+                for d in deletions(w, 2 if len(words) == 1 else 1):
+                    out |= self.by_word.get(d, set())
+        return out
+
     def _similar(self, part: str, raw: str) -> str | None:
-        """Name nearest to a whole part by its set of tokens, within the allowed edits, or None where none or two are."""
+        """Name most similar to a whole part by its set of words, within the allowed errors, or None where none or two are."""
         text = self._bare(part)
-        whole = text.replace(" ", "")
-        if whole in self.compact:
-            return self.compact[whole]
-        if len(whole) < 4:
+        words = tuple(text.split())
+        if not words:
             return None
+        sets = [words] + ([("".join(words),)] if len(words) > 1 else [])
+        marked = "".join(w for w in tidy(raw).split() if fold(w) in words)
         found: dict[str, tuple] = {}
-        marked = "".join(w for w in tidy(raw).split() if fold(w) in text.split())
-        for d in deletions(whole, 2) if len(whole) <= 26 else ():
-            for c in self.near.get(d, ()):
-                if c not in found:
-                    n = edits(whole, c, 2)
-                    if n <= self._allowed(c):
-                        found[c] = (n, self.compact[c] not in self.full, edits(marked, self.marked.get(self.compact[c], c), 6))
+        for n in {n for own in sets for n in self._near_names(own)}:
+            joined = self.sets[n][-1][0] if len(self.sets[n]) > 1 else self.sets[n][0][0]
+            most = self._allowed(joined)
+            errors = min(set_errors(own, other, most) for own in sets for other in self.sets[n])
+            if errors <= most:
+                found[n] = (errors, n not in self.full, edits(marked, self.marked.get(n, joined), 6))
         if not found:
-            tokens = sorted(text.split())
-            hits = {n for n in self.exact if sorted(n.split()) == tokens}
-            return min(hits) if len({self.exact[n] for n in hits}) == 1 else None
+            return None
         best = min(found.values())
-        names = [self.compact[c] for c, score in found.items() if score == best]
+        names = [n for n, score in found.items() if score == best]
         return min(names) if len({self.exact[n] for n in names}) == 1 else None
 
     def map(self, value: str) -> str:

@@ -90,6 +90,17 @@ def test_positions(value, target):
     assert canonical.position_canonicalizer(POSITIONS).map(value) == target
 
 
+def test_sets_of_words():
+    e = canonical.set_errors
+    assert e(("tien", "ve"), ("tien", "ve"), 2) == 0 and e(("ve", "tien"), ("tien", "ve"), 2) == 1 and e(("tien", "vee"), ("tien", "ve"), 2) == 1
+    assert e(("tien", "ve"), ("tien", "ve", "x"), 2) == 1 and e(("tien",), ("tien", "canh"), 2) == 3 and e(("vo", "phich"), ("khich", "ve"), 2) == 3 and e((), ("a",), 2) == 1
+    long = [("CM", "Tiền vệ trung tâm lùi sâu phía trước hàng hậu vệ")]
+    c = canonical.Canonicalizer([*long, ("GK", "Thủ môn")], first=True)
+    for typed in ("Tiền vệ trugn tâm lùi sâu phía trước hàng hậu vệ", "trung tâm Tiền vệ lùi sâu phía trước hàng hậu vej", "Tiền vệ trung tâm lùisâu phía trước hàng hậu"):
+        assert c.map(typed) == "CM" and len(typed) > 40
+    assert c.map("Tiền vệ " + "x" * 5000) == "UNMATCHED" and c.map("x" * 100_000) == "UNMATCHED" and c.map("a " * 20_000) == "UNMATCHED"
+
+
 def test_canonical_column(spark):
     c = canonical.place_canonicalizer(PROVINCES)
     df = spark.createDataFrame([("moc mien",), (None,), ("x " * 50_000 + ", Táu Nhĩm",), ("moc mien",)], "v string")
