@@ -18,72 +18,105 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+Interval = tuple[int, int]
+
+
 class IntervalMap:
-    """Disjoint closed intervals of whole numbers in order, with the gaps between them."""
+    """Disjoint closed intervals of whole numbers in order, with the gaps between them kept at every insertion."""
 
-    __slots__ = ("ends", "starts")
+    __slots__ = ("ends", "holes", "starts")
 
     def __init__(self, starts: list[int] | None = None, ends: list[int] | None = None) -> None:
         self.starts = list(starts or [])
         self.ends = list(ends or [])
+        self.holes: list[Interval] = [(e + 1, s - 1) for e, s in zip(self.ends, self.starts[1:])]
+
+    def insert(self, start: int, end: int) -> tuple[list[Interval], list[Interval]] | None:
+        """Add [start, end]: the gaps that go and those that come, or None where the map stays as it is.
 
-    def insert(self, start: int, end: int) -> bool:
-        """Add [start, end]; true where the map changed. Intervals that touch (end + 1 = start) become one."""
+        The intervals that overlap or touch (end + 1 = start) are found by binary search and become one with it.
+        """
         first = bisect_left(self.ends, start - 1)
         last = bisect_right(self.starts, end + 1)
         if first < last:
             if self.starts[first] <= start and end <= self.ends[first]:
-                return False
+                return None
             start, end = min(start, self.starts[first]), max(end, self.ends[last - 1])
+        low, high = max(first - 1, 0), max(min(last, len(self.starts) - 1), 0)
+        come = [(self.ends[first - 1] + 1, start - 1)] if first > 0 else []
+        if last < len(self.starts):
+            come.append((end + 1, self.starts[last] - 1))
+        go = self.holes[low:high]
+        self.holes[low:high] = come
         self.starts[first:last] = [start]
         self.ends[first:last] = [end]
-        return True
+        return go, come
 
-    def gaps(self) -> list[tuple[int, int]]:
-        return [(e + 1, s - 1) for e, s in zip(self.ends, self.starts[1:])]
+    def gaps(self) -> list[Interval]:
+        return list(self.holes)
 
     def rows(self) -> list[tuple[str, int, int]]:
         """Periods and gaps as (kind, from, to)."""
-        return [("period", s, e) for s, e in zip(self.starts, self.ends)] + [("gap", s, e) for s, e in self.gaps()]
+        return [("period", s, e) for s, e in zip(self.starts, self.ends)] + [("gap", s, e) for s, e in self.holes]
+
+
+class KeyedIntervals:
+    """Keyed state: the interval map of each key that has had an insertion."""
+
+    __slots__ = ("maps",)
 
+    def __init__(self) -> None:
+        self.maps: dict = {}
 
-#: Entities a fold holds before it passes its maps on; a bound on memory, the final fold merges what is split by it.
+    def insert(self, key: object, start: int, end: int) -> bool:
+        """Add an interval to a key's map; true where the map changed."""
+        held = self.maps.get(key)
+        if held is None:
+            held = self.maps[key] = IntervalMap()
+        return held.insert(start, end) is not None
+
+    def intervals(self) -> list[tuple]:
+        """(key, start, end) of every interval; the state is empty after it."""
+        out = [(k, s, e) for k, m in self.maps.items() for s, e in zip(m.starts, m.ends)]
+        self.maps.clear()
+        return out
+
+    def rows(self) -> list[tuple]:
+        """(key, kind, start, end) of every period and gap; the state is empty after it."""
+        out = [(k, *r) for k, m in self.maps.items() for r in m.rows()]
+        self.maps.clear()
+        return out
+
+
+#: Keys whose maps a fold holds before it passes them on; a bound on memory, the final fold merges what is split by it.
 HELD = 200_000
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (key, start, end) to the disjoint intervals of each key in this partition."""
-    maps: dict = {}
-
-    def out() -> pd.DataFrame:
-        rows = [(k, s, e) for k, m in maps.items() for s, e in zip(m.starts, m.ends)]
-        maps.clear()
-        return pd.DataFrame(rows, columns=["key", "start", "end"])
-
+    state = KeyedIntervals()
     for pdf in batches:
         for k, s, e in pdf.itertuples(index=False, name=None):
-            m = maps.get(k)
-            if m is None:
-                m = maps[k] = IntervalMap()
-            m.insert(s, e)
-        if len(maps) >= HELD:
-            yield out()
-    if maps:
-        yield out()
+            state.insert(k, s, e)
+        if len(state.maps) >= HELD:
+            yield pd.DataFrame(state.intervals(), columns=["key", "start", "end"])
+    if state.maps:
+        yield pd.DataFrame(state.intervals(), columns=["key", "start", "end"])
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, start, end) with equal keys together to rows (key, kind, start, end)."""
-    key, held = None, IntervalMap()
+    """Rows (key, start, end) with equal keys together to rows (key, kind, start, end): a key's state goes out when the next key comes."""
+    columns = ["key", "kind", "start", "end"]
+    state, last = KeyedIntervals(), None
     for pdf in batches:
         rows: list = []
         for k, s, e in pdf.itertuples(index=False, name=None):
-            if k != key:
-                rows += [(key, *r) for r in held.rows()]
-                key, held = k, IntervalMap()
-            held.insert(s, e)
-        yield pd.DataFrame(rows, columns=["key", "kind", "start", "end"])
-    yield pd.DataFrame([(key, *r) for r in held.rows()], columns=["key", "kind", "start", "end"])
+            if k != last:
+                rows += state.rows()
+                last = k
+            state.insert(k, s, e)
+        yield pd.DataFrame(rows, columns=columns)
+    yield pd.DataFrame(state.rows(), columns=columns)
 
 
 def periods_and_gaps(df: DataFrame, key: str, start: str, end: str, low: int, high: int, open_end: int) -> DataFrame:

@@ -45,7 +45,7 @@ def interval_stream(stream: DataFrame, key: str, start: str, end: str) -> DataFr
         held, changed = IntervalMap(list(starts), list(ends)), False
         for pdf in batches:
             for s, e in zip(pdf["start"], pdf["end"]):
-                changed |= held.insert(int(s), int(e))
+                changed |= held.insert(int(s), int(e)) is not None
         if changed:
             state.update((held.starts, held.ends, version + 1))
             yield pd.DataFrame([(k[0], *r, version + 1) for r in held.rows()], columns=["key", "kind", "start", "end", "version"])

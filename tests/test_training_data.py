@@ -56,18 +56,45 @@ def test_orphans(spark):
     state = existence_state(versions, "k", "t", "gone")
     got = {(r.e, r.kind) for r in orphan_references(edges, "e", "k", "t", state).collect()}
     assert got == {(11, "deleted"), (12, "late"), (14, "late"), (15, "missing"), (17, "deleted"), (19, "missing")}
-    counts = reference_counts(edges, "k")
+    counts = reference_counts(edges, "k", "t")
     assert {(r.key, r.refs, r.kind) for r in orphan_keys(counts, state).collect()} == {(2, 1, "deleted"), (5, 1, "deleted"), (9, 2, "missing")}
     # two batches merge to the state of all
     parts = [existence_state(versions.filter(c), "k", "t", "gone") for c in ("day(t) < 4", "day(t) >= 4")]
     assert {tuple(r) for r in merge_existence(*parts).collect()} == {tuple(r) for r in state.collect()}
     signed = edges.withColumn("s", F.when(F.col("e") == 19, -1).otherwise(1))
-    left = merge_references(reference_counts(signed.filter("e <> 19"), "k", "s"), reference_counts(signed.filter("e = 19"), "k", "s"))
+    left = merge_references(reference_counts(signed.filter("e <> 19"), "k", "t", "s"), reference_counts(signed.filter("e = 19"), "k", "t", "s"))
     assert {(r.key, r.refs) for r in left.filter("refs > 0").collect()} == {(1, 1), (2, 1), (3, 3), (4, 1), (5, 1)}
     assert orphan_references(edges.limit(0), "e", "k", "t", state).count() == 0
     assert orphan_references(edges, "e", "k", "t", state.limit(0)).filter("kind = 'missing'").count() == 9
 
 
+def test_untimed_versions(spark):
+    rows = [(1, False, None), (1, True, None), (2, True, None), (2, False, at(1)), (3, None, None)]
+    state = {r.key: (r.exist, r.first_at) for r in existence_state(spark.createDataFrame(rows, "k long, gone boolean, t timestamp"), "k", "t", "gone").collect()}
+    assert state == {1: (0, None), 2: (1, at(1)), 3: (1, None)}
+
+
+@pytest.mark.parametrize(("name", "function"), [("p4_found", "pitchlake.operators.references.reference_counts"), ("p6_found", "pitchlake.operators.interval_map.IntervalMap.insert")])
+def test_queries_run_through_their_operator(spark, monkeypatch, name, function):
+    """A broken operator breaks its query."""
+    import __spark_entry__ as entry
+    from pitchlake.operators import interval_map
+
+    def broken(*_):
+        raise RuntimeError("broken")
+
+    monkeypatch.setattr(function, broken)
+    if name == "p6_found":
+        frame = __import__("pandas").DataFrame({"key": [1], "start": [1], "end": [2]})
+        with pytest.raises(RuntimeError):
+            list(interval_map._fold(iter([frame])))
+        with pytest.raises(RuntimeError):
+            list(interval_map._finish(iter([frame])))
+    else:
+        with pytest.raises(RuntimeError):
+            entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+
+
 def brute(intervals):
     years = sorted({y for a, b in intervals for y in range(a, b + 1)})
     periods = []
