@@ -45,18 +45,20 @@ EMAIL = re.compile(
 )
 PHONE = re.compile(rf"[(+0](?<![\w/+.-].)(?:(?:(?<=\()\+84\)|(?<=\+)84|(?<=0)084)(?:[ .-]?\d){{9}}|(?<=\()0\d{{2}}\)(?:[ .-]?\d){{7}}|(?<=0)\d(?:[ .-]?\d){{8}}){_AFTER}")
 SPOKEN = re.compile(rf"(?:[Kk]hông|[Zz]ero|[Oo]h)(?:[ -]{_DIGIT}){{8,11}}(?!\w)", re.IGNORECASE)
-ID_NUMBER = re.compile(rf"(?<![\w/+.,-])(?:0\d{{2}}(?:[ .-]?\d){{9}}|\d{{3}} \d{{3}} \d{{3}}|\d{{9}}|[A-Z] ?\d{{7}}){_AFTER}")
+# (patterns begin with a class of characters, which the engine looks for fast, and look behind after it)
+ID_NUMBER = re.compile(rf"[0-9A-Z](?<![\w/+.,-].)(?:(?<=0)\d{{2}}(?:[ .-]?\d){{9}}|(?<=\d)\d{{2}} \d{{3}} \d{{3}}|(?<=\d)\d{{8}}|(?<=[A-Z]) ?\d{{7}}){_AFTER}")
 _UNIT = rf"(?:(?:phường|xã|huyện|quận|thị trấn|thị xã|thành phố|tỉnh|phuong|xa|huyen|quan|tinh|thanh pho|khu phố|tổ|ấp|thôn|Ward|District|Q\.|P\.|H\.|X\.|TP\.|TP|T\.)\s?(?:\d+|{_CAPS})|{_CAP}(?: {_CAP}){{0,2}} (?:district|ward|city|province)|{_CAP}(?: {_CAP}){{0,2}})"
 _STREET = rf"(?:(?:đường|duong|phố|pho|khu phố|khu pho|ấp|thôn) {_CAPS}|{_CAP}(?: {_CAP}){{0,3}}? (?:Street|St\.|Road|Rd\.|Lane|Avenue|Ave\.)|{_CAP}(?: {_CAP}){{0,2}}(?=, (?:TP|P|Q|H|phường|quận|xã|huyện|Ward)))"
-ADDRESS = re.compile(rf"(?<![\w/.,-])\d{{1,4}}[A-Za-z]?(?:[/-]\d+)*(?: (?:ngõ|hẻm|ngách|kiệt|ngo|hem) \d+(?:/\d+)*)? {_STREET}(?:, {_UNIT})*")
+ADDRESS = re.compile(rf"\d(?<![\w/.,-].)\d{{0,3}}[A-Za-z]?(?:[/-]\d+)*(?: (?:ngõ|hẻm|ngách|kiệt|ngo|hem) \d+(?:/\d+)*)? {_STREET}(?:, {_UNIT})*")
 _WORD = rf"[{_UPPER}](?:[\w{_MARK}]+|(?!\.))"
-_RUN = re.compile(rf"(?:(?<![\w{_MARK}])[{_UPPER}]\.[ ]?)*(?<![\w{_MARK}]){_WORD}(?:[ -]{_WORD})+")
+_RUN = re.compile(rf"[{_UPPER}](?<![\w{_MARK}].)(?:\.[ ]?(?:[{_UPPER}]\.[ ]?)*{_WORD}|[\w{_MARK}]+|(?!\.))(?:[ -]{_WORD})+")
 _TOKEN = re.compile(rf"[\w{_MARK}]+|[^\w\s]")
 _SPLIT = re.compile("[ -]")
 
 
 #: Numbers of seven digits and more and handles, which are no identifiers by their form.
-LOOSE = re.compile(r"(?<![\w@])(?:[(+]?\d(?:[ .()/-]{0,2}\d){6,}|[@＠]\w+)")
+LOOSE = re.compile(r"\d(?<!\w.)(?:[ .()/-]{0,2}\d){6,}")
+HANDLE = re.compile(r"[@＠]\w+")
 
 _SPOKEN_START = re.compile(rf"(?:hông|HÔNG|ero|ERO|oh|OH|Oh)[ -]{_DIGIT}[ -]{_DIGIT}[ -]{_DIGIT}(?!\w)")
 
@@ -84,6 +86,11 @@ _DIGITS = re.compile(r"\d+")
 _AROUND = 32
 
 
+@lru_cache(maxsize=200_000)
+def _low(word: str) -> str:
+    return _DIGITS.sub("9", word.lower())
+
+
 def _before(text: str, start: int) -> list[str]:
     """The last two words or signs before a place, whole however long they are."""
     n = _AROUND
@@ -107,8 +114,8 @@ def _behind(text: str, end: int) -> list[str]:
 
 def _context(text: str, start: int, end: int) -> list[str]:
     """Keys of the words before and after a term: one and two each, lower case, digits as one sign."""
-    left = [_DIGITS.sub("9", w.lower()) for w in _before(text, start)]
-    right = [_DIGITS.sub("9", w.lower()) for w in _behind(text, end)]
+    left = [_low(w) for w in _before(text, start)]
+    right = [_low(w) for w in _behind(text, end)]
     out = []
     if left:
         out.append("<1 " + left[-1])
@@ -220,15 +227,22 @@ def _rows(text: str, lexicon: Lexicon) -> list[tuple]:
     """(start, end, type, text, whole, words with marks, words without, contexts) of what a text holds; type ``other`` for loose numbers and handles."""
     spans = direct_identifiers(text)
     free = lambda s, e: not any(a < e and s < b for a, b, _ in spans)
-    loose = [(m.start(), m.end(), "other") for m in LOOSE.finditer(text) if free(m.start(), m.end())]
+    others = [m.span() for m in LOOSE.finditer(text)] + ([m.span() for m in HANDLE.finditer(text)] if "@" in text or "＠" in text else [])
+    loose = [(s, e, "other") for s, e in others if free(s, e)]
     out = [(s, e, kind, text[s:e], True, None, None, _context(text, s, e)) for s, e, kind in (*spans, *loose)]
     for s, e, whole in name_terms(text, lexicon):
         if free(s, e):
-            words = sorted(tidy(text[s:e]).split())
-            out.append((s, e, "name", text[s:e], whole, " ".join(words), " ".join(sorted(bare(w) for w in words)), _context(text, s, e)))
+            out.append((s, e, "name", text[s:e], whole, *_sorted_words(text[s:e]), _context(text, s, e)))
     return out
 
 
+@lru_cache(maxsize=200_000)
+def _sorted_words(name: str) -> tuple[str, str]:
+    """The words of a name in order with marks and without."""
+    words = sorted(tidy(name).split())
+    return " ".join(words), " ".join(sorted(bare(w) for w in words))
+
+
 #: Bits of a word filter and places that each word sets: 2 MB however many words there are.
 FILTER_BITS, FILTER_PLACES = 1 << 24, 4
 
@@ -272,23 +286,13 @@ def filter_bits(words: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _words_of(names: pd.Series) -> pd.Series:
-    """Words of whole names of three words or more without titles, nicknames and initials; null for others."""
-    out = []
-    for n in names:
-        words = _person_words(n)
-        out.append(words if len(words) >= 3 and all(len(w) > 1 for w in words) else None)
-    return pd.Series(out, dtype=object)
-
-
 def lexicon_bits(people: DataFrame) -> tuple[bytes, bytes, bytes, bytes]:
-    """Bit maps of the words that begin public names, stand second in names of four words or more, third or later, fifth or later.
+    """Bit maps of the words that begin the names of ``public_names``, stand second in names of four words or more, third or later, fifth or later.
 
     A word begins names where its information on the first place, ``log2(p(first | word) / p(first))``, reaches the
     threshold; so with the second place.
     """
-    names = people.select(_words_of("name").alias("w")).filter("w IS NOT NULL").distinct()
+    names = people.select(F.col("words").alias("w")).filter("w IS NOT NULL").distinct()
     placed = names.select(F.posexplode("w").alias("at", "word"), F.size("w").alias("size"))
     counts = placed.groupBy("word").agg(
         F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("first"), F.count_if((F.col("at") == 1) & (F.col("size") >= 4)).alias("second"),
@@ -305,9 +309,6 @@ def lexicon_bits(people: DataFrame) -> tuple[bytes, bytes, bytes, bytes]:
     return filter_bits(telling("first")), filter_bits(telling("second")), filter_bits(counts.filter("inner > 0").select("word")), filter_bits(counts.filter("far > 0").select("word"))
 
 
-_NAME_KEYS = T.StructType([T.StructField("marked", T.StringType()), T.StructField("plain", T.StringType()), T.StructField("marks", T.BooleanType())])
-
-
 def name_keys(name: str) -> tuple[str, str, bool]:
     """(words with marks, words without, has marks) of a public person's name without titles, sorted as parts are reordered."""
     _, words, _, _, _, _ = read_person(name)
@@ -316,14 +317,27 @@ def name_keys(name: str) -> tuple[str, str, bool]:
     return " ".join(words), " ".join(sorted(plain)), words != plain
 
 
-@F.pandas_udf(_NAME_KEYS)
-def _name_keys(names: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([name_keys(n) for n in names], columns=["marked", "plain", "marks"])
+_NAME = T.StructType([T.StructField("marked", T.StringType()), T.StructField("plain", T.StringType()), T.StructField("marks", T.BooleanType()), T.StructField("words", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(_NAME)
+def _read_names(names: pd.Series) -> pd.DataFrame:
+    rows = []
+    for n in names:
+        words = _person_words(n)
+        whole = len(words) >= 3 and all(len(w) > 1 for w in words)
+        rows.append((*name_keys(n), words if whole else None))
+    return pd.DataFrame(rows, columns=["marked", "plain", "marks", "words"])
+
+
+def public_names(names: DataFrame) -> DataFrame:
+    """(marked, plain, marks, words): the keys of each public name and, of whole names of three words or more, the words without titles, nicknames and initials."""
+    return names.select("name").filter("name IS NOT NULL AND name <> ''").distinct().select(_read_names("name").alias("k")).select("k.*")
 
 
-def public_keys(names: DataFrame) -> DataFrame:
-    """(plain_key, marked_keys, bare): the public names by their words without marks; ``bare`` where one is listed without any."""
-    k = names.filter("name IS NOT NULL").select(_name_keys("name").alias("k")).select("k.*").distinct()
+def public_keys(people: DataFrame) -> DataFrame:
+    """(plain_key, marked_keys, bare): the names of ``public_names`` by their words without marks; ``bare`` where one is listed without any."""
+    k = people.select("marked", "plain", "marks").distinct()
     return k.groupBy(F.xxhash64("plain").alias("plain_key")).agg(F.collect_set(F.xxhash64("marked")).alias("marked_keys"), F.max(~F.col("marks")).alias("bare"))
 
 
@@ -387,7 +401,7 @@ def private_spans(df: DataFrame, key: str, text: str, public: DataFrame) -> Data
 
     ``public`` has the names of persons who are public. A text without any gives no row; null and empty texts none.
     """
-    people = public.select("name").filter("name IS NOT NULL AND name <> ''")
+    people = materialize(public_names(public), "p10-public")
     found = materialize(terms_of(df, key, text, lexicon_bits(people)), "p10-terms")
     names = found.filter("type = 'name'").withColumn("marked_key", F.xxhash64("marked")).withColumn("plain_key", F.xxhash64("plain"))
     # a name is listed as it stands; written without marks, or where the list has it without, by its letters alone
