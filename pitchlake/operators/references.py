@@ -36,7 +36,7 @@ def existence_state(versions: DataFrame, key: str, at: str, deleted: str) -> Dat
     else 0; ``last_at`` and ``gone_at`` are the times of the newest version and of the newest deletion. A null deletion
     flag means not deleted.
     """
-    known = F.coalesce(F.col(at), F.lit("0001-01-01").cast(versions.schema[at].dataType))
+    known = F.coalesce(F.col(at), F.lit("1000-01-01").cast(versions.schema[at].dataType))
     times = versions.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(at).alias("at"), known.alias("known"), F.coalesce(F.col(deleted), F.lit(False)).alias("gone"))
     state = times.groupBy("key").agg(F.min("at").alias("first_at"), F.max("known").alias("last_at"), F.max(F.when(F.col("gone"), F.col("known"))).alias("gone_at"))
     return state.select("key", _exist(F.col("gone_at"), F.col("last_at")).alias("exist"), "first_at", "last_at", "gone_at")
