@@ -35,16 +35,57 @@ def clean_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def strip_templates(text: str) -> str:
+    """A wiki text without its templates, however deep they nest; braces that nothing closes stay."""
+    out: list[str] = []
+    opened: list[int] = []
+    at = 0
+    for m in _BRACES.finditer(text):
+        if m.group() == "{{":
+            out.append(text[at : m.start()])
+            opened.append(len(out))
+            at = m.start()
+        elif opened:
+            del out[opened.pop() :]
+            at = m.end()
+    return "".join([*out, text[at:]])
+
+
+_BRACES = re.compile(r"\{\{|\}\}")
+
+
+def without_templates(c: Column) -> Column:
+    """``strip_templates`` of a column (Arrow function)."""
+
+    @F.pandas_udf("string")
+    def strip(s: pd.Series) -> pd.Series:
+        from pitchlake.functions.text import strip_templates
+
+        return s.map(lambda x: strip_templates(x) if x is not None and "{{" in x else x)
+
+    return strip(c)
+
+
 def clean_wikitext(c: Column) -> Column:
     """Text without references, links, templates, tags and quotes marks of wiki markup."""
     c = F.regexp_replace(c, r"(?s)<ref[^<>]*?/>|<ref[^<>]*>.*?</ref>", "")
     c = F.regexp_replace(c, r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1")
-    for _ in range(2):  # inner templates first
-        c = F.regexp_replace(c, r"\{\{[^{}]*\}\}", "")
+    c = without_templates(c)
     c = F.regexp_replace(F.regexp_replace(c, r"<[^<>]*>", ""), "'{2,}", "")
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def article_text(c: Column) -> Column:
+    """Prose of a wiki page: ``clean_wikitext`` without comments, tables, files, categories, links to the web, headings' signs, list signs and character entities."""
+    c = F.regexp_replace(c, r"(?s)<!--.*?-->|\{\|.*?\|\}", "")
+    c = F.regexp_replace(c, r"(?i)\[\[(?:file|image|tập tin|hình|category|thể loại):(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"\[https?://[^\s\]]+\s*([^\]]*)\]", "$1"), r"https?://\S+", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?m)^={2,6}\s*(.*?)\s*={2,6}\s*$", "$1"), r"(?m)^[*#:;]+\s*", "")
+    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(sign))
+    return clean_wikitext(c)
+
+
 def clean_text(c: Column) -> Column:
     """Text without links, mail addresses and tags, white space runs as one space."""
     c = F.regexp_replace(c, r"https?://[^ \t\r\n]+", " ")
@@ -245,3 +286,83 @@ def similarity(a: Column, b: Column) -> Column:
         return pd.Series([token_set_ratio(p, q) if p is not None and q is not None else None for p, q in zip(x, y)], dtype="float64")
 
     return ratio(a, b)
+
+
+def contains_any(c: Column, words: list[str] | tuple[str, ...]) -> Column:
+    """A folded text holds one of the words; false for null."""
+    low, out = F.lower(c), F.lit(False)
+    for w in words:
+        out = out | F.contains(low, F.lit(w))
+    return F.coalesce(out, F.lit(False))
+
+
+def classified(c: Column, rules: list[tuple[tuple[str, ...], str]], default: str | None) -> Column:
+    """Class of the first rule (words, class) of which the folded text holds a word, else ``default``."""
+    out = F.lit(default)
+    for words, name in reversed(rules):
+        out = F.when(contains_any(c, words), name).otherwise(out)
+    return out
+
+
+def mapped(c: Column, pairs: list[tuple[str, str]], default: Column) -> Column:
+    """Value of the key that equals the folded text, else of the first key in it, else ``default``; null for null and blank texts.
+
+    ``pairs`` are (folded key, value) of a small list of fixed size; of equal keys the first counts.
+    """
+    low = F.lower(F.trim(c))
+    exact = F.coalesce(*[F.when(low == k, F.lit(v)) for k, v in pairs])
+    first = F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in pairs])
+    return F.when(low.isNotNull() & (low != ""), F.coalesce(exact, first, default))
+
+
+def title_case(c: Column) -> Column:
+    """Capital letters after every sign that is no letter, small ones elsewhere."""
+    chars = F.split(c, "")
+    return F.array_join(F.transform(chars, lambda x, i: F.when((i == 0) | ~F.get(chars, i - 1).rlike(r"\p{L}"), F.upper(x)).otherwise(F.lower(x))), "")
+
+
+def season(c: Column) -> Column:
+    """struct(year, years): the first year of a text and the span it begins, a two-digit end completed from the start; null without a year."""
+    found = r"([0-9]{4})(?:\s*[-–]\s*([0-9]{4}|[0-9]{2}))?"
+    year, end = F.regexp_extract(c, found, 1), F.regexp_extract(c, found, 2)
+    end = F.when(F.length(end) == 2, F.concat(F.left(year, F.lit(2)), end)).otherwise(end)
+    span = F.when(end != "", F.concat_ws("-", year, end)).otherwise(year)
+    return F.struct(F.nullif(year, F.lit("")).cast("int").alias("year"), F.nullif(span, F.lit("")).alias("years"))
+
+
+def corrected(c: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """A text in which, for each rule (sign, wrong, right), ``wrong`` is replaced where ``sign`` stands beside it."""
+    for sign, wrong, right in rules:
+        c = F.when(c.contains(sign) & c.contains(wrong), F.replace(c, F.lit(wrong), F.lit(right))).otherwise(c)
+    return c
+
+
+def normal_answer(c: Column) -> Column:
+    """``true``, ``false``, ``yes`` or ``no`` of an answer that says so at its start, else the folded answer."""
+    low = F.trim(F.lower(F.regexp_replace(c, r"[.!?,;:\"']+", " ")))
+    first = F.regexp_extract(low, r"^(không đúng|không|có|đúng|sai|true|false|yes|no)(?: |$)", 1)
+    named = F.create_map(*[F.lit(x) for kv in {"đúng": "true", "true": "true", "sai": "false", "false": "false", "không đúng": "false", "có": "yes", "yes": "yes", "không": "no", "no": "no"}.items() for x in kv])
+    return F.coalesce(F.element_at(named, F.nullif(first, F.lit(""))), low)
+
+
+def answers_match(given: Column, expected: Column) -> Column:
+    """Two answers are the same: equal in normal form, or one holds the other where neither is a mere yes or no."""
+    a, b = normal_answer(given), normal_answer(expected)
+    plain = F.array(*[F.lit(x) for x in ("true", "false", "yes", "no")])
+    free = ~F.array_contains(plain, a) & ~F.array_contains(plain, b) & (a != "") & (b != "")
+    return F.coalesce((a == b) | (free & (F.contains(a, b) | F.contains(b, a))), F.lit(False))
+
+
+def without_affixes(c: Column, affixes: list[str]) -> Column:
+    """A folded name without the affixes anywhere in it."""
+    return squash(F.regexp_replace(F.lower(c), "|".join(re.escape(a) for a in affixes), " "))
+
+
+def without_special_tokens(c: Column) -> Column:
+    """An answer of a language model without its control tokens, repeated sentences once."""
+    return unique_sentences(F.trim(F.regexp_replace(c, r"<\|[^|<>]*\|>|</?s>|\[/?INST\]|<(?:pad|unk|eos|bos)>", "")))
+
+
+def masked_ngrams(words: Column, longest: int, stop: list[str]) -> Column:
+    """Runs of up to ``longest`` words, longest first, without those that are stop words alone."""
+    return F.filter(ngrams(words, longest), lambda g: ~F.lower(g).isin(*stop))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchlake.operators.graph import undirected
-from pitchlake.session import checkpoint
+from pitchlake.session import checkpoint, release
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -23,12 +23,15 @@ def degrees(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
     """(id, score) on the simple undirected graph: ``(1 - d) + d x sum(score / degree)`` over the neighbours, in fixed rounds."""
     links = checkpoint(_links(edges).join(degrees(edges), "id"))
-    scores = links.select("id").distinct().withColumn("score", F.lit(1.0))
+    scores, last = links.select("id").distinct().withColumn("score", F.lit(1.0)), None
     for i in range(1, rounds + 1):
         given = links.join(scores, "id").groupBy(F.col("next").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
         scores = given.select("id", (F.lit(1 - damping) + damping * F.col("got")).alias("score"))
         if i % every == 0:
-            scores = checkpoint(scores)
+            old, scores = last, checkpoint(scores)
+            last = scores
+            if old is not None:
+                release(old)
     return scores
 
 
@@ -63,7 +66,7 @@ def components(edges: DataFrame) -> DataFrame:
     shorten by jumps; rounds end when no label changes.
     """
     links = checkpoint(_links(edges))
-    labels = links.groupBy("id").agg(F.least(F.first("id"), F.min("next")).alias("component"))
+    labels, last = links.groupBy("id").agg(F.least(F.first("id"), F.min("next")).alias("component")), None
     while True:
         near = links.join(labels.withColumnRenamed("id", "next"), "next").groupBy("id").agg(F.min("component").alias("near"))
         low = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("low"))
@@ -71,16 +74,20 @@ def components(edges: DataFrame) -> DataFrame:
         fresh = checkpoint(low.join(jump, "low").select("id", F.least("low", "jump").alias("fresh"), "component"))
         changed = not fresh.filter("fresh <> component").isEmpty()
         labels = fresh.select("id", F.col("fresh").alias("component"))
+        if last is not None:
+            release(last)
+        last = fresh
         if not changed:
             return labels
 
 
-def louvain(edges: DataFrame, levels: int = 3, rounds: int = 8, tolerance: float = 1e-4) -> DataFrame:
+def louvain(edges: DataFrame, levels: int = 10, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
     """(id, community): communities by greedy modularity (Blondel et al. 2008) on the simple undirected graph.
 
     A round moves nodes at once to the neighbouring community of the highest gain, ties to the least id; a node may only
     move in the rounds of its hash parity, so two neighbours don't swap for ever. A level ends when the gain falls below
-    the tolerance; then communities become the nodes of the next.
+    the tolerance or after ``rounds`` (ten of each parity, as documented); then communities become the nodes of the next, up
+    to ``levels``.
     """
     weighted = checkpoint(_links(edges).withColumn("w", F.lit(1.0)))
     assigned = weighted.select("id").distinct().withColumn("community", F.col("id"))

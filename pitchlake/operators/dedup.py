@@ -25,10 +25,15 @@ def completeness(weights: dict[str, int]) -> Column:
     return score
 
 
-def canonical_name(name: str, year: Column, ident: str) -> Column:
-    """Name, with the year of birth or else the id in parentheses where several rows have it."""
-    several = F.count("*").over(Window.partitionBy(name)) > 1
-    return F.when(several & year.isNotNull(), F.concat(name, F.lit(" ("), year.cast("string"), F.lit(")"))).when(several, F.concat(name, F.lit(" (#"), F.col(ident).cast("string"), F.lit(")"))).otherwise(F.col(name))
+def canonical_names(df: DataFrame, name: str, year: str, ident: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the name, with the year of birth or else the id in parentheses where several rows have it.
+
+    Names are counted by an aggregate and joined back, so a name that very many rows have is no window of one task.
+    """
+    several = df.groupBy(name).agg(F.count("*").alias("_n")).filter("_n > 1").select(name, F.lit(True).alias("_several"))
+    several_here = F.coalesce("_several", F.lit(False))
+    shown = F.when(several_here & F.col(year).isNotNull(), F.concat(name, F.lit(" ("), F.col(year).cast("string"), F.lit(")"))).when(several_here, F.concat(name, F.lit(" (#"), F.col(ident).cast("string"), F.lit(")"))).otherwise(F.col(name))
+    return df.join(several, name, "left").withColumn(out, shown).drop("_several")
 
 
 def with_surrogate_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:

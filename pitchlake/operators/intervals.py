@@ -23,17 +23,25 @@ def with_bounds(df: DataFrame, start: str, end: str, as_of: int = AS_OF_YEAR) ->
     return df.withColumn("_s", s).withColumn("_e", e)
 
 
+def _stint_pairs(stints: DataFrame, person: str, group: str, start: str, end: str, order: str | None = None) -> DataFrame:
+    """Pairs of stints of persons p1 < p2 in a group that overlap. The join is on the group with the overlap as residual, so adaptive execution may split a large group."""
+    s = with_bounds(stints.filter(F.col(person).isNotNull() & F.col(group).isNotNull()), start, end)
+    side = lambda i: s.select(group, F.col(person).alias(f"p{i}"), F.col("_s").alias(f"s{i}"), F.col("_e").alias(f"e{i}"), *([] if order is None else [F.col(order).alias(f"o{i}")]))
+    return side(1).join(side(2), group).filter((F.col("p1") < F.col("p2")) & (F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1")))
+
+
+def overlapping_pairs(stints: DataFrame, person: str, group: str, start: str, end: str) -> DataFrame:
+    """(p1, p2): the different pairs of persons whose stints overlap in any group; one shuffle of pairs, reduced on the map side."""
+    return _stint_pairs(stints, person, group, start, end).select("p1", "p2").distinct()
+
+
 def interval_self_join(stints: DataFrame, person: str, group: str, start: str, end: str, order: str) -> DataFrame:
     """(p1, p2, group, from_year, to_year): persons p1 < p2 whose stints in a group overlap.
 
     One row per pair and group: the overlap of their first overlapping pair of stints by ``order``. Rows with a null
-    person or group take no part. The join is on the group with the overlap as residual, so adaptive execution may split
-    a large group; the pair is reduced by a plain aggregate with partials on the map side.
+    person or group take no part. The pair is reduced by a plain aggregate with partials on the map side.
     """
-    s = with_bounds(stints.filter(F.col(person).isNotNull() & F.col(group).isNotNull()), start, end)
-    one = s.select(F.col(group), F.col(person).alias("p1"), F.col("_s").alias("s1"), F.col("_e").alias("e1"), F.col(order).alias("o1"))
-    two = s.select(F.col(group), F.col(person).alias("p2"), F.col("_s").alias("s2"), F.col("_e").alias("e2"), F.col(order).alias("o2"))
-    pairs = one.join(two, group).filter((F.col("p1") < F.col("p2")) & (F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1")))
+    pairs = _stint_pairs(stints, person, group, start, end, order)
     first = F.min(F.struct("o1", "o2", F.greatest("s1", "s2").alias("from_year"), F.least("e1", "e2").alias("to_year"))).alias("_f")
     return pairs.groupBy("p1", "p2", group).agg(first).select("p1", "p2", group, "_f.from_year", "_f.to_year")
 

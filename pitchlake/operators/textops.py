@@ -9,14 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_END = "\u001e"
+#: Signs that stand for the end of a sentence and for a point that ends none.
+_END, _POINT = "\u001e", "\u001f"
+# Shortened words whose point ends no sentence.
+ABBREVIATIONS = ("tp", "ts", "ths", "gs", "pgs", "tr", "mr", "mrs", "dr", "st", "no", "vs")
 
 
 def sentences(df: DataFrame, key: str, text: str, low: int = 10, high: int = 500) -> DataFrame:
-    """(sentence_id, key, sentence_idx, sentence): a text cut after ``. ! ?`` and at line ends; sentences of other lengths are left out."""
-    cut = F.split(F.regexp_replace(F.regexp_replace(text, r"([.!?])[ \t]+", f"$1{_END}"), "[\r\n]+", _END), _END)
-    s = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(cut).alias("sentence_idx", "sentence")).withColumn("sentence", F.trim("sentence"))
-    return s.filter(F.length("sentence").between(low, high)).select(F.concat_ws("_", F.col(key).cast("string"), F.col("sentence_idx").cast("string")).alias("sentence_id"), key, "sentence_idx", "sentence")
+    """(sentence_id, key, sentence_idx, sentence): a text cut after ``. ! ?`` and at line ends.
+
+    A point after a word of ``ABBREVIATIONS`` or a sign before a small letter ends no sentence. A sentence longer than
+    ``high`` is cut at commas and semicolons; what is shorter than ``low`` or still longer than ``high`` is left out.
+    """
+    shortened = rf"([ \t\r\n(])((?i:{'|'.join(ABBREVIATIONS)}))\."
+    marked = F.regexp_replace(F.regexp_replace(text, shortened, f"$1$2{_POINT}"), r"([.!?])[ \t]++(?!\p{Ll})", f"$1{_END}")
+    whole = F.transform(F.split(F.regexp_replace(marked, "[\r\n]+", _END), _END), lambda s: F.trim(F.replace(s, F.lit(_POINT), F.lit(".")), F.lit(" \t")))
+    parts = F.flatten(F.transform(whole, lambda s: F.when(F.length(s) > high, F.transform(F.split(s, "[,;]"), lambda p: F.trim(p, F.lit(" \t")))).otherwise(F.array(s))))
+    kept = F.filter(parts, lambda s: F.length(s).between(low, high))
+    s = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(kept).alias("sentence_idx", "sentence"))
+    return s.select(F.concat_ws("_", F.col(key).cast("string"), F.col("sentence_idx").cast("string")).alias("sentence_id"), key, "sentence_idx", "sentence")
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("confidence", T.DoubleType())]))
@@ -59,14 +70,18 @@ def resolved(df: DataFrame, group: str, priority: Column, start: str, end: str,
     return grouped.select(group, F.explode(choose("_s")).alias("r")).select(group, F.col("r.i").alias(ident), F.col("r.s").alias(start), F.col("r.e").alias(end))
 
 
-def dictionary_mentions(df: DataFrame, key: str, text: str, names: DataFrame, name: str, ident: str, longest: int = 6) -> DataFrame:
-    """(key, ident): entries whose whole name, folded, stands in the text at word bounds; equi-joins on runs of words, least id of equal names."""
-    entries = names.filter(F.col(name).isNotNull()).groupBy(F.lower(name).alias("_r")).agg(F.min(ident).alias(ident)).withColumn("_first", F.split("_r", " ")[0])
+def dictionary_mentions(df: DataFrame, key: str, text: str, names: DataFrame, name: str, ident: str) -> DataFrame:
+    """(key, ident): entries whose whole name, folded, stands in the text at word bounds; least id of equal names.
+
+    Equi-joins on runs of words: a run begins where a name begins, and is as long as a name with that first word can be.
+    """
+    entries = names.filter(F.col(name).isNotNull()).groupBy(F.lower(name).alias("_r")).agg(F.min(ident).alias(ident)).withColumn("_words", F.split("_r", " "))
+    first = entries.groupBy(F.col("_words")[0].alias("_first")).agg(F.collect_set(F.size("_words")).alias("_sizes"))
     words = F.split(F.regexp_replace(F.regexp_replace(F.lower(text), r"[,.;:!?()\"]", " "), " +", " "), " ")
-    runs = F.filter(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.col("_at") + n <= F.size("_w"), F.array_join(F.slice("_w", F.col("_at") + 1, n), " "))), lambda x: x.isNotNull())
     starts = df.filter(F.col(text).isNotNull()).select(key, words.alias("_w")).select(key, "_w", F.posexplode("_w").alias("_at", "_first"))
-    starts = starts.join(entries.select("_first").distinct(), "_first", "left_semi").select(key, F.explode(runs).alias("_r"))
-    return starts.join(entries, "_r").select(key, ident).distinct()
+    runs = F.transform(F.filter("_sizes", lambda n: F.col("_at") + n <= F.size("_w")), lambda n: F.array_join(F.slice("_w", F.col("_at") + 1, n), " "))
+    found = starts.join(first, "_first").select(key, F.explode(runs).alias("_r"))
+    return found.join(entries.select("_r", ident), "_r").select(key, ident).distinct()
 
 
 def without_sections(text: Column, excluded: list[str]) -> Column:
@@ -89,14 +104,52 @@ def without_sections(text: Column, excluded: list[str]) -> Column:
 
 
 def pattern_relations(df: DataFrame, key: str, text: str, rules: list[tuple[str, str, bool, float]], name: str) -> DataFrame:
-    """(key, predicate, subject, object, confidence): the first match of each rule in a text.
+    """(key, predicate, subject, object, confidence, swapped): every match of each rule in a text.
+
+    A rule is (verb pattern, predicate, reversed, confidence); a match is a name, the verb, a name. Reversed rules swap the
+    two. Each text is searched once a rule; names are taken from the matches.
+    """
+    def matches(verb: str, predicate: str, swapped: bool, confidence: float) -> Column:
+        pattern, (s, o) = f"({name}) (?:{verb}) ({name})", (2, 1) if swapped else (1, 2)
+
+        def read(m: Column) -> Column:
+            return F.struct(F.lit(predicate).alias("predicate"), F.regexp_extract(m, pattern, s).alias("subject"), F.regexp_extract(m, pattern, o).alias("object"), F.lit(confidence).alias("confidence"), F.lit(swapped).alias("swapped"))
+
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), read)
 
-    A rule is (verb, predicate, reversed, confidence); a match is a name, the verb, a name. Reversed rules swap the two.
+    return df.filter(F.col(text).isNotNull()).select(key, F.inline(F.flatten(F.array(*[matches(*r) for r in rules]))))
+
+
+def pattern_texts(text: Column, patterns: list[tuple[str, str, float]]) -> Column:
+    """Array of (rule, mention, type) of all that (pattern, type, confidence) rules find in a text; stays in the JVM."""
+
+    def found(i: int, pattern: str, kind: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(i).alias("rule"), m.alias("mention"), F.lit(kind).alias("type")))
+
+    return F.flatten(F.array(*[found(i, p, k) for i, (p, k, _) in enumerate(patterns)]))
+
+
+def words_present(text: Column, words: tuple[str, ...]) -> Column:
+    """Bit mask of the words (at most 63) that a text holds, folded, anywhere: bit i for ``words[i]``; null for null (Arrow function).
+
+    One pass of an automaton over the text finds them all, overlapping ones included.
     """
-    found = []
-    for verb, predicate, swapped, confidence in rules:
-        pattern = f"({name}) {verb} ({name})"
-        a, b = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
-        subject, target = (b, a) if swapped else (a, b)
-        found.append(F.struct(F.lit(predicate).alias("predicate"), subject.alias("subject"), target.alias("object"), F.lit(confidence).alias("confidence")))
-    return df.filter(F.col(text).isNotNull()).select(key, F.inline(F.array(*found))).filter("subject <> ''")
+
+    @F.pandas_udf(T.LongType())
+    def present(s: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            automaton.add_word(w, 1 << i)
+        automaton.make_automaton()
+        out = []
+        for t in s:
+            mask = 0
+            if t is not None:
+                for _, bit in automaton.iter(t.lower()):
+                    mask |= bit
+            out.append(None if t is None else mask)
+        return pd.Series(out, dtype="Int64")
+
+    return present(text)

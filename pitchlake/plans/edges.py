@@ -40,8 +40,7 @@ def stints_query(spark: SparkSession, sf: str) -> DataFrame:
 )
 def top_teammates(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty persons with the most different teammates: overlapping membership of a group."""
-    s = stints(spark, sf).withColumn("o", F.lit(0))
-    pairs = intervals.interval_self_join(s, "person", "part", "from_year", "to_year", "o").select("p1", "p2").distinct()
+    pairs = intervals.overlapping_pairs(stints(spark, sf), "person", "part", "from_year", "to_year")
     both = pairs.select(F.explode(F.array("p1", "p2")).alias("person"))
     return both.groupBy("person").agg(F.count("*").alias("teammates")).orderBy(F.desc("teammates"), "person").limit(20)
 
@@ -215,7 +214,7 @@ def canonical_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names made unique by year of birth or id where several pages share one."""
     year = F.min(F.nullif(F.regexp_extract("date_of_birth", "([0-9]{4})", 1), F.lit("")))
     p = table(spark, sf, "player_parsed").filter("name IS NOT NULL").groupBy("wiki_id").agg(F.min("name").alias("name"), year.alias("y"))
-    return p.select("wiki_id", dedup.canonical_name("name", F.col("y"), "wiki_id").alias("canonical_name"))
+    return dedup.canonical_names(p, "name", "y", "wiki_id", "canonical_name").select("wiki_id", "canonical_name")
 
 
 @query(

@@ -54,22 +54,31 @@ def distances(spark: SparkSession, sf: str) -> DataFrame:
     return graph.distances(team(spark, sf), anchors(spark, sf), 3)
 
 
-@query("path_lengths", f"SELECT round(avg(distance), 6) AS mean, max(distance)::INT AS longest, count(*)::BIGINT AS pairs FROM ({DIST_SQL}) WHERE distance > 0")
-def path_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean and longest distance from the start nodes, within three hops, as its SQL; ``path_lengths_all`` has the whole graph."""
-    return distances(spark, sf).filter("distance > 0").agg(F.round(F.avg("distance"), 6).alias("mean"), F.max("distance").alias("longest"), F.count("*").alias("pairs"))
-
+ALL_SQL = f"""l AS ({LINKS_SQL}), d(source, id, distance) USING KEY (source, id) AS (SELECT id, id, 0 FROM (SELECT DISTINCT id FROM l) UNION SELECT f.source, l.next, f.distance + 1 FROM d f JOIN l ON l.id = f.id LEFT JOIN recurring.d k ON k.source = f.source AND k.id = l.next WHERE k.id IS NULL)"""
 
-@query("path_lengths_all")
-def path_lengths_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean and longest finite distance between all players of the teammate graph, from every node and without a cap on hops.
 
-    (Not in SQL: one row per pair would be needed. Tested against brute force.)
-    """
+@query("path_lengths", f"WITH RECURSIVE {ALL_SQL} SELECT round(avg(distance), 6) AS mean, max(distance)::INT AS longest, count(*)::BIGINT AS pairs FROM d WHERE distance > 0")
+def path_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and longest finite distance between all players of the teammate graph, from every node and without a cap on hops."""
     at = graph.path_counts(team(spark, sf))
     return at.agg(F.round(F.sum(F.col("distance") * F.col("pairs")) / F.sum("pairs"), 6).alias("mean"), F.max("distance").alias("longest"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 
 
+@query(
+    "sampled_path_lengths",
+    f"""WITH RECURSIVE l AS ({LINKS_SQL}), d(source, id, distance) USING KEY (source, id) AS (SELECT id, id, 0 FROM (SELECT DISTINCT id FROM l) WHERE substring(md5(CAST(id AS VARCHAR) || '#p'), 1, 2) < '03' UNION SELECT f.source, l.next, f.distance + 1 FROM d f JOIN l ON l.id = f.id LEFT JOIN recurring.d k ON k.source = f.source AND k.id = l.next WHERE k.id IS NULL AND f.distance < 15)
+    SELECT round(avg(distance), 6) AS mean, max(distance)::INT AS longest, min(distance)::INT AS shortest, count(*)::BIGINT AS pairs FROM d WHERE distance > 0""",
+)
+def sampled_path_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances of up to 15 hops from about one in a hundred players, drawn by hash, to all others (a sampling operator): for graphs on which all pairs are too many."""
+    from pitchlake.operators import stats
+
+    e = team(spark, sf).filter("src <> dst")
+    ids = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    at = graph.distances(e, stats.hash_sample(ids, F.col("id"), "#p", "03"), 15).filter("distance > 0")
+    return at.agg(F.round(F.avg("distance"), 6).alias("mean"), F.max("distance").alias("longest"), F.min("distance").alias("shortest"), F.count("*").alias("pairs"))
+
+
 @query("k_hop_nodes", f"SELECT id, min(distance)::INT AS hops FROM ({DIST_SQL}) WHERE distance <= 2 GROUP BY 1")
 def k_hop_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes within two hops of any start node."""
@@ -107,32 +116,19 @@ def _pagerank_sql(rounds: int) -> str:
     return f"WITH {', '.join(parts)} SELECT id, round(score, 6) AS score FROM r{rounds}"
 
 
-@query("pagerank", _pagerank_sql(10))
+@query("pagerank", _pagerank_sql(20))
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    """PageRank after ten rounds on the teammate graph."""
-    return algorithms.pagerank(team(spark, sf), 10).select("id", F.round("score", 6).alias("score"))
+    """PageRank after the documented twenty rounds on the teammate graph."""
+    return algorithms.pagerank(team(spark, sf), 20).select("id", F.round("score", 6).alias("score"))
 
 
-@query("pagerank_of_best", f"SELECT id, score, round(score / max(score) OVER (), 6) AS of_best FROM ({_pagerank_sql(10)}) ORDER BY score DESC, id LIMIT 10")
+@query("pagerank_of_best", f"SELECT id, score, round(score / max(score) OVER (), 6) AS of_best FROM ({_pagerank_sql(20)}) ORDER BY score DESC, id LIMIT 10")
 def pagerank_of_best(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best scores and their ratio to the best."""
     top = pagerank(spark, sf).orderBy(F.desc("score"), "id").limit(10)
     return top.join(F.broadcast(top.agg(F.max("score").alias("best")))).select("id", "score", F.round(F.col("score") / F.col("best"), 6).alias("of_best"))
 
 
-@query("pagerank_20", _pagerank_sql(20))
-def pagerank_20(spark: SparkSession, sf: str) -> DataFrame:
-    """PageRank after the documented twenty rounds on the teammate graph."""
-    return algorithms.pagerank(team(spark, sf), 20).select("id", F.round("score", 6).alias("score"))
-
-
-@query("pagerank_20_of_best", f"SELECT id, score, round(score / max(score) OVER (), 6) AS of_best FROM ({_pagerank_sql(20)}) ORDER BY score DESC, id LIMIT 10")
-def pagerank_20_of_best(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten best scores after twenty rounds and their ratio to the best."""
-    top = pagerank_20(spark, sf).orderBy(F.desc("score"), "id").limit(10)
-    return top.join(F.broadcast(top.agg(F.max("score").alias("best")))).select("id", "score", F.round(F.col("score") / F.col("best"), 6).alias("of_best"))
-
-
 CLUSTER_SQL = f"""WITH p AS ({PAIRS_SQL}), l AS ({LINKS_SQL}), d AS (SELECT id, count(*) AS degree FROM l GROUP BY 1),
 t AS (SELECT x.a, x.b, y.b AS c FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = x.a AND z.b = y.b),
 n AS (SELECT id, count(*) AS triangles FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1)
@@ -145,17 +141,12 @@ def clustering(spark: SparkSession, sf: str) -> DataFrame:
     return algorithms.clustering(team(spark, sf)).select("id", "degree", "triangles", F.round("coefficient", 6).alias("coefficient"))
 
 
-@query("small_world", f"SELECT round(m.mean, 6) AS mean_path, round(c.cc, 6) AS mean_clustering, m.mean < 6 AND c.cc > 0.1 AS small_world FROM (SELECT avg(distance) AS mean FROM ({DIST_SQL}) WHERE distance > 0) m, (SELECT avg(coefficient) AS cc FROM ({CLUSTER_SQL}) WHERE coefficient > 0) c")
+@query(
+    "small_world",
+    f"WITH RECURSIVE {ALL_SQL} SELECT round(m.mean, 6) AS mean_path, round(c.cc, 6) AS mean_clustering, m.mean < 6 AND c.cc > 0.1 AS small_world FROM (SELECT avg(distance) AS mean FROM d WHERE distance > 0) m, (SELECT avg(coefficient) AS cc FROM ({CLUSTER_SQL}) WHERE coefficient > 0) c",
+)
 def small_world(spark: SparkSession, sf: str) -> DataFrame:
-    """Small-world test from the start nodes within three hops, as its SQL; ``small_world_all`` has the whole graph."""
-    m = distances(spark, sf).filter("distance > 0").agg(F.avg("distance").alias("mean"))
-    c = clustering(spark, sf).filter("coefficient > 0").agg(F.avg("coefficient").alias("cc"))
-    return m.join(F.broadcast(c)).select(F.round("mean", 6).alias("mean_path"), F.round("cc", 6).alias("mean_clustering"), ((F.col("mean") < 6) & (F.col("cc") > 0.1)).alias("small_world"))
-
-
-@query("small_world_all")
-def small_world_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Small-world test of the whole teammate graph: the mean is over all pairs of ``path_lengths_all``."""
+    """Small-world test of the whole teammate graph: the mean is over all pairs of ``path_lengths``."""
     m = graph.path_counts(team(spark, sf)).agg((F.sum(F.col("distance") * F.col("pairs")) / F.sum("pairs")).alias("mean"))
     c = clustering(spark, sf).filter("coefficient > 0").agg(F.avg("coefficient").alias("cc"))
     return m.join(F.broadcast(c)).select(F.round("mean", 6).alias("mean_path"), F.round("cc", 6).alias("mean_clustering"), ((F.col("mean") < 6) & (F.col("cc") > 0.1)).alias("small_world"))

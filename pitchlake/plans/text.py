@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions.text import UPPER
@@ -10,7 +10,11 @@ from pitchlake.operators import stats, textops
 from pitchlake.plans.registry import query
 from pitchlake.session import table
 
-SENTENCES_SQL = r"""SELECT CAST(doc_id AS VARCHAR) || '_' || (i - 1) AS sentence_id, doc_id, (i - 1)::INT AS sentence_idx, trim(s[i]) AS sentence FROM (SELECT doc_id, str_split(regexp_replace(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(30), 'g'), '[\r\n]+', chr(30), 'g'), chr(30)) AS s FROM documents WHERE text IS NOT NULL), unnest(generate_series(1, len(s))) AS t(i) WHERE length(trim(s[i])) BETWEEN 10 AND 500"""
+_SHORT = "|".join(textops.ABBREVIATIONS)
+SENTENCES_SQL = rf"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([ \t\r\n(])((?i:{_SHORT}))\.', '\1\2' || chr(31), 'g'), '([.!?])[ \t]+([^\p{{Ll}} \t])', '\1' || chr(30) || '\2', 'g'), '[\r\n]+', chr(30), 'g') AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, list_transform(str_split(t, chr(30)), lambda x: trim(replace(x, chr(31), '.'), ' ' || chr(9))) AS w FROM m),
+k AS (SELECT doc_id, list_filter(flatten(list_transform(w, lambda x: CASE WHEN length(x) > 500 THEN list_transform(regexp_split_to_array(x, '[,;]'), lambda p: trim(p, ' ' || chr(9))) ELSE [x] END)), lambda x: length(x) BETWEEN 10 AND 500) AS w FROM s)
+SELECT CAST(doc_id AS VARCHAR) || '_' || (i - 1) AS sentence_id, doc_id, (i - 1)::INT AS sentence_idx, w[i] AS sentence FROM k, unnest(generate_series(1, len(w))) AS t(i)"""
 
 
 @query("sentences", SENTENCES_SQL)
@@ -29,13 +33,27 @@ def year_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("năm ([0-9]{4})"), F.lit(1))).alias("year")).groupBy("doc_id", "year").agg(F.count("*").alias("n"))
 
 
-#: (pattern, type, confidence) of the spans that patterns find: dates, positions, national teams.
+#: (pattern, type, confidence) of the spans that patterns find: dates, positions, competitions, national teams.
+_TITLE = f"(?: [{UPPER}][^ .,;:!?)]*)"
 PATTERNS = [
-    (r"ngày\s+\d{1,2}\s+tháng\s+\d{1,2}\s+năm\s+\d{4}", "DATE", 0.95), (r"tháng\s+\d{1,2}\s+năm\s+\d{4}", "DATE", 0.95), (r"năm\s+\d{4}", "DATE", 0.95), (r"\d{1,2}[/-]\d{1,2}[/-]\d{4}", "DATE", 0.95),
-    (r"thủ môn|hậu vệ|trung vệ|tiền vệ|tiền đạo", "POSITION", 0.95), (r"đội\s+tuyển\s+(?:bóng\s+đá\s+)?(?:quốc\s+gia)?", "NATIONAL_TEAM", 0.85),
+    (r"(?:ngày +[0-9]{1,2} +)?(?:tháng +[0-9]{1,2} +)?năm +[0-9]{4}", "DATE", 0.95), (r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}", "DATE", 0.95), (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "DATE", 0.95),
+    (r"(?:[Hh]ậu vệ|[Tt]iền vệ|[Tt]iền đạo)(?: (?:trái|phải|cánh|cắm|lùi|trung tâm|phòng ngự|tấn công))?|[Tt]hủ môn|[Tt]rung vệ", "POSITION", 0.95),
+    (f"(?:Giải|Cúp|Siêu cúp|Super Liga|League|Cup){_TITLE}+", "COMPETITION", 0.9),
+    (f"[Đđ]ội tuyển(?: bóng đá)?(?: nữ)?(?: quốc gia)?{_TITLE}+", "NATIONAL_TEAM", 0.85), (f"ĐT{_TITLE}+", "NATIONAL_TEAM", 0.85), (f"U-?[0-9]{{2}}{_TITLE}+", "NATIONAL_TEAM", 0.85),
 ]
 
 
+@query(
+    "pattern_mentions",
+    " UNION ALL ".join(f"SELECT doc_id, m AS mention, '{k}' AS type, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{x}')) AS m FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2" for x, k, _ in PATTERNS),
+)
+def pattern_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """What the patterns find in each document, by pattern: text, type and number."""
+    d = table(spark, sf, "documents").filter("text IS NOT NULL")
+    found = d.select("doc_id", F.inline(textops.pattern_texts(F.col("text"), PATTERNS)))
+    return found.groupBy("doc_id", "rule", "mention", "type").agg(F.count("*").alias("n")).drop("rule")
+
+
 @query("pattern_spans")
 def pattern_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of the patterns with offsets (Arrow function; offsets tested by slicing)."""
@@ -122,26 +140,48 @@ def import_queues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NAME = f"[{UPPER}][^ .,]*(?: [{UPPER}][^ .,]*)*"
-#: (verb, predicate, swapped, confidence) of the relations that patterns find.
+#: (verb pattern, predicate, swapped, confidence) of the relations that patterns find.
 RULES = [
-    ("đã thi đấu cho", "PLAYED_FOR", False, 0.9), ("chuyển sang", "TRANSFERRED_TO", False, 0.85), ("ký hợp đồng với", "SIGNED_WITH", False, 0.85),
-    ("đeo băng đội trưởng", "CAPTAINED", False, 0.9), ("ghi bàn vào lưới", "SCORED_AGAINST", False, 0.8), ("scored against", "CONCEDED_FROM", True, 0.8),
+    ("(?:đã )?(?:thi đấu|chơi) cho|khoác áo|plays for|played for", "PLAYED_FOR", False, 0.9), ("là cầu thủ (?:của )?", "PLAYED_FOR", False, 0.8), ("thuộc biên chế|bên phía", "PLAYED_FOR", False, 0.8),
+    ("chuyển (?:sang|đến|về)|joined|moved to", "TRANSFERRED_TO", False, 0.85), ("gia nhập|cập bến", "TRANSFERRED_TO", False, 0.85), ("ký hợp đồng với|signed for", "SIGNED_WITH", False, 0.85),
+    ("(?:là )?(?:đội trưởng|thủ quân)(?: của)?|đeo băng đội trưởng(?: của)?|captained", "CAPTAINED", False, 0.9),
+    ("dẫn dắt|huấn luyện|cầm quân|coached", "COACHED", False, 0.8), ("(?:làm|là) (?:HLV|huấn luyện viên)(?: của)?", "COACHED", False, 0.85),
+    ("ghi bàn vào lưới|lập công trước", "SCORED_AGAINST", False, 0.8), ("scored against", "CONCEDED_FROM", True, 0.8),
+    ("(?:giành )?chiến thắng(?: trước)?|đánh bại|vượt qua|beat", "DEFEATED", False, 0.85), ("(?:để )?thua|gục ngã trước|lost to", "DEFEATED", True, 0.85),
+    ("tham dự|tham gia|góp mặt (?:tại|ở|trong)", "COMPETED_IN", False, 0.8), ("tranh tài (?:tại|ở)", "COMPETED_IN", False, 0.82), ("(?:đoạt chức )?vô địch", "COMPETED_IN", False, 0.88),
+    ("(?:có sân nhà|thi đấu|chơi) (?:tại|ở|trên)(?: sân)?", "PLAYS_AT", False, 0.82),
+    ("(?:được )?sinh(?: ra)? (?:tại|ở)|was born in", "BORN_IN", False, 0.9), ("quê(?: quán)?(?: tại| ở|:)?|người|a native of", "BORN_IN", False, 0.85),
+    ("(?:giành|đoạt|nhận)(?: giải)?|won", "WON_AWARD", False, 0.78), ("được (?:trao|vinh danh)", "WON_AWARD", False, 0.8),
 ]
-RULES_SQL = " UNION ALL ".join(
-    f"SELECT relation_id, '{p}' AS predicate, regexp_extract(context, '({NAME}) {v} ({NAME})', {2 if r else 1}) AS subject, regexp_extract(context, '({NAME}) {v} ({NAME})', {1 if r else 2}) AS object, object_type, {c}::DOUBLE AS c FROM relation WHERE context IS NOT NULL" for v, p, r, c in RULES
-)
+#: Types that a predicate's subject and object may have; another type takes a part of the confidence.
+TYPES = {
+    "PLAYED_FOR": (("PLAYER",), ("CLUB", "NATIONAL_TEAM")), "TRANSFERRED_TO": (("PLAYER",), ("CLUB",)), "SIGNED_WITH": (("PLAYER",), ("CLUB",)), "CAPTAINED": (("PLAYER",), ("CLUB", "NATIONAL_TEAM")),
+    "COACHED": (("COACH",), ("CLUB", "NATIONAL_TEAM")), "SCORED_AGAINST": (("PLAYER",), ("CLUB", "NATIONAL_TEAM")), "CONCEDED_FROM": (("CLUB", "NATIONAL_TEAM"), ("PLAYER",)),
+    "DEFEATED": (("CLUB", "NATIONAL_TEAM"), ("CLUB", "NATIONAL_TEAM")), "COMPETED_IN": (("CLUB", "NATIONAL_TEAM", "PLAYER"), ("COMPETITION",)), "PLAYS_AT": (("CLUB",), ("STADIUM",)),
+    "BORN_IN": (("PLAYER", "COACH"), ("PROVINCE",)), "WON_AWARD": (("PLAYER", "COACH"), ("AWARD",)),
+}
+MISMATCH, LEAST = 0.7, 0.4
 
 
-@query(
-    "pattern_relations",
-    f"SELECT relation_id, predicate, subject, object, round(c * CASE WHEN object_type IS DISTINCT FROM 'CLUB' THEN 0.7 ELSE 1 END, 6)::DOUBLE AS confidence FROM ({RULES_SQL}) WHERE subject <> '' AND c * CASE WHEN object_type IS DISTINCT FROM 'CLUB' THEN 0.7 ELSE 1 END >= 0.6",
-)
+def _rule_sql(verb: str, predicate: str, swapped: bool, confidence: float) -> str:
+    pattern, (s, o) = f"({NAME}) (?:{verb}) ({NAME})", (2, 1) if swapped else (1, 2)
+    ends = ("object_type", "subject_type") if swapped else ("subject_type", "object_type")
+    penalty = " * ".join(f"CASE WHEN {c} IN ({', '.join(repr(t) for t in types)}) THEN 1 ELSE {MISMATCH} END" for c, types in zip(ends, TYPES[predicate]))
+    return f"SELECT relation_id, '{predicate}' AS predicate, unnest(regexp_extract_all(context, '{pattern}', {s})) AS subject, unnest(regexp_extract_all(context, '{pattern}', {o})) AS object, {confidence} * {penalty} AS c FROM relation WHERE context IS NOT NULL"
+
+
+@query("pattern_relations", f"SELECT relation_id, predicate, subject, object, round(c::DOUBLE, 6) AS confidence FROM ({' UNION ALL '.join(_rule_sql(*r) for r in RULES)}) WHERE c >= {LEAST}")
 def pattern_relations(spark: SparkSession, sf: str) -> DataFrame:
-    """Relations by verb patterns, with a penalty where the object isn't a club, from a confidence of 0.6 on."""
+    """Relations by verb patterns, every match, with a penalty for each end of a type that the predicate doesn't have, from a least confidence on."""
     r = table(spark, sf, "relation")
-    found = textops.pattern_relations(r, "relation_id", "context", RULES, NAME).join(r.select("relation_id", "object_type"), "relation_id")
-    confidence = F.col("confidence") * F.when(F.col("object_type").eqNullSafe("CLUB"), 1.0).otherwise(0.7)
-    return found.withColumn("confidence", F.round(confidence, 6)).filter("confidence >= 0.6").select("relation_id", "predicate", "subject", "object", "confidence")
+    found = textops.pattern_relations(r, "relation_id", "context", RULES, NAME).join(r.select("relation_id", "subject_type", "object_type"), "relation_id")
+    confidence = F.col("confidence")
+    for i, (plain, turned) in enumerate((("subject_type", "object_type"), ("object_type", "subject_type"))):
+        kind, fits = F.when(F.col("swapped"), F.col(turned)).otherwise(F.col(plain)), F.lit(False)
+        for predicate, types in TYPES.items():
+            fits = F.when(F.col("predicate") == predicate, kind.isin(*types[i])).otherwise(fits)
+        confidence = confidence * F.when(fits, 1.0).otherwise(MISMATCH)
+    return found.withColumn("confidence", F.round(confidence, 6)).filter(F.col("confidence") >= LEAST).select("relation_id", "predicate", "subject", "object", "confidence")
 
 
 @query(
@@ -159,19 +199,28 @@ PATH_WORDS = ("mối quan hệ", "liên quan", "kết nối", "con đường")
 COUNT_WORDS = ("bao nhiêu", "có mấy", "đếm", "số lượng", "tổng")
 COMPARE_WORDS = ("so sánh", "khác nhau", "giống nhau")
 HOP_PAIRS = (("đồng đội của", "từng chơi"), ("huấn luyện viên", "đội"), ("cầu thủ", "quê"))
-RELATION_WORDS = ("chơi cho", "đồng đội", "huấn luyện", "sinh ra", "quê", "sân nhà", "giải đấu", "vị trí", "cùng câu lạc bộ", "cùng quê")
+BETWEEN_WORDS = (" và ", "quan hệ", "liên quan")
+RELATION_TYPES = {
+    "chơi cho": "PLAYED_FOR", "đồng đội": "TEAMMATE", "huấn luyện": "COACHED", "sinh ra": "BORN_IN", "quê": "BORN_IN", "sân nhà": "HOME_STADIUM", "giải đấu": "COMPETES_IN", "vị trí": "HAS_POSITION",
+    "cùng câu lạc bộ": "PLAYED_SAME_CLUB", "cùng quê": "SAME_PROVINCE",
+}
+RELATION_WORDS = tuple(RELATION_TYPES)
+WORDS = tuple(dict.fromkeys((*PATH_WORDS, *COUNT_WORDS, *COMPARE_WORDS, *[w for p in HOP_PAIRS for w in p], *BETWEEN_WORDS, *RELATION_WORDS)))
+
+
+def _bits(*words: str) -> int:
+    return sum(1 << WORDS.index(w) for w in dict.fromkeys(words))
 
 
-def question_kind(text):
-    """Kind of a question by the first rule that holds: path, count, comparison, then the number of hops its words tell."""
-    q = F.lower(text)
-    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(q, w))
-    hops = F.lit(0)
+def question_kind(mask: Column) -> Column:
+    """Kind of a question by the words it has: path, count, comparison, then the number of hops its words tell, a relation between two, else a lookup."""
+    some = lambda *words: mask.bitwiseAND(_bits(*words)) != 0
+    every = lambda *words: mask.bitwiseAND(_bits(*words)) == _bits(*words)
+    hops = F.bit_count(mask.bitwiseAND(_bits(*RELATION_WORDS)))
     for pair in HOP_PAIRS:
-        hops = hops + (F.contains(q, F.lit(pair[0])) & F.contains(q, F.lit(pair[1]))).cast("int")
-    for w in RELATION_WORDS:
-        hops = hops + F.contains(q, F.lit(w)).cast("int")
-    return F.when(has(PATH_WORDS), "path").when(has(COUNT_WORDS), "count").when(has(COMPARE_WORDS), "comparison").when(hops >= 3, "three_hop").when(hops >= 2, "two_hop").when(hops >= 1, "one_hop").otherwise("lookup")
+        hops = hops + every(*pair).cast("int")
+    kind = F.when(some(*PATH_WORDS), "path").when(some(*COUNT_WORDS), "count").when(some(*COMPARE_WORDS), "comparison").when(hops >= 3, "three_hop").when(hops >= 2, "two_hop").when(hops >= 1, "one_hop")
+    return kind.when(some(BETWEEN_WORDS[0]) & some(*BETWEEN_WORDS[1:]), "relationship").otherwise("lookup")
 
 
 def _any_sql(words: tuple[str, ...]) -> str:
@@ -179,15 +228,22 @@ def _any_sql(words: tuple[str, ...]) -> str:
 
 
 _HOPS_SQL = " + ".join([f"(contains(q, '{a}') AND contains(q, '{b}'))::INT" for a, b in HOP_PAIRS] + [f"contains(q, '{w}')::INT" for w in RELATION_WORDS])
+KIND_SQL = f"""SELECT doc_id, CASE WHEN {_any_sql(PATH_WORDS)} THEN 'path' WHEN {_any_sql(COUNT_WORDS)} THEN 'count' WHEN {_any_sql(COMPARE_WORDS)} THEN 'comparison' WHEN {_HOPS_SQL} >= 3 THEN 'three_hop' WHEN {_HOPS_SQL} >= 2 THEN 'two_hop' WHEN {_HOPS_SQL} >= 1 THEN 'one_hop' WHEN contains(q, ' và ') AND ({_any_sql(BETWEEN_WORDS[1:])}) THEN 'relationship' ELSE 'lookup' END AS kind FROM (SELECT doc_id, lower(text) AS q FROM documents WHERE text IS NOT NULL)"""
 
 
-@query(
-    "question_kinds",
-    f"""SELECT kind, count(*)::BIGINT AS n FROM (SELECT CASE WHEN {_any_sql(PATH_WORDS)} THEN 'path' WHEN {_any_sql(COUNT_WORDS)} THEN 'count' WHEN {_any_sql(COMPARE_WORDS)} THEN 'comparison' WHEN {_HOPS_SQL} >= 3 THEN 'three_hop' WHEN {_HOPS_SQL} >= 2 THEN 'two_hop' WHEN {_HOPS_SQL} >= 1 THEN 'one_hop' ELSE 'lookup' END AS kind FROM (SELECT lower(text) AS q FROM documents WHERE text IS NOT NULL)) GROUP BY 1""",
-)
+@query("question_kinds", f"SELECT kind, count(*)::BIGINT AS n FROM ({KIND_SQL}) GROUP BY 1")
 def question_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts by the kind of question their words tell."""
-    return table(spark, sf, "documents").filter("text IS NOT NULL").groupBy(question_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+    """Texts by the kind of question their words tell; one pass of an automaton over each text."""
+    d = table(spark, sf, "documents").filter("text IS NOT NULL").select(textops.words_present(F.col("text"), WORDS).alias("mask"))
+    return d.groupBy(question_kind(F.col("mask")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("question_relations", " UNION ".join(f"SELECT doc_id, '{t}' AS relation FROM documents WHERE contains(lower(text), '{w}')" for w, t in RELATION_TYPES.items()))
+def question_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Relation types that the keywords of a text ask for."""
+    d = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", textops.words_present(F.col("text"), RELATION_WORDS).alias("mask"))
+    types = F.array(*[F.when(F.col("mask").bitwiseAND(1 << i) != 0, t) for i, t in enumerate(RELATION_TYPES.values())])
+    return d.select("doc_id", F.explode(F.array_distinct(F.array_compact(types))).alias("relation"))
 
 
 LINK_SQL = """WITH a AS (SELECT lower(name) AS k, min(wiki_id) AS id FROM player_parsed WHERE name IS NOT NULL GROUP BY 1), b AS (SELECT lower(name) AS k, min(wiki_id) AS id FROM club_parsed WHERE name IS NOT NULL GROUP BY 1)

@@ -152,7 +152,7 @@ def test_whole_graph_paths_have_no_cap(spark, tmp_path):
     }
     for name, df in tables.items():
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
-    assert tuple(queries.path_lengths_all(spark, str(tmp_path)).first()) == (round(14 / 3, 6), 12, 156)
+    assert tuple(queries.path_lengths(spark, str(tmp_path)).first()) == (round(14 / 3, 6), 12, 156)
 
 
 def test_merges(spark):
@@ -249,5 +249,5 @@ def test_pagerank_has_twenty_rounds(spark, tmp_path):
     score = dict.fromkeys(near, 1.0)
     for _ in range(20):
         score = {x: 0.15 + 0.85 * sum(score[y] / len(near[y]) for y in near[x]) for x in near}
-    got = {r.id: r.score for r in queries.pagerank_20(spark, str(tmp_path)).collect()}
+    got = {r.id: r.score for r in queries.pagerank(spark, str(tmp_path)).collect()}
     assert set(got) == set(score) and all(abs(got[x] - score[x]) < 2e-6 for x in score)
