@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlake.session import materialize
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key by a total order; null keys are equal to each other.
@@ -37,5 +39,14 @@ def canonical_names(df: DataFrame, name: str, year: str, ident: str, out: str) -
 
 
 def with_surrogate_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` with a dense id from 1 by a total order. For small reference lists: the order is global."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    """``df`` with a dense id from 1 by a total order.
+
+    Rows are sorted into ranges that stand in order; an id is a row's place in its range and the number of rows in the
+    ranges before it, so no task sees more than a range. The ranges are written once, which keeps the places.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(ranged, "ranges").withColumn("_range", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per range
+    number = F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1
+    return placed.join(F.broadcast(before.drop("_n")), "_range").withColumn(name, number.cast("bigint")).drop("_range", "_at", "_before")

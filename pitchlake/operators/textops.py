@@ -153,3 +153,26 @@ def words_present(text: Column, words: tuple[str, ...]) -> Column:
         return pd.Series(out, dtype="Int64")
 
     return present(text)
+
+
+def dictionary_spans(df: DataFrame, key: str, text: str, names: DataFrame, name: str, kept: list[str]) -> DataFrame:
+    """(key, start_pos, end_pos, kept columns): where entries' folded names stand in a text at word bounds, all occurrences.
+
+    As ``dictionary_mentions``; signs become spaces one by one, so a word's place in the folded text is its place in the text.
+    """
+    entries = names.filter(F.col(name).isNotNull()).select(F.lower(name).alias("_r"), *kept).withColumn("_words", F.split("_r", " "))
+    first = entries.groupBy(F.col("_words")[0].alias("_first")).agg(F.collect_set(F.size("_words")).alias("_sizes"))
+    words = F.split(F.regexp_replace(F.lower(text), r"[,.;:!?()\"\n]", " "), " ")
+    starts = df.filter(F.col(text).isNotNull()).select(key, words.alias("_w")).select(key, "_w", F.posexplode("_w").alias("_at", "_first"))
+    found = starts.join(first, "_first").select(key, "_w", "_at", F.explode("_sizes").alias("_n")).filter("_at + _n <= size(_w)")
+    before = F.aggregate(F.slice("_w", 1, F.col("_at")), F.lit(0), lambda a, w: a + F.length(w) + 1)
+    found = found.select(key, before.alias("start_pos"), F.array_join(F.slice("_w", F.col("_at") + 1, F.col("_n")), " ").alias("_r")).join(entries.drop("_words"), "_r")
+    return found.select(key, "start_pos", (F.col("start_pos") + F.length("_r")).alias("end_pos"), *kept)
+
+
+def recognised(spans: DataFrame, key: str, kept: list[str]) -> DataFrame:
+    """(key, start_pos, end_pos, kept columns): spans (with priority) that remain when overlaps are resolved in each text; of equal spans the least of the kept columns."""
+    once = spans.groupBy(key, "start_pos", "end_pos").agg(F.min(F.struct("priority", *kept)).alias("_m"))
+    numbered = once.select(key, "start_pos", "end_pos", "_m", F.xxhash64("start_pos", "end_pos").alias("_i"))
+    left = resolved(numbered, key, F.col("_m.priority"), "start_pos", "end_pos", "_i").select(key, "start_pos", "end_pos")
+    return left.join(once, [key, "start_pos", "end_pos"]).select(key, "start_pos", "end_pos", *[F.col(f"_m.{c}").alias(c) for c in kept])

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries.
-MODULES = ("training_data", "projections", "cleaning", "edges", "stats", "graph", "text", "sources")
+MODULES = ("training_data", "projections", "cleaning", "edges", "stats", "graph", "text", "questions", "enrichment", "sources")
 
 
 def load() -> None:
