@@ -15,12 +15,9 @@ Which words begin names is measured in the same way, from the places at which wo
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import blake2b
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +26,7 @@ from pyspark.sql import types as T
 
 from pitchlake.llm.names import bare, tidy
 from pitchlake.llm.variants import _person_words, read_person
+from pitchlake.llm.wordsets import WordFilter, filter_bits, word_forms
 from pitchlake.session import materialize
 
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -128,13 +126,6 @@ def _context(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=200_000)
-def _forms(word: str) -> tuple[str, str]:
-    """A word in lower case, composed, and after ~ without marks; the mark tells the sets of the two apart."""
-    low = unicodedata.normalize("NFC", word).lower()
-    return low, f"~{bare(low)}"
-
-
 _NO_WORD = re.compile(r"\W*")
 _SHOUT = re.compile(rf"[{_UPPER}]{{2,}}(?!\w)")
 
@@ -170,10 +161,10 @@ class Lexicon:
         if left == 3:
             return 3
         form = 1 if all(w.isascii() for w in words[at : at + 4]) else 0
-        if _forms(words[at + 1])[form] not in self.second and _forms(words[at + 3])[form] not in self.inner:
+        if word_forms(words[at + 1])[form] not in self.second and word_forms(words[at + 3])[form] not in self.inner:
             return 3
         n = 4
-        while n < left and _forms(words[at + n])[form] in self.far:
+        while n < left and word_forms(words[at + n])[form] in self.far:
             n += 1
         return n
 
@@ -191,7 +182,7 @@ def name_terms(text: str, lexicon: Lexicon) -> list[tuple[int, int, bool]]:
         if "." not in run:
             words = _SPLIT.split(run)
             if len(words) == 2:
-                low, plain = _forms(words[0])
+                low, plain = word_forms(words[0])
                 if (plain if run.isascii() else low) in surnames:
                     out.append((m.start(), m.end(), False))
                 continue
@@ -211,7 +202,7 @@ def name_terms(text: str, lexicon: Lexicon) -> list[tuple[int, int, bool]]:
         while i < len(words):
             if len(words) - i >= 3:
                 form = 1 if all(w.isascii() for w in words[i : i + 4]) else 0
-                if _forms(words[i])[form] in surnames:
+                if word_forms(words[i])[form] in surnames:
                     n = lexicon.length(words, i)
                     out.append((starts[i], starts[i + n - 1] + len(words[i + n - 1]), True))
                     i += n
@@ -243,49 +234,6 @@ def _sorted_words(name: str) -> tuple[str, str]:
     return " ".join(words), " ".join(sorted(bare(w) for w in words))
 
 
-#: Bits of a word filter and places that each word sets: 2 MB however many words there are.
-FILTER_BITS, FILTER_PLACES = 1 << 24, 4
-
-
-def _places(word: str) -> list[int]:
-    h = blake2b(word.encode(), digest_size=4 * FILTER_PLACES).digest()
-    return [int.from_bytes(h[i : i + 4], "little") % FILTER_BITS for i in range(0, 4 * FILTER_PLACES, 4)]
-
-
-class WordFilter:
-    """Set of words as a bit map of fixed size: every word put in is found, another one by chance.
-
-    At a million words the chance is about 1 in 500; such a word makes a term of a run that is none, which its
-    contexts still have to reveal.
-    """
-
-    def __init__(self, bits: bytes) -> None:
-        self.bits, self.known = bits, {}
-
-    def __contains__(self, word: str) -> bool:
-        hit = self.known.get(word)
-        if hit is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            hit = self.known[word] = all(self.bits[p >> 3] >> (p & 7) & 1 for p in _places(word))
-        return hit
-
-
-def filter_bits(words: DataFrame) -> bytes:
-    """Bit map of the words of a one-column table and of their forms without marks. Places reach the driver, at most ``FILTER_BITS``."""
-
-    @F.pandas_udf("array<int>")
-    def places(ws: pd.Series) -> pd.Series:
-        from pitchlake.llm.privacy import _forms, _places
-
-        return pd.Series([[p for f in set(_forms(w)) for p in _places(f)] for w in ws])
-
-    found = words.select(F.explode(places(words.columns[0])).alias("p")).distinct().toArrow()["p"].to_numpy()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    np.bitwise_or.at(bits, found >> 3, (1 << (found & 7)).astype(np.uint8))
-    return bits.tobytes()
-
-
 def lexicon_bits(people: DataFrame) -> tuple[bytes, bytes, bytes, bytes]:
     """Bit maps of the words that begin the names of ``public_names``, stand second in names of four words or more, third or later, fifth or later.
 
@@ -353,7 +301,8 @@ def terms_of(df: DataFrame, key: str, text: str, lexicon: tuple[bytes, bytes, by
     sent = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pitchlake.llm.privacy import Lexicon, WordFilter, _rows
+        from pitchlake.llm.privacy import Lexicon, _rows
+        from pitchlake.llm.wordsets import WordFilter
 
         known = Lexicon(*[WordFilter(b) for b in sent.value])
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string())]

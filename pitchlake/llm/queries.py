@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,20 @@ from pitchlake.llm import canonical, lookalikes, matching, mixing, privacy, toke
 from pitchlake.plans.registry import QUERIES, query
 from pitchlake.session import materialize, table
 
-_P7_SQL = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, {k} AS row_id, field FROM ({lookalikes.variant_sql(t, k, c)})" for t, k, c in (("entity", "entity_id", ["text", "matched_name"]), ("relation", "relation_id", ["object_text"]))
-)
+#: Letters of the Vietnamese and English alphabets, for the SQL that p7 is compared with; it shares nothing with the operator.
+_VIETNAMESE = "aàáảãạăằắẳẵặâầấẩẫậbcdđeèéẻẽẹêềếểễệfghiìíỉĩịjklmnoòóỏõọôồốổỗộơờớởỡợpqrstuùúủũụưừứửữựvwxyỳýỷỹỵz"
+_P7_FIELDS = (("entity", "entity_id", "text"), ("entity", "entity_id", "matched_name"), ("relation", "relation_id", "object_text"))
+
+
+def _p7_sql(t: str, key: str, c: str) -> str:
+    spaced = r"^[\s\p{Z}]|[\s\p{Z}]$|[\s\p{Z}][\s\p{Z}]"
+    hidden = r"[\s\p{Z}\p{C}\x{034f}\x{115f}\x{1160}\x{180b}-\x{180f}\x{3164}\x{fe00}-\x{fe0f}\x{ffa0}]"
+    wide = r"[\x{ff01}-\x{ffee}\x{2460}-\x{24ff}\x{1d400}-\x{1d7ff}\x{2070}-\x{209c}\x{b2}\x{b3}\x{b9}\x{aa}\x{ba}\x{2100}-\x{214f}\x{1f130}-\x{1f149}]"
+    foreign = f"regexp_matches({c}, '\\p{{Latin}}') AND (regexp_matches({c}, '\\p{{M}}') OR regexp_matches(translate({c}, '{_VIETNAMESE}{_VIETNAMESE.upper()}', ''), '\\p{{L}}'))"
+    return f"SELECT '{t}' AS table_name, {key} AS row_id, '{c}' AS field FROM {t} WHERE {c} IS NOT NULL AND ({c} <> nfc_normalize({c}) OR regexp_matches({c}, '{spaced}') OR regexp_matches(replace({c}, ' ', ''), '{hidden}') OR regexp_matches({c}, '{wide}') OR ({foreign}))"
+
+
+_P7_SQL = " UNION ALL ".join(_p7_sql(*f) for f in _P7_FIELDS)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,6 +76,15 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p7_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """The plain form of every cell that isn't null."""
+    parts = []
+    for name, key, column in _P7_FIELDS:
+        cells = lookalikes.plain_text(table(spark, sf, name).select(key, column).filter(F.col(column).isNotNull()), [column])
+        parts.append(cells.select(F.lit(name).alias("table_name"), F.col(key).alias("row_id"), F.lit(column).alias("field"), F.col(f"{column}_plain").alias("plain")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of each document by byte_bpe_50k."""
     return tokenizer.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
@@ -115,6 +137,7 @@ def load() -> None:
     query("p5_found")(p5_found)
     query("p5_entities")(p5_entities)
     query("p7_found", _P7_SQL)(p7_found)
+    query("p7_plain")(p7_plain)
     query("p8_ids")(p8_ids)
     query("p9_mix")(p9_mix)
     query("p9_shares")(p9_shares)

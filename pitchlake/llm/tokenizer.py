@@ -26,7 +26,7 @@ _WS = "\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: A piece is white space with the run that follows it: a token never spans two pieces.
 _PIECE = rf"[{_WS}]*[^{_WS}]+|[{_WS}]+"
-#: Words of more symbols are merged alone, with a heap: rounds would cost their length squared.
+#: Rounds over words of more symbols look again only around merges; over the whole array they would cost the length squared.
 LONG_WORD = 2048
 #: Pieces a worker remembers before it starts again; a bound on memory, not on what is encoded.
 REMEMBERED = 300_000
@@ -62,6 +62,7 @@ class Encoder:
     def __init__(self, tables: dict[str, np.ndarray]) -> None:
         self.byte_ids, self.keys, self.ranks, self.new = (tables[k] for k in ("byte_ids", "keys", "ranks", "new"))
         self.size = int(tables["size"][0])
+        self.at_rank = np.argsort(self.ranks)
         self.split = regex.compile(PATTERN).findall
         self.pieces = regex.compile(_PIECE).findall
         self._forget()
@@ -81,12 +82,10 @@ class Encoder:
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word."""
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = self._merge_long(w)
-            elif w:
-                short.append(i)
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD]
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        for i, ids in zip(long, self._merge_around([words[i] for i in long]) if long else ()):
+            out[i] = ids
         if not short:
             return out
         symbols = self.byte_ids[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
@@ -120,33 +119,60 @@ class Encoder:
             symbols = symbols[keep]
         return out
 
-    def _merge_long(self, word: bytes) -> np.ndarray:
-        symbols = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+    def _merge_around(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of long words: one round per rank over the flat array of all of them, looking again only around merges.
+
+        A round takes the places where a pair of its rank was last seen, merges those that still hold it and looks up the
+        pairs at both sides of each merge, which have higher ranks; so all rounds together look at each merge once.
+        """
+        lengths = np.array([len(w) for w in words])
+        symbols = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         n = len(symbols)
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        rank, at = self._lookup(np.array(symbols[:-1]), np.array(symbols[1:]))
-        heap = [(int(rank[i]), int(i), symbols[i], symbols[i + 1], int(at[i])) for i in np.flatnonzero(rank != _NONE)]
-        heapq.heapify(heap)
-
-        def push(i: int) -> None:
-            j = after[i]
-            r, a = self._lookup(np.array([symbols[i]]), np.array([symbols[j]]))
-            if r[0] != _NONE:
-                heapq.heappush(heap, (int(r[0]), i, symbols[i], symbols[j], int(a[0])))
-
-        while heap:
-            _, i, left, right, a = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
+        ends = np.cumsum(lengths)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends - lengths] = -1
+        there = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            """Note the pairs that begin at these places under their ranks."""
+            rank, _ = self._lookup(symbols[at], symbols[after[at]])
+            at, rank = at[rank != _NONE], rank[rank != _NONE]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for part, r in zip(np.split(at, cuts), rank[np.concatenate(([0], cuts))].tolist() if len(rank) else ()):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        wait(np.flatnonzero(after >= 0))
+        while ranks:
+            r = heapq.heappop(ranks)
+            seen = waiting.pop(r)
+            at = seen[0] if len(seen) == 1 else np.unique(np.concatenate(seen))
+            key, new = int(self.keys[self.at_rank[r]]), int(self.new[self.at_rank[r]])
+            left, right = divmod(key, self.size)
+            at = at[there[at] & (after[at] >= 0)]
+            at = at[(symbols[at] == left) & (symbols[after[at]] == right)]
+            if not len(at):
                 continue
-            symbols[i], symbols[j] = int(self.new[a]), -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-                push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([s for s in symbols if s >= 0], np.int32)
+            if left == right:  # of pairs that overlap (a a a) every second one is merged, from the left
+                first = np.concatenate(([True], after[at[:-1]] != at[1:]))
+                run = np.flatnonzero(first)[np.cumsum(first) - 1]
+                at = at[(np.arange(len(at)) - run) % 2 == 0]
+            gone = after[at]
+            symbols[at], there[gone] = new, False
+            after[at] = after[gone]
+            follows = after[at] >= 0
+            before[after[at][follows]] = at[follows]
+            ahead = before[at]
+            wait(np.unique(np.concatenate((ahead[ahead >= 0], at[follows]))))
+        kept = np.split(symbols.astype(np.int32), ends[:-1])
+        return [k[t] for k, t in zip(kept, np.split(there, ends[:-1]))]
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces that aren't known and append their ids."""

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Container
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchlake.llm.names import club_core, deletions, edits, fold, plain_name
-from pitchlake.session import materialize
+from pitchlake.llm.wordsets import filter_bits
+from pitchlake.session import materialize, release
 
 # Words before a person's name, with their marks: without, several of them are surnames.
 PERSON_TITLES = frozenset({"ông", "bà", "anh", "chị", "bầu", "hlv", "chủ tịch", "phó chủ tịch", "mr", "mrs", "ms", "coach", "thầy", "huấn luyện viên", "giám đốc", "tổng giám đốc", "president", "chairman", "manager", "doctor", "dr", "head coach", "boss"})
@@ -79,7 +81,7 @@ def _person_words(name: str) -> list[str]:
     return words
 
 
-def read_person(name: str, surnames: frozenset[str] = frozenset()) -> tuple:
+def read_person(name: str, surnames: Container[str] = frozenset()) -> tuple:
     """(kind, words, folded, marks, lead, tail) of a person's spelling without titles and nicknames.
 
     kind is ``full``, ``initials`` (lead holds the initials, tail the words after them) or ``given`` (two words or fewer).
@@ -106,32 +108,35 @@ def read_person(name: str, surnames: frozenset[str] = frozenset()) -> tuple:
     return ("full", " ".join(sorted(full)), " ".join(sorted(fold(w) for w in full)), marks, start, end)
 
 
-def _reader(persons: bool, surnames: frozenset[str]):
+def _reader(surnames=None):
+    """Records of persons with the filter of surnames (a broadcast variable), of clubs without one."""
+
     @F.pandas_udf(_RECORD)
     def read(names: pd.Series) -> pd.DataFrame:
         from pitchlake.llm import variants
+        from pitchlake.llm.wordsets import WordFilter
 
-        rows = [variants.read_person(n, surnames) if persons else variants.read_club(n) for n in names]
+        known = None if surnames is None else WordFilter(surnames.value)
+        rows = [variants.read_club(n) if known is None else variants.read_person(n, known) for n in names]
         return pd.DataFrame(rows, columns=["kind", "words", "folded", "marks", "lead", "tail"])
 
     return read
 
 
-@F.pandas_udf(T.StringType())
-def _first_word(names: pd.Series) -> pd.Series:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _full_words(names: pd.Series) -> pd.Series:
+    """Folded words of names of three words or more without titles, nicknames and initials; null for others."""
     words = [_person_words(n) for n in names]
-    return pd.Series([fold(w[0]) if len(w) > 2 and len(w[0]) > 1 else None for w in words], dtype=object)
+    return pd.Series([[fold(x) for x in w] if len(w) > 2 and all(len(x) > 1 for x in w) else None for w in words], dtype=object)
 
 
-#: A surname is the first word of at least one of so many full names; so there are no more than this many.
-SURNAMES = 200
-
-
-def surnames_of(people: DataFrame) -> frozenset[str]:
-    """First words that at least one in ``SURNAMES`` full names begins with: at most so many words reach the driver."""
-    first = people.select(_first_word("name").alias("word")).filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n"))
-    common = first.crossJoin(F.broadcast(first.agg(F.sum("n").alias("all")))).filter(f"n > 1 AND n * {SURNAMES} >= all")
-    return frozenset(r["word"] for r in common.select("word").collect())
+def surname_bits(people: DataFrame) -> bytes:
+    """Filter of the words that begin names: of a word's places in full names the first is more than half, even at the lower end of the Wilson interval (95 %)."""
+    placed = people.select(F.posexplode(_full_words("name")).alias("at", "word"))
+    counts = placed.groupBy("word").agg(F.count_if(F.col("at") == 0).alias("first"), F.count("*").alias("n")).filter("first > 0")
+    share, n, z = F.col("first") / F.col("n"), F.col("n"), 1.96
+    lower = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return filter_bits(counts.filter(lower > 0.5).select("word"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -214,8 +219,8 @@ def _links(records: DataFrame, words: DataFrame, rule: str) -> DataFrame:
     strong = counted.select("field", F.explode(_near("folded")).alias("key"), F.col("entity").alias("target"), F.col("words").alias("t_words"), F.col("folded").alias("t_folded"), F.col("any_marks").alias("t_marks"), F.col("rows").alias("t_rows"))
     pairs = weak.join(strong, ["field", "key"]).filter("entity <> target AND folded <> t_folded").drop("key", "field").distinct()
     pairs = pairs.withColumn("d", _difference("folded", "t_folded", "words", "t_words")).filter("d.edits <= 1 AND d.marks = 0")
-    pairs = pairs.join(words.select(F.col("word").alias("odd"), F.col("n").alias("odd_n")), F.col("d.odd") == F.col("odd"), "left")
-    pairs = pairs.join(words.select(F.col("word").alias("usual"), F.col("n").alias("usual_n")), F.col("d.usual") == F.col("usual"), "left")
+    pairs = pairs.withColumn("odd", F.col("d.odd")).join(words.select(F.col("word").alias("odd"), F.col("n").alias("odd_n")), "odd", "left")
+    pairs = pairs.withColumn("usual", F.col("d.usual")).join(words.select(F.col("word").alias("usual"), F.col("n").alias("usual_n")), "usual", "left")
     odd, usual = F.coalesce("odd_n", F.lit(0)), F.coalesce("usual_n", F.lit(0))
     doubled = F.regexp_replace("d.odd", r"(.)\1", "$1") == F.col("d.usual")
     unmarked = ~F.col("any_marks") & F.col("t_marks") & (F.col("rows") <= F.col("t_rows"))
@@ -253,11 +258,19 @@ def resolve(names: DataFrame, persons: dict[str, bool]) -> DataFrame:
     counted = materialize(names.filter("name IS NOT NULL").groupBy("field", "name").agg(F.count("*").alias("n")), "p5-names")
     people = counted.filter(F.col("field").isin([f for f, p in persons.items() if p]))
     clubs = counted.filter(F.col("field").isin([f for f, p in persons.items() if not p]))
-    parts = people.withColumn("r", _reader(True, surnames_of(people))("name")).unionByName(clubs.withColumn("r", _reader(False, frozenset())("name")))
+    surnames = names.sparkSession.sparkContext.broadcast(surname_bits(people))
+    parts = people.withColumn("r", _reader(surnames)("name")).unionByName(clubs.withColumn("r", _reader()("name")))
     key = F.when(F.col("r.folded") == "", F.col("name")).otherwise(F.concat_ws("|", "r.kind", F.when(F.col("r.kind") == "initials", F.col("r.lead")).otherwise(F.lit("")), "r.words"))
-    records = materialize(parts.select("field", "name", "n", "r.*", F.xxhash64("field", key).alias("entity")), "p5-records")
+    records, seed = None, 0
+    keyed = materialize(parts.select("field", "name", "n", "r.*", key.alias("key")), "p5-keyed")
+    while records is None:  # another seed should two keys have one hash
+        records = keyed.withColumn("entity", F.xxhash64("field", "key", F.lit(seed)))
+        if records.groupBy("entity").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("field").alias("f"), F.max("field").alias("g")).filter("a <> b OR f <> g").isEmpty():
+            break
+        records, seed = None, seed + 1
+    records = materialize(records.drop("key"), "p5-records")
     full = records.filter("kind = 'full' AND folded <> ''")
-    words = full.select("field", F.explode(F.split("folded", " ")).alias("word"), "folded").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    words = full.select("field", F.explode(F.split("folded", " ")).alias("word"), "folded").distinct().groupBy("word").agg(F.count("*").alias("n"))  # over all fields: a word of any of them is a word of the language
     words = materialize(words, "p5-words")
     merges, seen = 1, dict.fromkeys(RULES, 0)
     while any(seen[r] < merges for r in RULES):
@@ -268,7 +281,8 @@ def resolve(names: DataFrame, persons: dict[str, bool]) -> DataFrame:
             seen[rule] = merges
             if not links.isEmpty():
                 merges += 1
-                records = materialize(records.join(links, "entity", "left").withColumn("entity", F.coalesce("target", "entity")).drop("target"), "p5-records")
+                old, records = records, materialize(records.join(links, "entity", "left").withColumn("entity", F.coalesce("target", "entity")).drop("target"), "p5-records")
+                release(old)
     return records.select("field", "name", "entity")
 
 

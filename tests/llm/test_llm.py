@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pitchlake.llm import canonical, lookalikes, matching, mixing, names, privacy, tokenizer, variants
+from pitchlake.llm import canonical, lookalikes, matching, mixing, names, privacy, tokenizer, variants, wordsets
 
 VOCABULARY = tokenizer.VOCABULARY
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file here")
@@ -312,9 +312,9 @@ def test_unlisted_names_without_marks(spark):
 
 def test_word_filter(spark):
     words = spark.createDataFrame([("lường",), ("tuy",), ("đỗ",)], "w string")
-    held = privacy.WordFilter(privacy.filter_bits(words))
+    held = wordsets.WordFilter(wordsets.filter_bits(words))
     assert all(w in held for w in ("lường", "~luong", "~do")) and "luong" not in held and "an" not in held
-    assert "x" not in privacy.WordFilter(privacy.filter_bits(words.limit(0)))
+    assert "x" not in wordsets.WordFilter(wordsets.filter_bits(words.limit(0)))
 
 
 def test_personal_information(spark):
@@ -344,3 +344,21 @@ def test_names_in_a_mostly_private_corpus(spark):
     assert {r.doc_id for r in found.filter("pii_type = 'name'").collect()} == {*range(90), 200}
     clean = {r.doc_id: r.text for r in privacy.sanitise(df, "doc_id", "text", spark.createDataFrame(public, "name string")).collect()}
     assert clean[0] == "Ký tên: [NAME], gọi." and clean[100] == docs[90][1]
+
+
+@needs_vocabulary
+def test_very_long_words_are_merged_around():
+    from tokenizers import Tokenizer
+
+    own, other = tokenizer.Encoder(tokenizer.read_tables(VOCABULARY)), Tokenizer.from_file(VOCABULARY)
+    rnd = random.Random(7)
+    words = ["a" * 5001, "ab" * 4000, "".join(rnd.choice("abcdefghij") for _ in range(60_000)), "đ" * 3000, "aab" * 2500, "na" * 3 + "an" * 2000]
+    for w, ids, alone in zip(words, own.merge([w.encode() for w in words]), own._merge_around([w.encode() for w in [*words, "x", "ab"]])):
+        assert ids.tolist() == alone.tolist() == other.encode(w, add_special_tokens=False).ids
+
+
+def test_surnames(spark):
+    full = [f"Quảnh {m} {g} Phẩu{c}" for m in ("Rửu", "Tuy") for g in ("An", "Lây") for c in "abc"] + ["An Phẩua Quảnh Rửu", "Ông Hiếm Tuy Lây Phẩua"]
+    known = wordsets.WordFilter(variants.surname_bits(spark.createDataFrame([(n,) for n in full], "name string")))
+    assert "quanh" in known and not any(w in known for w in ("ruu", "an", "hiem", "ong"))
+    assert "quanh" not in wordsets.WordFilter(variants.surname_bits(spark.createDataFrame([], "name string")))
