@@ -38,6 +38,7 @@ _RECORD = T.StructType(
         T.StructField("marks", T.BooleanType()),
         T.StructField("lead", T.StringType()),
         T.StructField("tail", T.StringType()),
+        T.StructField("tail_folded", T.StringType()),
     ]
 )
 
@@ -118,7 +119,7 @@ def _reader(surnames=None):
 
         known = None if surnames is None else WordFilter(surnames.value)
         rows = [variants.read_club(n) if known is None else variants.read_person(n, known) for n in names]
-        return pd.DataFrame(rows, columns=["kind", "words", "folded", "marks", "lead", "tail"])
+        return pd.DataFrame([(*r, fold(r[5])) for r in rows], columns=["kind", "words", "folded", "marks", "lead", "tail", "tail_folded"])
 
     return read
 
@@ -188,67 +189,86 @@ def _only_one(keys: DataFrame, key: list[str]) -> DataFrame:
     return keys.groupBy(*key).agg(F.min("entity").alias("target"), F.max("entity").alias("other")).filter("target = other").drop("other")
 
 
-def _links(records: DataFrame, words: DataFrame, rule: str) -> DataFrame:
-    """(entity, target): merges of one rule over the records with their present entities."""
+def _one_target(links: DataFrame) -> DataFrame:
+    """(entity, target): entities whose links lead to one target only."""
+    return links.groupBy("entity").agg(F.min("target").alias("target"), F.max("target").alias("other")).filter("target = other").drop("other")
+
+
+def near_spellings(full: DataFrame) -> DataFrame:
+    """(field, words, t_words, close, usual, odd_n, usual_n, doubled, several): ordered pairs of spellings of full names that differ in one word by one edit.
+
+    Computed once: the rounds only look up whose spellings these now are. Spellings meet by the keys of ``_near``, which few
+    names share; word counts are over all fields, as a word of any of them is a word of the language.
+    """
+    spelled = full.groupBy("field", "words", "folded").agg(F.sum("n").alias("n"))
+    words = spelled.select(F.explode(F.split("folded", " ")).alias("word"), "field", "folded").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    keyed = spelled.select("field", F.explode(_near("folded")).alias("key"), "words", "folded")
+    pairs = keyed.join(keyed.select("field", "key", F.col("words").alias("t_words"), F.col("folded").alias("t_folded")), ["field", "key"]).filter("folded <> t_folded").drop("key").distinct()
+    pairs = pairs.withColumn("d", _difference("folded", "t_folded", "words", "t_words")).filter("d.edits <= 1 AND d.marks = 0").select("*", "d.odd", "d.usual")
+    pairs = pairs.join(words.select(F.col("word").alias("odd"), F.col("n").alias("odd_n")), "odd", "left").join(words.select(F.col("word").alias("usual"), F.col("n").alias("usual_n")), "usual", "left").fillna(0, ["odd_n", "usual_n"])
+    doubled = F.regexp_replace("odd", r"(.)\1", "$1") == F.col("usual")
+    several = F.size(F.split("folded", " ")) >= 3  # the other words alone tell who it is
+    rarer = (F.col("odd") == "") | (F.col("odd_n") * RARER <= F.col("usual_n")) | ((F.col("odd_n") <= 1) & (F.col("usual_n") > F.col("odd_n"))) | doubled | (several & ~F.col("folded").endswith(" b"))
+    return pairs.select("field", "words", "t_words", "odd_n", "usual_n", rarer.alias("rarer"))
+
+
+def _marks(records: DataFrame, near: DataFrame) -> DataFrame:
+    """Full names without marks: the one entity with marks that has these letters."""
     full = records.filter("kind = 'full'")
-    if rule == "marks":
-        marked = full.filter("marks").select("field", "folded", "entity").distinct()
-        bare = full.groupBy("field", "entity").agg(F.max("marks").alias("marks"), F.min("folded").alias("folded")).filter("NOT marks").drop("marks")
-        return bare.join(_only_one(marked, ["field", "folded"]), ["field", "folded"]).select("entity", "target")
-    if rule in ("initials", "given"):
-        poor = records.groupBy("field", "entity").agg(F.max((F.col("kind") == "full").cast("int")).alias("rich")).filter("rich = 0").drop("rich")
-        poor = poor.join(records.filter(F.col("kind") == rule).select("field", "entity", "lead", "tail", "marks"), ["field", "entity"])
-        keep = ["field", "lead", "tail"] if rule == "initials" else ["field", "tail"]
-        rich = full.filter("tail <> ''").select("entity", *keep).distinct()
-        bare = rich.withColumn("tail", _fold("tail")).distinct()
-        found = [poor.filter("marks").join(_only_one(rich, keep), keep), poor.filter("NOT marks").withColumn("tail", _fold("tail")).join(_only_one(bare, keep), keep)]
-        both = found[0].select("entity", "target").unionByName(found[1].select("entity", "target"))
-        return both.groupBy("entity").agg(F.min("target").alias("target"), F.max("target").alias("other")).filter("target = other").drop("other")
-    if rule == "short":
-        named = full.filter("tail <> ''").select("field", "entity", F.substring("lead", 1, 1).alias("first"), F.length(F.regexp_replace("lead", " ", "")).alias("size"), "tail", F.split("folded", " ").alias("all"))
-        poor = named.filter("size = 1").select("field", "entity", "first", "tail", "all")
-        rich = named.filter("size > 1").select("field", "first", "tail", F.col("entity").alias("target"), F.col("all").alias("t_all")).distinct()
-        pairs = poor.join(rich, ["field", "first", "tail"]).filter("entity <> target AND size(array_except(all, t_all)) = 0")
-        return pairs.groupBy("entity").agg(F.min("target").alias("target"), F.max("target").alias("other")).filter("target = other").drop("other")
-    # typing errors: each entity by its most frequent spelling, against all spellings of the others
-    size = full.groupBy("field", "entity").agg(F.countDistinct("name").alias("names"), F.sum("n").alias("rows"), F.max("marks").alias("any_marks"))
+    marked = full.filter("marks").select("field", "folded", "entity").distinct()
+    bare = full.groupBy("field", "entity").agg(F.max("marks").alias("marks"), F.min("folded").alias("folded")).filter("NOT marks").drop("marks")
+    return bare.join(_only_one(marked, ["field", "folded"]), ["field", "folded"]).select("entity", "target")
+
+
+def _typing(records: DataFrame, near: DataFrame) -> DataFrame:
+    """Typing errors: each entity by its most frequent spelling, against all spellings of the others."""
+    full = records.filter("kind = 'full'")
+    size = full.groupBy("field", "entity").agg(F.count("*").alias("names"), F.sum("n").alias("rows"), F.max("marks").alias("any_marks"))
     spelled = full.groupBy("field", "entity", "words", "folded").agg(F.sum("n").alias("n"))
-    counted = spelled.join(size, ["field", "entity"])
     common = spelled.groupBy("field", "entity", "folded").agg(F.sum("n").alias("n"), F.max("words").alias("words")).groupBy("field", "entity").agg(F.max(F.struct("n", "folded", "words")).alias("m"))
-    weak = common.join(size, ["field", "entity"]).select("field", F.explode(_near("m.folded")).alias("key"), "entity", F.col("m.words").alias("words"), F.col("m.folded").alias("folded"), "any_marks", "rows", "names")
-    strong = counted.select("field", F.explode(_near("folded")).alias("key"), F.col("entity").alias("target"), F.col("words").alias("t_words"), F.col("folded").alias("t_folded"), F.col("any_marks").alias("t_marks"), F.col("rows").alias("t_rows"))
-    pairs = weak.join(strong, ["field", "key"]).filter("entity <> target AND folded <> t_folded").drop("key", "field").distinct()
-    pairs = pairs.withColumn("d", _difference("folded", "t_folded", "words", "t_words")).filter("d.edits <= 1 AND d.marks = 0")
-    pairs = pairs.withColumn("odd", F.col("d.odd")).join(words.select(F.col("word").alias("odd"), F.col("n").alias("odd_n")), "odd", "left")
-    pairs = pairs.withColumn("usual", F.col("d.usual")).join(words.select(F.col("word").alias("usual"), F.col("n").alias("usual_n")), "usual", "left")
-    odd, usual = F.coalesce("odd_n", F.lit(0)), F.coalesce("usual_n", F.lit(0))
-    doubled = F.regexp_replace("d.odd", r"(.)\1", "$1") == F.col("d.usual")
+    weak = common.join(size, ["field", "entity"]).select("field", "entity", F.col("m.words").alias("words"), "any_marks", "rows", "names")
+    strong = spelled.join(size, ["field", "entity"]).select("field", F.col("words").alias("t_words"), F.col("entity").alias("target"), F.col("any_marks").alias("t_marks"), F.col("rows").alias("t_rows"))
+    pairs = near.join(weak, ["field", "words"]).join(strong, ["field", "t_words"]).filter("entity <> target")
     unmarked = ~F.col("any_marks") & F.col("t_marks") & (F.col("rows") <= F.col("t_rows"))
-    several = F.size(F.split("folded", " ")) >= 3  # the other words alone tell who it is
-    better = F.struct(usual, "t_marks", "t_rows", "target") > F.struct(odd, "any_marks", "rows", "entity")
-    pairs = pairs.filter(f"names = 1 OR rows * {RARER} <= t_rows")  # several dressings may be another club, unless they are rare beside the target
-    pairs = pairs.filter(better | (unmarked & (usual >= 2))).filter((F.col("d.odd") == "") | (odd * RARER <= usual) | ((odd <= 1) & (usual > odd)) | unmarked | doubled | (several & ~F.col("folded").endswith(" b")))
-    return pairs.groupBy("entity").agg(F.min("target").alias("target"), F.max("target").alias("other")).filter("target = other").drop("other")
+    better = F.struct("usual_n", "t_marks", "t_rows", "target") > F.struct("odd_n", "any_marks", "rows", "entity")
+    alone = f"names = 1 OR rows * {RARER} <= t_rows"  # several dressings may be another club, unless they are rare beside the target
+    pairs = pairs.filter(alone).filter(better | (unmarked & (F.col("usual_n") >= 2))).filter(F.col("rarer") | unmarked)
+    return _one_target(pairs.select("entity", "target"))
+
+
+def _short(records: DataFrame, near: DataFrame) -> DataFrame:
+    """Names of three words: the one longer name with the first initial, the last two words and no word less."""
+    named = records.filter("kind = 'full' AND tail <> ''").select("field", "entity", F.substring("lead", 1, 1).alias("first"), F.length(F.regexp_replace("lead", " ", "")).alias("size"), "tail", F.split("folded", " ").alias("all"))
+    short = named.filter("size = 1").select("field", "entity", "first", "tail", "all")
+    longer = named.filter("size > 1").select("field", "first", "tail", F.col("entity").alias("target"), F.col("all").alias("t_all")).distinct()
+    return _one_target(short.join(longer, ["field", "first", "tail"]).filter("entity <> target AND size(array_except(all, t_all)) = 0").select("entity", "target"))
 
 
-@F.pandas_udf(T.StringType())
-def _fold(s: pd.Series) -> pd.Series:
-    return s.map(fold)
+def _poor(records: DataFrame, kind: str, keep: list[str]) -> DataFrame:
+    """Entities without any full name: the one entity with a full name that has the key, with marks or, written without, without."""
+    poor = records.groupBy("field", "entity").agg(F.max((F.col("kind") == "full").cast("int")).alias("rich")).filter("rich = 0").drop("rich")
+    asked = poor.join(records.filter(F.col("kind") == kind).select("field", "entity", "lead", "tail", "tail_folded", "marks"), ["field", "entity"])
+    rich = records.filter("kind = 'full' AND tail <> ''")
+    ways = []
+    for marks, tail in ((True, "tail"), (False, "tail_folded")):
+        key = ["field", *keep, tail]
+        ways.append(asked.filter(F.col("marks") == marks).join(_only_one(rich.select(*key, "entity").distinct(), key), key).select("entity", "target"))
+    return _one_target(ways[0].unionByName(ways[1]))
+
+
+#: Rules in order; each takes the records with their present entities and the near spellings and gives (entity, target).
+RULES = {"marks": _marks, "typing": _typing, "short": _short, "initials": lambda r, _: _poor(r, "initials", ["lead"]), "given": lambda r, _: _poor(r, "given", [])}
 
 
 def settled(links: DataFrame) -> DataFrame:
     """Links (entity, target) that may merge at once: the target stays where it is.
 
     A link to an entity that moves itself waits for the next round; of two entities that link to each other the greater moves.
-    So every round lowers the number of entities and the rounds end.
     """
     onward = links.select(F.col("entity").alias("target"), F.col("target").alias("onward"))
     return links.join(onward, "target", "left").filter("onward IS NULL OR (onward = entity AND entity > target)").select("entity", "target")
 
 
-RULES = ("marks", "typing", "short", "initials", "given")
-
-
 def resolve(names: DataFrame, persons: dict[str, bool]) -> DataFrame:
     """(field, name, entity): the entity of each different non-null string of each field.
 
@@ -269,15 +289,13 @@ def resolve(names: DataFrame, persons: dict[str, bool]) -> DataFrame:
             break
         records, seed = None, seed + 1
     records = materialize(records.drop("key"), "p5-records")
-    full = records.filter("kind = 'full' AND folded <> ''")
-    words = full.select("field", F.explode(F.split("folded", " ")).alias("word"), "folded").distinct().groupBy("word").agg(F.count("*").alias("n"))  # over all fields: a word of any of them is a word of the language
-    words = materialize(words, "p5-words")
+    near = materialize(near_spellings(records.filter("kind = 'full' AND folded <> ''")), "p5-near")
     merges, seen = 1, dict.fromkeys(RULES, 0)
-    while any(seen[r] < merges for r in RULES):
-        for rule in RULES:
+    while any(n < merges for n in seen.values()):  # a rule runs again only after a merge
+        for rule, links_of in RULES.items():
             if seen[rule] == merges:
                 continue
-            links = settled(materialize(_links(records, words, rule), f"p5-links-{rule}"))
+            links = materialize(settled(links_of(records, near)), f"p5-links-{rule}")
             seen[rule] = merges
             if not links.isEmpty():
                 merges += 1
