@@ -48,12 +48,13 @@ def parameters(body: str) -> tuple[str, dict[str, str]]:
     for p in parts[1:]:
         name, sign, value = p.partition("=")
         if sign and value.strip():
+            found[name.strip()] = value.strip()  # as it stands, and in one writing
             found["_".join(name.strip().lower().split())] = value.strip()
     return parts[0].strip(), found
 
 
-def infobox_params(wikitext: Column, markers: list[str], keywords: list[str]) -> Column:
-    """Map of the parameters of the first template whose name has a marker and a keyword; empty where there is none (Arrow function)."""
+def infobox_params(wikitext: Column, markers: list[str], keywords: list[str], exact: tuple[str, ...] = ()) -> Column:
+    """Map of the parameters of the first template whose name is listed or has a marker and a keyword; empty where there is none (Arrow function)."""
 
     @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
     def params(s: pd.Series) -> pd.Series:
@@ -65,7 +66,7 @@ def infobox_params(wikitext: Column, markers: list[str], keywords: list[str]) ->
             for body in templates(t or ""):
                 name, found = parameters(body)
                 low = name.lower()
-                if any(m in low for m in markers) and any(k in low for k in keywords):
+                if low.strip() in exact or (any(m in low for m in markers) and any(k in low for k in keywords)):
                     hit = found
                     break
             out.append(hit)
@@ -88,6 +89,25 @@ def career(params: Column, names: str, years: str, caps: str, goals: str, most:
     return F.filter(F.transform(F.sequence(F.lit(1), F.lit(most)), stint), lambda s: F.coalesce(s["club_name"], F.lit("")) != "")
 
 
+def consecutive_career(params: Column, names: str, years: str, caps: str, goals: str, most: int = 40) -> Column:
+    """Stints as ``career``, but only those before the first number without a name."""
+    at = lambda i: F.coalesce(F.element_at(params, F.concat(F.lit(names), i.cast("string"))), F.lit(""))
+    gap = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.lit(0), lambda n, i: F.when((n == i - 1) & (at(i) != ""), i).otherwise(n))
+    return F.slice(career(params, names, years, caps, goals, most), 1, gap)
+
+
+def career_in_text(wikitext: Column) -> Column:
+    """Array of (club_name, from_year, to_year) of a text's lines ``years: [[club]]`` or ``[[club]] (years)``: where a page has no numbered parameters."""
+    lines = F.split(wikitext, "\n")
+
+    def stint(line: Column) -> Column:
+        club = F.regexp_extract(line, r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]+)\]\]", 1)
+        span = X.year_range(F.regexp_replace(line, r"\[\[[^\[\]]*\]\]", " "))
+        return F.struct(X.clean_name(club).alias("club_name"), span["from_year"].alias("from_year"), span["to_year"].alias("to_year"))
+
+    return F.filter(F.transform(lines, stint), lambda s: (s["club_name"] != "") & s["from_year"].isNotNull())
+
+
 def first_classified(c: Column, rules: list[tuple[str, str]], default: str) -> Column:
     """Class of the first rule whose text the folded column holds."""
     low, out = F.lower(c), None

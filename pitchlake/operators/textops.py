@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -176,3 +177,23 @@ def recognised(spans: DataFrame, key: str, kept: list[str]) -> DataFrame:
     numbered = once.select(key, "start_pos", "end_pos", "_m", F.xxhash64("start_pos", "end_pos").alias("_i"))
     left = resolved(numbered, key, F.col("_m.priority"), "start_pos", "end_pos", "_i").select(key, "start_pos", "end_pos")
     return left.join(once, [key, "start_pos", "end_pos"]).select(key, "start_pos", "end_pos", *[F.col(f"_m.{c}").alias(c) for c in kept])
+
+
+#: Types of entities by the labels that models of names give.
+MODEL_LABELS = {"PER": "PLAYER", "ORG": "CLUB", "LOC": "PROVINCE"}
+
+
+def model_spans(text: Column, load: Callable[[], Callable[[str], list[tuple]]], labels: dict[str, str] | None = None) -> Column:
+    """Spans of a model of names: ``load`` makes the model on each worker once, the model gives (start, end, label, confidence) of a text.
+
+    Labels are mapped to types, others are left out. Texts are read whole; null and empty ones give none (Arrow function).
+    """
+    known = MODEL_LABELS if labels is None else labels
+
+    @F.pandas_udf(_SPAN)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for s in batches:
+            yield pd.Series([[(t[a:b], known[k], a, b, float(c)) for a, b, k, c in model(t) if k in known] if t else [] for t in s])
+
+    return find(text)

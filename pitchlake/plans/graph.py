@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchlake.operators import algorithms, graph
@@ -298,6 +298,11 @@ def left_outer_degrees(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(p, "wiki_id", "left").join(k, "wiki_id", "left").fillna(0, ["players", "coaches"]).select("wiki_id", "players", "coaches")
 
 
+def _draw(key: Column, turn: Column) -> Column:
+    """A number from a hash of a key and a turn, the same in every engine with MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", key.cast("string"), turn.cast("string"))), 1, 8), 16, 10).cast("bigint")
+
+
 def free_clubs(asked: DataFrame, key: str, m: DataFrame, clubs: DataFrame, most: int) -> DataFrame:
     """(key, turn, club): ``most`` different clubs for each row of ``asked`` (key, player, and own: a club besides, or null) that aren't the player's, or all that remain where they are fewer.
 
@@ -315,7 +320,7 @@ def free_clubs(asked: DataFrame, key: str, m: DataFrame, clubs: DataFrame, most:
 
     def draw(state, turn):
         left = F.col("size") - F.size(state["taken"])
-        rank = F.pmod(F.xxhash64(key, turn), left) + 1
+        rank = F.when(left > 0, _draw(F.col(key), turn) % left + 1)
         no = F.aggregate(F.array_sort(state["taken"]), rank, lambda x, o: F.when(o <= x, x + 1).otherwise(x))
         return F.when(left > 0, F.struct(F.concat(state["taken"], F.array(no)).alias("taken"), F.concat(state["drawn"], F.array(no)).alias("drawn"))).otherwise(state)
 
@@ -323,12 +328,23 @@ def free_clubs(asked: DataFrame, key: str, m: DataFrame, clubs: DataFrame, most:
     return own.select(key, F.posexplode(drawn).alias("turn", "no")).join(numbered, "no").select(key, "turn", "club")
 
 
-@query("false_memberships")
-def false_memberships(spark: SparkSession, sf: str) -> DataFrame:
-    """A club that each player never played for, drawn by hash: a negative sample without a cross product.
+def free_sql(asked: str, key: str, clubs: str, most: int) -> str:
+    """SQL of ``free_clubs``: each turn takes the element of a hashed rank from the list of the clubs that remain."""
+    turns = []
+    for t in range(1, most + 1):
+        rank = f"(('0x' || substring(md5(CAST({key} AS VARCHAR) || '-{t}'), 1, 8))::BIGINT % greatest(len(free), 1) + 1)"
+        turns.append(f"u{t} AS (SELECT {key}, list_filter(free, lambda x: x <> free[{rank}]) AS free, list_append(drawn, free[{rank}]) AS drawn FROM u{t - 1})")
+    return f"""WITH cl AS ({clubs}), a AS ({asked}), mem AS (SELECT from_player_id AS player, list(DISTINCT to_club_id) AS own FROM played_for WHERE from_player_id IS NOT NULL AND to_club_id IS NOT NULL GROUP BY 1), al AS (SELECT list_sort(list(DISTINCT club)) AS l FROM cl WHERE club IS NOT NULL),
+    u0 AS (SELECT a.{key}, list_filter(al.l, lambda x: NOT list_contains(coalesce(mem.own, []), x) AND x IS DISTINCT FROM a.own) AS free, []::BIGINT[] AS drawn FROM a LEFT JOIN mem ON mem.player = a.player, al), {', '.join(turns)}
+    SELECT {key}, unnest(list_filter(drawn, lambda x: x IS NOT NULL)) AS club FROM u{most}"""
 
-    Only a player of all clubs has no row. (Not in SQL: the draw uses a hash of Spark. Tested by its property.)
-    """
+
+@query(
+    "false_memberships",
+    free_sql("SELECT DISTINCT from_player_id AS player, NULL::BIGINT AS own FROM played_for WHERE from_player_id IS NOT NULL AND to_club_id IS NOT NULL", "player", "SELECT wiki_id AS club FROM club_parsed", 1),
+)
+def false_memberships(spark: SparkSession, sf: str) -> DataFrame:
+    """A club that each player never played for, drawn by hash: a negative sample without a cross product. Only a player of all clubs has no row."""
     clubs = table(spark, sf, "club_parsed").select(F.col("wiki_id").alias("club"))
     m = table(spark, sf, "played_for").select(F.col("from_player_id").alias("player"), F.col("to_club_id").alias("club")).dropna().distinct()
     players = m.select("player").distinct().withColumn("own", F.lit(None).cast(m.schema["club"].dataType))

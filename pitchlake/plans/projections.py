@@ -222,7 +222,7 @@ def similar_names(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("name", "full_name", X.similarity(F.col("name"), F.col("full_name")).alias("ratio"))
 
 
-@query("composed_mentions")
+@query("composed_mentions", "SELECT entity_id, nfc_normalize(text) AS composed FROM entity WHERE text <> nfc_normalize(text)")
 def composed_mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Mentions whose composed form differs from the form as stored (Arrow function)."""
     e = table(spark, sf, "entity").filter("text IS NOT NULL").select("entity_id", "text", X.nfc(F.col("text")).alias("composed"))

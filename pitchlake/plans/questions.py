@@ -12,7 +12,7 @@ from pitchlake.operators import stats
 from pitchlake.plans.cleaning import birth_provinces
 from pitchlake.plans.edges import club_in_province
 from pitchlake.plans.registry import ORACLE, query
-from pitchlake.session import table
+from pitchlake.session import materialize, table
 
 PLAYED_SQL = "SELECT DISTINCT from_player_id AS player, to_club_id AS club FROM played_for WHERE from_player_id IS NOT NULL AND to_club_id IS NOT NULL"
 COACHED_SQL = "SELECT DISTINCT from_coach_id AS coach, to_club_id AS club FROM coached WHERE from_coach_id IS NOT NULL AND to_club_id IS NOT NULL"
@@ -241,7 +241,7 @@ def _list_facts(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 def question_facts(spark: SparkSession, sf: str) -> DataFrame:
     """(kind, hops, fid, s, o, wrong): facts with a subject, an object and up to three objects that aren't the subject's."""
-    f = reduce(DataFrame.unionByName, [*[_edge_facts(spark, sf, k) for k in _EDGES], *[_list_facts(spark, sf, k) for k in _LISTS]])
+    f = materialize(reduce(DataFrame.unionByName, [*[_edge_facts(spark, sf, k) for k in _EDGES], *[_list_facts(spark, sf, k) for k in _LISTS]]), "facts")
     truth = f.groupBy("kind", "sid").agg(F.collect_set("o").alias("truth"))  # the different objects of one subject
     wrong = F.array_sort(F.filter(F.array_except("others", "truth"), lambda w: w != F.col("s")))
     return f.join(truth, ["kind", "sid"]).select("kind", "hops", "fid", "s", "o", wrong.alias("wrong"))
@@ -279,7 +279,11 @@ def question_bank(spark: SparkSession, sf: str) -> DataFrame:
     A false object is drawn among those that aren't the subject's, so no negative has to be rejected; each stratum keeps the
     first by hash.
     """
-    f = question_facts(spark, sf)
+    return bank(question_facts(spark, sf))
+
+
+def bank(f: DataFrame) -> DataFrame:
+    """The question set of facts (kind, hops, fid, s, o, wrong)."""
     some = F.size("wrong") > 0
     variants = F.array(
         F.struct(F.lit("TF").alias("type"), F.lit("true").alias("answer"), F.col("o").alias("shown")), F.when(some, F.struct(F.lit("TF").alias("type"), F.lit("false").alias("answer"), F.get("wrong", F.lit(0)).alias("shown"))),

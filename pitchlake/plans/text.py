@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchlake.functions.text import UPPER
+from pitchlake.functions.text import UPPER, word_overlap
 from pitchlake.operators import stats, textops
+from pitchlake.plans.graph import free_clubs, free_sql
 from pitchlake.plans.registry import query
 from pitchlake.session import table
 
@@ -282,14 +283,22 @@ def question_set(spark: SparkSession, sf: str) -> DataFrame:
     return picked.withColumn("no", F.row_number().over(Window.orderBy(stats.hash_order(F.col("relation_id"), "#s"), "relation_id")))
 
 
-@query("choice_questions")
+_CLUBS_SQL = "SELECT wiki_id AS club, min(name) AS choice FROM club_parsed WHERE name IS NOT NULL AND wiki_id IS NOT NULL GROUP BY 1"
+_FACTS_SQL = "SELECT relation_id, subject_wiki_id AS player, object_wiki_id AS own, context FROM relation WHERE predicate = 'PLAYED_FOR' AND subject_wiki_id IS NOT NULL AND object_wiki_id IS NOT NULL AND context IS NOT NULL"
+_OVERLAP_SQL = "0.5 * len(list_intersect(list_distinct(str_split(lower(context), ' ')), list_distinct(str_split(lower(choice), ' ')))) / greatest(len(list_distinct(str_split(lower(context), ' '))), len(list_distinct(str_split(lower(choice), ' '))))"
+
+
+@query(
+    "choice_questions",
+    f"""WITH f AS ({_FACTS_SQL}), c AS ({_CLUBS_SQL}), w AS ({free_sql(_FACTS_SQL, 'relation_id', _CLUBS_SQL, 3)}), s AS (SELECT relation_id, own AS club FROM f UNION ALL SELECT relation_id, club FROM w),
+    k AS (SELECT f.relation_id, f.own AS answer, s.club, CASE WHEN contains(lower(context), lower(choice)) THEN 0.9 ELSE {_OVERLAP_SQL} END AS score FROM s JOIN c ON c.club = s.club JOIN f ON f.relation_id = s.relation_id)
+    SELECT relation_id, answer, arg_max(club, row(score, -club)) AS chosen, round(max(score), 6)::DOUBLE AS score FROM k GROUP BY 1, 2""",
+)
 def choice_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Multiple-choice questions: a true club and three others drawn by hash, scored by word overlap with the sentence; the first best wins.
 
     The others have a name, differ, and are neither the answer nor a club of the player; where fewer than three remain, all do.
     """
-    from pitchlake.functions.text import word_overlap
-    from pitchlake.plans.graph import free_clubs
 
     clubs = table(spark, sf, "club_parsed").filter("name IS NOT NULL").groupBy(F.col("wiki_id").alias("club")).agg(F.min("name").alias("choice"))
     facts = table(spark, sf, "relation").filter("predicate = 'PLAYED_FOR'").select("relation_id", F.col("subject_wiki_id").alias("player"), F.col("object_wiki_id").alias("club"), "context").dropna()

@@ -87,15 +87,63 @@ def supplement(known: DataFrame, parsed: DataFrame, raw: DataFrame, key: str) ->
     return parsed.unionByName(raw.join(missing, key, "left_semi"), allowMissingColumns=True)
 
 
-def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+def literal_rows(spark: SparkSession, rows: list[tuple] | str, schema: str) -> DataFrame:
+    """A frame of literal rows: tuples, or a JSON list of objects as it stands in a script."""
+    if isinstance(rows, str):
+        one = spark.range(1).select(F.inline(F.from_json(F.lit(rows), f"array<struct<{T._parse_datatype_string(schema).simpleString()[7:-1]}>>")))
+        return one
     return spark.createDataFrame(rows, schema)
 
 
+def routed(pages: DataFrame, parsers: dict) -> dict[str, DataFrame]:
+    """The pages of each type through the parser of its type: a function from frame to frame; types without one are left out."""
+    return {kind: parse(pages.filter(F.col("entity_type") == kind)) for kind, parse in parsers.items()}
+
+
+def csv_merge(spark: SparkSession, path: str, schema: str, key: list[str], version: str, old: DataFrame) -> DataFrame:
+    """``old`` with the rows of a CSV merged into it by key: fields are cast as they are read, ones that don't fit are null, the last version of a key wins; rows with a null key are left out."""
+    from pitchlake.operators.graph import merge_last
+
+    fields = T._parse_datatype_string(schema)
+    text = read_csv(spark, path, ", ".join(f"`{f.name}` string" for f in fields))
+    cast = text.select(*[F.trim(f.name).try_cast(f.dataType).alias(f.name) for f in fields]).dropna(subset=key)
+    return merge_last(old, cast, key, version)
+
+
 def limited(df: DataFrame, key: str, n: int) -> DataFrame:
     """The first n rows by key: a limit that is the caller's wish."""
     return df.orderBy(key).limit(n)
 
 
+def markdown(title: str, tables: dict[str, DataFrame], most: int = 100) -> str:
+    """A report in markdown: a table per frame, of which the first ``most`` rows are shown (a report of aggregates)."""
+    out = [f"# {title}", ""]
+    for name, df in tables.items():
+        out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+        out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in row) + " |" for row in df.limit(most).collect()]
+        out.append("")
+    return "\n".join(out)
+
+
+def chart(df: DataFrame, label: str, value: str, most: int = 50) -> str:
+    """A bar chart of an aggregate's first ``most`` rows as SVG."""
+    rows = [(str(r[label]), float(r[value] or 0)) for r in df.select(label, value).limit(most).collect()]
+    top = max((v for _, v in rows), default=0) or 1
+    bars = []
+    for i, (name, v) in enumerate(rows):
+        name = name.replace("&", "&amp;").replace("<", "&lt;")
+        bars.append(f'<text x="195" y="{20 * i + 15}" text-anchor="end">{name}</text><rect x="200" y="{20 * i + 3}" width="{max(v, 0) / top * 400:.1f}" height="14" fill="#47a"/><text x="{205 + max(v, 0) / top * 400:.1f}" y="{20 * i + 15}">{v:g}</text>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="700" height="{20 * len(rows) + 6}" font-family="sans-serif" font-size="12">{"".join(bars)}</svg>'
+
+
+def graph_script(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(statement): a property graph as statements with literal values: nodes (id, label, name) first, edges (src, rel, dst) after them by ``part``."""
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    n = F.concat(F.lit("MERGE (n:"), "label", F.lit(" {id: "), F.col("id").cast("string"), F.lit("})"), F.when(F.col("name").isNotNull(), F.concat(F.lit(" SET n.name = "), quoted(F.col("name")))).otherwise(""), F.lit(";"))
+    e = F.concat(F.lit("MATCH (a {id: "), F.col("src").cast("string"), F.lit("}), (b {id: "), F.col("dst").cast("string"), F.lit("}) MERGE (a)-[:"), "rel", F.lit("]->(b);"))
+    return nodes.select(F.lit(0).alias("part"), n.alias("statement")).unionByName(edges.select("src", "rel", "dst").distinct().select(F.lit(1).alias("part"), e.alias("statement")))
+
+
 def write_report(df: DataFrame, path: str) -> dict:
     """A one-row report as JSON on the driver's file system, and the same as text beside it."""
     report = df.first().asDict(recursive=True)

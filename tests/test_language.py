@@ -126,3 +126,25 @@ def test_intermediates_go(spark):
     release(df)
     release(df.filter("id > 0"))
     assert not os.path.isdir(path)
+
+
+def test_model_spans(spark):
+    def load():
+        import re
+
+        return lambda t: [(m.start(), m.end(), "PER" if m.group()[0] == "R" else "MISC", 0.5) for m in re.finditer(r"[A-Z]\w+", t)]
+
+    df = spark.createDataFrame([("gặp Roán và Voan",), ("",), (None,)], "t string")
+    assert [[tuple(s) for s in r.s] for r in df.select(textops.model_spans(F.col("t"), load).alias("s")).collect()] == [[("Roán", "PLAYER", 4, 8, 0.5)], [], []]
+
+
+def test_questions_in_words(spark):
+    from pitchlake.plans.answers import answer
+
+    facts = spark.createDataFrame([("played", "A B", "CLB C"), ("club_province", "A B", "D"), ("teammate", "A B", "E"), ("played", "A B", "CLB C")], "kind string, s string, o string")
+    asked = [("A B có từng chơi cho CLB C không?", None, "yes"), ("A B từng chơi cho một đội ở D.", None, "true"), ("A B từng chơi cho một đội ở X.", None, "false"), ("Ai là đồng đội của A B?", ["E", "F"], "E"), ("A B quê ở đâu?", ["D", "X"], "?"), ("Z có từng chơi cho CLB C không?", None, "no"), ("chào", None, ""), ("", None, "")]
+    q = spark.createDataFrame([(i, t, c, e) for i, (t, c, e) in enumerate(asked)], "no int, question string, choices array<string>, expected string")
+    got = answer(q, facts).collect()
+    assert {r.no for r in got} == set(range(6)) and all(r.given == r.expected for r in got)
+    assert {r.intent for r in got} == {"played", "club_province", "teammate", "born"} and {r.confidence for r in got} == {0.95, 0.85}
+    assert answer(q.limit(0), facts).count() == 0 and answer(q, facts.limit(0)).filter("given IN ('true', 'yes')").count() == 0

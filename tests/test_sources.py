@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pitchlake.operators.interval_map import IntervalMap
@@ -61,8 +62,9 @@ def test_streams(spark, tmp_path):
     run()
     spark.createDataFrame([(1, 2, "c", 2003, 2004), (1, 0, "old", 2010, 2011), (2, 1, None, None, 1)], schema).coalesce(1).write.mode("append").parquet(src)
     run()
-    last = max((tmp_path / "table").iterdir(), key=lambda p: int(p.name[2:]))
-    assert {(r.id, r.v, r.n) for r in spark.read.parquet(str(last)).collect()} == {(1, 2, "c"), (2, 1, "b")}
+    held = ingest.current(spark, str(tmp_path / "table"), spark.read.parquet(src).schema)
+    assert {(r.id, r.v, r.n) for r in held.collect()} == {(1, 2, "c"), (2, 1, "b")}
+    assert len(list((tmp_path / "table").iterdir())) == 2  # the buckets of two keys, not the whole table
     maps = spark.read.parquet(str(tmp_path / "maps")).collect()
     newest = {r.key: max(x.version for x in maps if x.key == r.key) for r in maps}
     got = {(r.key, r.kind, r.start, r.end) for r in maps if r.version == newest[r.key]}
@@ -70,3 +72,53 @@ def test_streams(spark, tmp_path):
     for s, e in ((2000, 2002), (2003, 2004), (2010, 2011)):
         held.insert(s, e)
     assert got == {(1, *r) for r in held.rows()} | {(2, "period", 1990, 1995)}
+
+
+def test_pages_from_outside(spark):
+    from pitchlake.sources import fetch
+
+    def get(key):
+        if key == 2:
+            raise OSError("gone")
+        return f"page {key}"
+
+    wanted = spark.createDataFrame([(1, "x"), (2, "x"), (1, "y"), (None, "x")], "id long, page string")
+    assert {tuple(r) for r in fetch.fetch_pages(wanted, "id", get, 2, 0.0).collect()} == {(1, "page 1", None), (2, None, "gone")}
+    calls = []
+    assert fetch.retried(lambda: calls.append(1) or len(calls), 3, 0.0) == 1
+    with pytest.raises(ZeroDivisionError):
+        fetch.retried(lambda: 1 / 0, 2, 0.0, True)
+    links = spark.createDataFrame([("a", "p1", False), ("a", "b", True), ("b", "p2", False), ("b", "c", True), ("c", "p3", False), ("b", "a", True), ("a", None, False), ("a", "p1", False)], "category string, member string, is_category boolean")
+    pages = lambda d: {r.page for r in fetch.category_members(links, spark.createDataFrame([("a",)], "root string"), d).collect()}
+    assert pages(0) == {"p1"} and pages(1) == {"p1", "p2"} and pages(5) == {"p1", "p2", "p3"}
+
+
+def test_reports_and_scripts(spark):
+    df = spark.createDataFrame([("a|b", 2), ("c<d", 1), (None, None)], "k string, n int")
+    assert "| a\\|b | 2 |" in files.markdown("T", {"Counts": df}) and files.markdown("T", {"Counts": df}).startswith("# T\n")
+    svg = files.chart(df, "k", "n")
+    assert svg.count("<rect") == 3 and "c&lt;d" in svg and 'width="400.0"' in svg
+    nodes = spark.createDataFrame([(1, "A", "it's \\ x"), (2, "A", None)], "id long, label string, name string")
+    edges = spark.createDataFrame([(1, 2, "R"), (1, 2, "R")], "src long, dst long, rel string")
+    got = [r.statement for r in files.graph_script(nodes, edges).orderBy("part", "statement").collect()]
+    assert got == ["MERGE (n:A {id: 1}) SET n.name = 'it\\'s \\\\ x';", "MERGE (n:A {id: 2});", "MATCH (a {id: 1}), (b {id: 2}) MERGE (a)-[:R]->(b);"]
+    rows = files.literal_rows(spark, '[{"a": 1, "b": "x"}, {"a": null}]', "a int, b string")
+    assert {tuple(r) for r in rows.collect()} == {(1, "x"), (None, None)} and files.literal_rows(spark, [(1,)], "a int").count() == 1
+    pages = spark.createDataFrame([(1, "club"), (2, "coach"), (3, "other")], "id int, entity_type string")
+    routed = files.routed(pages, {"club": lambda p: p.select("id"), "coach": lambda p: p.filter("id > 5")})
+    assert {k: v.count() for k, v in routed.items()} == {"club": 1, "coach": 0}
+    assert [r.id for r in files.limited(pages, "id", 2).collect()] == [1, 2]
+
+
+def test_infobox_variants(spark):
+    from pitchlake.operators import infobox
+
+    text = "{{Infobox football biography| Clubs1 = [[A]] |years1=2001-03|caps1=5|clubs2=B|years2=2004|clubs4=D|years4=2008|nationalteam1=N|nationalyears1=2005-nay|nationalcaps1=7}}"
+    p = infobox.infobox_params(F.col("t"), ["infobox"], ["football"])
+    one = spark.createDataFrame([(text,)], "t string").select(p.alias("p")).select("p", infobox.consecutive_career(F.col("p"), "clubs", "years", "caps", "goals").alias("c"), infobox.consecutive_career(F.col("p"), "nationalteam", "nationalyears", "nationalcaps", "nationalgoals").alias("n"), infobox.career(F.col("p"), "clubs", "years", "caps", "goals").alias("all")).first()
+    assert one.p["Clubs1"] == one.p["clubs1"] == "[[A]]" and [s.club_name for s in one.c] == ["A", "B"] and [s.club_name for s in one["all"]] == ["A", "B", "D"]
+    assert [(s.club_name, s.from_year, s.to_year, s.appearances) for s in one.n] == [("N", 2005, None, 7)]
+    exact = spark.createDataFrame([("{{cầu thủ|a=1}}",)], "t string").select(infobox.infobox_params(F.col("t"), ["infobox"], ["football"], ("cầu thủ",)).alias("p")).first()
+    assert exact.p == {"a": "1"}
+    told = spark.createDataFrame([("2001-2003: [[x|Đội A]]\nkhông\n[[B]] (2005)",)], "t string").select(infobox.career_in_text(F.col("t")).alias("c")).first()
+    assert [tuple(s) for s in told.c] == [("Đội A", 2001, 2003), ("B", 2005, 2005)]
