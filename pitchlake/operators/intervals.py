@@ -23,11 +23,31 @@ def with_bounds(df: DataFrame, start: str, end: str, as_of: int = AS_OF_YEAR) ->
     return df.withColumn("_s", s).withColumn("_e", e)
 
 
+#: Rows of a group that meet all rows of it in one block; larger groups are cut into so many blocks.
+BLOCK = 20_000
+
+
+def blocks(left: DataFrame, right: DataFrame, group: str, unique: list[str], rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two frames that are to be joined on ``group``, with ``_block`` to join on as well.
+
+    A group with more than ``rows`` rows on the left is cut by a hash of the ``unique`` columns; its rows on the right come
+    once per block. So every pair still meets exactly once, and no task holds a hot group on both sides. Other groups have
+    block 0 alone.
+    """
+    rows = BLOCK if rows is None else rows
+    hot = left.groupBy(group).agg(F.ceil(F.count("*") / rows).cast("int").alias("_blocks")).filter("_blocks > 1")
+    n = F.coalesce("_blocks", F.lit(1))
+    cut = left.join(hot, group, "left").withColumn("_block", F.pmod(F.xxhash64(*unique), n).cast("int")).drop("_blocks")
+    whole = right.join(hot, group, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), n - 1))).drop("_blocks")
+    return cut, whole
+
+
 def _stint_pairs(stints: DataFrame, person: str, group: str, start: str, end: str, order: str | None = None) -> DataFrame:
-    """Pairs of stints of persons p1 < p2 in a group that overlap. The join is on the group with the overlap as residual, so adaptive execution may split a large group."""
+    """Pairs of stints of persons p1 < p2 in a group that overlap. The join is on the group, large ones in blocks, with the overlap as residual."""
     s = with_bounds(stints.filter(F.col(person).isNotNull() & F.col(group).isNotNull()), start, end)
     side = lambda i: s.select(group, F.col(person).alias(f"p{i}"), F.col("_s").alias(f"s{i}"), F.col("_e").alias(f"e{i}"), *([] if order is None else [F.col(order).alias(f"o{i}")]))
-    return side(1).join(side(2), group).filter((F.col("p1") < F.col("p2")) & (F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1")))
+    one, two = blocks(side(1), side(2), group, ["p1", "s1", "e1"])
+    return one.join(two, [group, "_block"]).filter((F.col("p1") < F.col("p2")) & (F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1")))
 
 
 def overlapping_pairs(stints: DataFrame, person: str, group: str, start: str, end: str) -> DataFrame:
@@ -52,7 +72,8 @@ def interval_join(a: DataFrame, a_person: str, b: DataFrame, b_person: str, grou
     y = with_bounds(b.filter(F.col(b_person).isNotNull() & F.col(group).isNotNull()), start, end)
     x = x.select(group, a_person, F.col("_s").alias("s1"), F.col("_e").alias("e1"), F.col(a_order).alias("o1"))
     y = y.select(group, b_person, F.col("_s").alias("s2"), F.col("_e").alias("e2"), F.col(b_order).alias("o2"))
-    pairs = x.join(y, group).filter((F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1")))
+    x, y = blocks(x, y, group, [a_person, "s1", "e1"])
+    pairs = x.join(y, [group, "_block"]).filter((F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1")))
     first = F.min(F.struct("o1", "o2", F.greatest("s1", "s2").alias("from_year"), F.least("e1", "e2").alias("to_year"))).alias("_f")
     return pairs.groupBy(a_person, b_person, group).agg(first).select(a_person, b_person, group, "_f.from_year", "_f.to_year")
 
@@ -63,6 +84,7 @@ def shared_groups(members: DataFrame, person: str, group: str, least: int = 2) -
     # who has fewer groups than asked is in no such pair
     enough = m.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("p")
     m = m.join(enough, "p", "left_semi")
-    pairs = m.withColumnRenamed("p", "p1").join(m.withColumnRenamed("p", "p2"), "g").filter("p1 < p2")
+    one, two = blocks(m.withColumnRenamed("p", "p1"), m.withColumnRenamed("p", "p2"), "g", ["p1"])
+    pairs = one.join(two, ["g", "_block"]).filter("p1 < p2")
     out = pairs.groupBy("p1", "p2").agg(F.count("*").alias("shared"), F.array_join(F.array_sort(F.collect_list(F.col("g").cast("string"))), "|").alias("groups"))
     return out.filter(F.col("shared") >= least)

@@ -106,7 +106,8 @@ def played_same_clubs(spark: SparkSession, sf: str) -> DataFrame:
 def same_ground_clubs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of clubs of one group, here those that share a ground."""
     m = table(spark, sf, "club_parsed").filter("ground IS NOT NULL AND wiki_id IS NOT NULL").select("wiki_id", "ground").distinct()
-    return m.withColumnRenamed("wiki_id", "club1").join(m.withColumnRenamed("wiki_id", "club2"), "ground").filter("club1 < club2").select("club1", "club2", "ground")
+    one, two = intervals.blocks(m.withColumnRenamed("wiki_id", "club1"), m.withColumnRenamed("wiki_id", "club2"), "ground", ["club1"])
+    return one.join(two, ["ground", "_block"]).filter("club1 < club2").select("club1", "club2", "ground")
 
 
 NAMES_SQL = "SELECT lower(trim(name)) AS k, min(wiki_id) AS club_id FROM club_parsed WHERE name IS NOT NULL GROUP BY 1"

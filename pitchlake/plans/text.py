@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions.text import UPPER, word_overlap
-from pitchlake.operators import stats, textops
+from pitchlake.operators import intervals, stats, textops
 from pitchlake.plans.graph import free_clubs, free_sql
 from pitchlake.plans.registry import query
 from pitchlake.session import table
@@ -87,7 +87,8 @@ def cooccurring_entities(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "entity").filter("wiki_id IS NOT NULL")
     p = e.filter("entity_type = 'PLAYER'").select("sentence_id", F.col("wiki_id").alias("player"), F.col("start_pos").alias("a"))
     c = e.filter("entity_type = 'CLUB'").select("sentence_id", F.col("wiki_id").alias("club"), F.col("start_pos").alias("b"))
-    near = p.join(c, "sentence_id").withColumn("d", F.abs(F.col("a") - F.col("b"))).filter("d < 100")
+    p, c = intervals.blocks(p, c, "sentence_id", ["player", "a"])
+    near = p.join(c, ["sentence_id", "_block"]).withColumn("d", F.abs(F.col("a") - F.col("b"))).filter("d < 100")
     return near.groupBy("player", "club").agg(F.count("*").alias("n"), F.min("d").alias("nearest"))
 
 

@@ -251,3 +251,16 @@ def test_pagerank_has_twenty_rounds(spark, tmp_path):
         score = {x: 0.15 + 0.85 * sum(score[y] / len(near[y]) for y in near[x]) for x in near}
     got = {r.id: r.score for r in queries.pagerank(spark, str(tmp_path)).collect()}
     assert set(got) == set(score) and all(abs(got[x] - score[x]) < 2e-6 for x in score)
+
+
+def test_hot_groups_in_blocks(spark, monkeypatch):
+    rows = [(i, "hot" if i < 60 else f"g{i % 5}", 2000 + i % 7, 2003 + i % 5, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "p long, g string, a int, b int, o long").repartition(3)
+    plain = sorted(tuple(r) for r in intervals.interval_self_join(df, "p", "g", "a", "b", "o").collect())
+    pairs = sorted(tuple(r) for r in intervals.overlapping_pairs(df, "p", "g", "a", "b").collect())
+    monkeypatch.setattr(intervals, "BLOCK", 7)
+    assert sorted(tuple(r) for r in intervals.interval_self_join(df, "p", "g", "a", "b", "o").collect()) == plain
+    assert sorted(tuple(r) for r in intervals.overlapping_pairs(df, "p", "g", "a", "b").collect()) == pairs
+    cut, whole = intervals.blocks(df.select("g", "p"), df.select("g", "p"), "g", ["p"])
+    sizes = {(r.g, r._block): r["count"] for r in cut.groupBy("g", "_block").count().collect()}
+    assert sum(sizes.values()) == 100 and len([k for k in sizes if k[0] == "hot"]) == 9 and whole.filter("g = 'hot'").count() == 540
