@@ -87,10 +87,11 @@ def article_text(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Text without links, mail addresses and tags, white space runs as one space."""
+    """Text without links, mail addresses, tags and signs that are neither letters, digits nor common punctuation, white space runs as one space."""
     c = F.regexp_replace(c, r"https?://[^ \t\r\n]+", " ")
     c = F.regexp_replace(c, r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+", " ")
     c = F.regexp_replace(c, r"<[^<>]*>", " ")
+    c = F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}\s.,;:!?()'\"/%&+-]", " ")
     return F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " "))
 
 
@@ -244,12 +245,17 @@ def unique_sentences(c: Column) -> Column:
     return F.array_join(F.array_distinct(F.split(c, r"(?<=[.!?])\s+")), " ")
 
 
-def nfc(c: Column) -> Column:
-    """Composed form of a text (Arrow function; Spark has no built-in one)."""
+# Signs that are typed for a Vietnamese letter or mark.
+REPLACED = {"Ð": "Đ", "ð": "đ", "Ɖ": "Đ", "ɖ": "đ", "ʼ": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "\u0340": "\u0300", "\u0341": "\u0301"}
+
+
+def nfc(c: Column, replaced: dict[str, str] | None = None) -> Column:
+    """Composed form of a text, with signs replaced by a table before (Arrow function; Spark has no built-in one)."""
+    signs = str.maketrans(replaced or {})
 
     @F.pandas_udf("string")
     def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x.translate(signs) if signs else x))
 
     return compose(c)
 

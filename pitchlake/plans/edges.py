@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchlake.functions.text import birth_year
 from pitchlake.operators import dedup, intervals, lookup
 from pitchlake.plans.registry import query
 from pitchlake.session import table
@@ -218,6 +221,17 @@ def canonical_names(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.canonical_names(p, "name", "y", "wiki_id", "canonical_name").select("wiki_id", "canonical_name")
 
 
+@query(
+    "canonical_names_by_year",
+    """SELECT wiki_id, CASE WHEN n > 1 AND y IS NOT NULL THEN name || ' (' || y || ')' WHEN n > 1 THEN name || ' (#' || wiki_id || ')' ELSE name END AS canonical_name FROM (SELECT wiki_id, name, y, count(*) OVER (PARTITION BY name) AS n FROM (SELECT wiki_id, min(name) AS name,
+      min(CASE WHEN try_cast(regexp_extract(date_of_birth, '([0-9]{4})', 1) AS INT) BETWEEN 1940 AND 2010 THEN try_cast(regexp_extract(date_of_birth, '([0-9]{4})', 1) AS INT) END) AS y FROM player_parsed WHERE name IS NOT NULL GROUP BY 1))""",
+)
+def canonical_names_by_year(spark: SparkSession, sf: str) -> DataFrame:
+    """Names made unique by the year of birth where it is plausible, else by the id."""
+    p = table(spark, sf, "player_parsed").filter("name IS NOT NULL").groupBy("wiki_id").agg(F.min("name").alias("name"), F.min(birth_year(F.col("date_of_birth"))).alias("y"))
+    return dedup.canonical_names(p, "name", "y", "wiki_id", "canonical_name").select("wiki_id", "canonical_name")
+
+
 @query(
     "province_ids",
     """WITH f AS (SELECT DISTINCT p.name FROM provinces_reference p JOIN player_parsed q ON q.place_of_birth = p.name) SELECT p.name, row_number() OVER (ORDER BY (f.name IS NOT NULL) DESC, p.name)::BIGINT AS new_id FROM provinces_reference p LEFT JOIN f ON f.name = p.name""",
@@ -231,15 +245,17 @@ def province_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "alias_lookup",
-    """WITH a AS (SELECT lower(name) AS k, 1 AS pr, wiki_id FROM player_parsed WHERE name IS NOT NULL UNION SELECT lower(name), 2, wiki_id FROM club_parsed WHERE name IS NOT NULL UNION SELECT lower(name), 3, wiki_id FROM coach_parsed WHERE name IS NOT NULL),
-    b AS (SELECT k, arg_min(wiki_id, row(pr, wiki_id)) AS wiki_id, count(*)::BIGINT AS candidates FROM a GROUP BY 1) SELECT r.relation_id, b.wiki_id AS found_id, b.candidates FROM relation r JOIN b ON b.k = lower(r.subject_text)""",
+    """WITH a AS (SELECT lower(name) AS k, 1 AS pr, wiki_id FROM player_parsed WHERE name IS NOT NULL UNION SELECT lower(name), 2, wiki_id FROM club_parsed WHERE name IS NOT NULL UNION SELECT lower(name), 3, wiki_id FROM coach_parsed WHERE name IS NOT NULL
+      UNION SELECT lower(ground), 4, wiki_id FROM club_parsed WHERE ground IS NOT NULL UNION SELECT lower(name), 5, province_id FROM provinces_reference WHERE name IS NOT NULL),
+    b AS (SELECT k, arg_min(wiki_id, row(pr, wiki_id)) AS wiki_id, count(*)::BIGINT AS candidates FROM a GROUP BY 1) SELECT r.relation_id, b.wiki_id AS found_id, b.candidates FROM (SELECT relation_id, unnest([lower(subject_text), lower(object_text)]) AS k FROM relation) r JOIN b ON b.k = r.k""",
 )
 def alias_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Entity of a mention by its name with a priority of kinds: player, club, coach."""
-    kinds = [table(spark, sf, t).filter("name IS NOT NULL").select(F.lower("name").alias("k"), F.lit(i).alias("pr"), "wiki_id") for i, t in enumerate(("player_parsed", "club_parsed", "coach_parsed"), 1)]
-    names = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).distinct()
+    """Entity of each mention by its name with a priority of kinds: player, club, coach, ground, province."""
+    sources = (("player_parsed", "name", "wiki_id"), ("club_parsed", "name", "wiki_id"), ("coach_parsed", "name", "wiki_id"), ("club_parsed", "ground", "wiki_id"), ("provinces_reference", "name", "province_id"))
+    kinds = [table(spark, sf, t).filter(F.col(c).isNotNull()).select(F.lower(c).alias("k"), F.lit(i).alias("pr"), F.col(key).cast("bigint").alias("wiki_id")) for i, (t, c, key) in enumerate(sources, 1)]
+    names = reduce(DataFrame.unionByName, kinds).distinct()
     best = names.groupBy("k").agg(F.min(F.struct("pr", "wiki_id")).alias("b"), F.count("*").alias("candidates"))
-    r = table(spark, sf, "relation").select("relation_id", F.lower("subject_text").alias("k"))
+    r = table(spark, sf, "relation").select("relation_id", F.explode(F.array(F.lower("subject_text"), F.lower("object_text"))).alias("k"))
     return r.join(best, "k").select("relation_id", F.col("b.wiki_id").alias("found_id"), "candidates")
 
 

@@ -308,3 +308,73 @@ def told_edges(spark: SparkSession, sf: str) -> DataFrame:
         verb = F.when(F.col("rel") == k, v).otherwise(verb)
     e = edges(spark, sf).join(n.select(F.col("id").alias("src"), F.col("name").alias("a")), "src", "left").join(n.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst", "left")
     return e.select("eid", "rel", F.concat_ws(" ", F.coalesce("a", F.col("src").cast("string")), verb, F.coalesce("b", F.col("dst").cast("string"))).alias("told"))
+
+
+@query(
+    "context_competitions",
+    f"""WITH l AS (SELECT league, row_number() OVER (ORDER BY league)::BIGINT AS id FROM (SELECT DISTINCT league FROM club_parsed WHERE league IS NOT NULL)), c AS (SELECT relation_id, {_PLAIN_SQL.format(c='context')} AS t FROM relation WHERE context IS NOT NULL)
+    SELECT c.relation_id, l.league FROM c LEFT JOIN l ON contains(c.t, ' ' || lower(l.league) || ' ')""",
+)
+def context_competitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Competition that each sentence names, by its whole name in the text; sentences without one are kept."""
+    from pitchlake.operators.dedup import with_surrogate_ids
+
+    leagues = with_surrogate_ids(table(spark, sf, "club_parsed").select("league").filter("league IS NOT NULL").distinct(), ["league"], "id")
+    r = table(spark, sf, "relation").filter("context IS NOT NULL").select("relation_id", "context")
+    found = textops.dictionary_mentions(r, "relation_id", "context", leagues, "league", "id").join(leagues, "id").select("relation_id", "league")
+    return r.select("relation_id").join(found, "relation_id", "left")
+
+
+@query(
+    "memberships_by_any_name",
+    """WITH n AS (SELECT k, min(wiki_id) AS club_id FROM (SELECT lower(trim(name, ' ')) AS k, wiki_id FROM club_parsed WHERE name IS NOT NULL UNION ALL SELECT lower(trim(full_name, ' ')), wiki_id FROM club_parsed WHERE full_name IS NOT NULL) GROUP BY 1)
+    SELECT p.wiki_id, p.club_name, n.club_id FROM (SELECT DISTINCT wiki_id, h.club_name AS club_name FROM (SELECT wiki_id, unnest(clubs_history) AS h FROM player_parsed)) p LEFT JOIN n ON n.k = lower(trim(p.club_name, ' '))""",
+)
+def memberships_by_any_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Clubs of nested histories looked up by name or by full name; unmatched ones are kept."""
+    key = lambda c: F.lower(F.trim(c))
+    c = table(spark, sf, "club_parsed").select("wiki_id", F.explode(F.array("name", "full_name")).alias("n")).filter("n IS NOT NULL")
+    n = c.groupBy(key("n").alias("k")).agg(F.min("wiki_id").alias("club_id"))
+    p = table(spark, sf, "player_parsed").select("wiki_id", F.explode("clubs_history").alias("h")).select("wiki_id", "h.club_name").distinct()
+    return p.withColumn("k", key("club_name")).join(n, "k", "left").select("wiki_id", "club_name", "club_id")
+
+
+@query(
+    "constraint_violations",
+    """SELECT 'ends before it begins' AS violation, count(*)::BIGINT AS n FROM played_for WHERE from_year > 0 AND to_year > 0 AND to_year < from_year
+    UNION ALL SELECT 'captain of several', count(*)::BIGINT FROM (SELECT subject_wiki_id FROM relation WHERE predicate = 'CAPTAINED' AND subject_wiki_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT object_wiki_id) > 1)
+    UNION ALL SELECT 'captain without membership', count(*)::BIGINT FROM (SELECT DISTINCT subject_wiki_id AS s, object_wiki_id AS o FROM relation WHERE predicate = 'CAPTAINED' AND subject_wiki_id IS NOT NULL AND object_wiki_id IS NOT NULL) c WHERE NOT EXISTS (SELECT 1 FROM played_for f WHERE f.from_player_id = c.s AND f.to_club_id = c.o)
+    UNION ALL SELECT 'defeat without its inverse', count(*)::BIGINT FROM (SELECT DISTINCT subject_wiki_id AS s, object_wiki_id AS o FROM relation WHERE predicate = 'DEFEATED' AND subject_wiki_id IS NOT NULL AND object_wiki_id IS NOT NULL) c WHERE NOT EXISTS (SELECT 1 FROM relation r WHERE r.predicate = 'LOST_TO' AND r.subject_wiki_id = c.o AND r.object_wiki_id = c.s)""",
+)
+def constraint_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Violations of the constraints on relations: temporal, unique, implied, inverse."""
+    r = table(spark, sf, "relation").filter("subject_wiki_id IS NOT NULL").select("predicate", F.col("subject_wiki_id").alias("s"), F.col("object_wiki_id").alias("o"))
+    f = table(spark, sf, "played_for")
+    captains, member = r.filter("predicate = 'CAPTAINED'"), f.select(F.col("from_player_id").alias("s"), F.col("to_club_id").alias("o"))
+    won, lost = r.filter("predicate = 'DEFEATED'"), r.filter("predicate = 'LOST_TO'").select(F.col("o").alias("s"), F.col("s").alias("o"))
+    several = captains.groupBy("s").agg(F.countDistinct("o").alias("n")).filter("n > 1")
+    return stats.tagged_counts(
+        {
+            "ends before it begins": f.filter("from_year > 0 AND to_year > 0 AND to_year < from_year"), "captain of several": several,
+            "captain without membership": captains.select("s", "o").dropna().distinct().join(member, ["s", "o"], "left_anti"), "defeat without its inverse": won.select("s", "o").dropna().distinct().join(lost, ["s", "o"], "left_anti"),
+        }
+    ).withColumnRenamed("name", "violation")
+
+
+NAMED = "Ngong"
+
+
+@query(
+    "clubs_of_named",
+    f"""WITH p AS (SELECT wiki_id, min(name) AS name FROM player_parsed WHERE wiki_id IS NOT NULL GROUP BY 1), t AS (SELECT wiki_id, min(name) AS name, 'Club' AS label FROM club_parsed WHERE wiki_id IS NOT NULL GROUP BY 1 UNION ALL SELECT wiki_id, min(name), 'NationalTeam' FROM national_team_parsed GROUP BY 1)
+    SELECT DISTINCT p.wiki_id AS player, p.name, t.wiki_id AS team, t.name AS team_name, t.label FROM p JOIN played_for f ON f.from_player_id = p.wiki_id JOIN t ON t.wiki_id = f.to_club_id WHERE contains(lower(p.name), lower('{NAMED}'))""",
+)
+def clubs_of_named(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit lookup: the teams, club or national, of the players with a word in their name."""
+    from pitchlake.plans.stats import nodes
+
+    n = nodes(spark, sf)
+    p = n.filter("label = 'Player'").filter(F.contains(F.lower("name"), F.lit(NAMED.lower()))).select(F.col("id").alias("player"), "name")
+    t = n.filter(F.col("label").isin("Club", "NationalTeam")).select(F.col("id").alias("team"), F.col("name").alias("team_name"), "label")
+    f = table(spark, sf, "played_for").select(F.col("from_player_id").alias("player"), F.col("to_club_id").alias("team")).distinct()
+    return f.join(p, "player").join(t, "team").select("player", "name", "team", "team_name", "label")

@@ -164,8 +164,9 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("louvain_communities")
 def louvain_communities(spark: SparkSession, sf: str) -> DataFrame:
-    """Communities of players and clubs by modularity (tested on graphs with known communities)."""
-    return algorithms.louvain(edges(spark, sf).filter("rel IN ('PLAYED_FOR', 'TEAMMATE')"))
+    """Communities of three and more players and clubs by modularity (tested on graphs with known communities)."""
+    found = algorithms.louvain(edges(spark, sf).filter("rel IN ('PLAYED_FOR', 'TEAMMATE')"))
+    return found.join(found.groupBy("community").agg(F.count("*").alias("n")).filter("n >= 3").select("community"), "community", "left_semi").select("id", "community")
 
 
 @query(

@@ -185,6 +185,16 @@ def natural_communities(spark: SparkSession, sf: str) -> DataFrame:
     return p.agg(F.countDistinct("from_player_id").alias("members"), F.min("from_player_id").alias("first_member"), F.max("from_player_id").alias("last_member")).filter("members >= 3")
 
 
+@query(
+    "community_members",
+    "SELECT to_club_id, from_player_id FROM (SELECT DISTINCT to_club_id, from_player_id FROM played_for WHERE to_club_id IS NOT NULL AND from_player_id IS NOT NULL) WHERE to_club_id IN (SELECT to_club_id FROM played_for WHERE from_player_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT from_player_id) >= 3)",
+)
+def community_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The members of each community of three or more, one row each: a list could be as long as the table."""
+    m = table(spark, sf, "played_for").select("to_club_id", "from_player_id").dropna().distinct()
+    return m.join(m.groupBy("to_club_id").agg(F.count("*").alias("n")).filter("n >= 3").select("to_club_id"), "to_club_id", "left_semi")
+
+
 @query("community_sizes", "SELECT min(n)::BIGINT AS least, max(n)::BIGINT AS most, round(avg(n), 6) AS mean, count(*)::BIGINT AS communities FROM (SELECT count(DISTINCT from_player_id) AS n FROM played_for WHERE to_club_id IS NOT NULL GROUP BY to_club_id HAVING count(DISTINCT from_player_id) >= 3)")
 def community_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Smallest, largest and mean size of the communities."""

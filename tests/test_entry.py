@@ -38,7 +38,7 @@ def test_flagship(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["teammate_edges", "under_coach_edges", "p4_found", "p6_found", "clustering", "first_by_key"])
+@pytest.mark.parametrize("name", ["teammate_edges", "under_coach_edges", "p4_found", "p6_found", "clustering", "first_by_key", "sentences", "pattern_relations", "path_lengths", "pair_checks", "yes_no_answers", "question_bank", "answered_questions", "strict_mentions", "matched_entities", "pending_changes", "false_memberships", "choice_questions", "graph_script", "grounds"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

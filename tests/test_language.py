@@ -122,7 +122,7 @@ def test_intermediates_go(spark):
 
     df = materialize(spark.range(3), "x")
     path = df._written.replace("file:", "")
-    assert os.path.isdir(path) and df.count() == 3 and shared_dir(spark) in df._written
+    assert os.path.isdir(path) and df.count() == 3 and df._written.startswith(shared_dir(spark))
     release(df)
     release(df.filter("id > 0"))
     assert not os.path.isdir(path)
@@ -148,3 +148,23 @@ def test_questions_in_words(spark):
     assert {r.no for r in got} == set(range(6)) and all(r.given == r.expected for r in got)
     assert {r.intent for r in got} == {"played", "club_province", "teammate", "born"} and {r.confidence for r in got} == {0.95, 0.85}
     assert answer(q.limit(0), facts).count() == 0 and answer(q, facts.limit(0)).filter("given IN ('true', 'yes')").count() == 0
+
+
+def test_unicode_and_cleaning(spark):
+    assert one(spark, "Ðo\u0302\u0301ng “x”", lambda c: X.nfc(c, X.REPLACED)) == 'Đống "x"' and one(spark, None, X.nfc) is None
+    assert one(spark, "Xem <b>tin</b> https://a.b/c ★ gửi a@b.vn ► ngay…  nhé!", X.clean_text) == "Xem tin gửi ngay nhé!"
+
+
+def test_shared_folder():
+    """Off local mode a folder has to be named."""
+    from types import SimpleNamespace
+
+    from pitchlake.session import shared_dir
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "hdfs://x/y"), sparkContext=context)
+    assert shared_dir(named) == "hdfs://x/y"
