@@ -104,7 +104,7 @@ def stadium_provinces(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("ground", province_of(F.col("ground"), F.col("ground"), GROUND_PROVINCES, TOWNS, provinces).alias("province"))
 
 
-#: Classes of competitions and awards by words of their title; the first that holds counts.
+# Classes of competitions and awards by words of their title; the first that holds counts.
 COMPETITIONS = [(("siêu cúp", "super cup"), "super_cup"), (("cúp", "cup"), "cup"), (("u-", "u16", "u19", "u21", "trẻ"), "youth"), (("nữ", "women"), "women")]
 PARENTS = [(("cúp sông lớn",), "Cúp Sông Lớn"), (("cúp mùa gặt",), "Cúp Mùa Gặt"), (("vô địch miền",), "Giải Vô địch Miền"), (("hạng nhất",), "Giải Hạng Nhất Liên tỉnh"), (("super liga",), "Super Liga Bờ Đông")]
 AWARDS = [(("quả bóng vàng", "golden ball"), "golden_ball"), (("vua phá lưới", "chiếc giày", "top scorer"), "golden_boot"), (("cầu thủ xuất sắc", "best player"), "best_player"), (("huấn luyện viên xuất sắc", "best coach"), "best_coach"), (("fair play",), "fair_play")]
@@ -125,6 +125,7 @@ def season_titles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Types of leagues by words of their name; the first that holds counts.
 LEAGUES = [(("cúp", "cup"), "cup"), (("league", "liga", "vô địch"), "league"), (("hạng nhất",), "second_division"), (("nữ", "women"), "women"), (("u21", "u23", "trẻ"), "youth")]
 
 
@@ -136,6 +137,7 @@ def league_types(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("league", F.coalesce(given, X.classified(F.col("league"), LEAGUES, "other")).alias("competition_type"))
 
 
+# Surfaces by words, and words that no ground's name has.
 SURFACES = [(("cỏ tự nhiên",), "Natural Grass"), (("cỏ nhân tạo",), "Artificial Turf"), (("hybrid",), "Hybrid")]
 BAD_GROUND_WORDS = ("danh sách", "thể loại", "nhà thi đấu")
 
@@ -158,7 +160,7 @@ def grounds(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(known, "ground", "left").select("wiki_id", "fetched_at", F.coalesce("own", "known").alias("seats"), surface.alias("surface_type"), valid.alias("valid"), shown.alias("shown"))
 
 
-#: What makes a page a national team: ids known to be one, words that it may not have, patterns of which it needs one.
+# What makes a page a national team: ids known to be one, words that it may not have, patterns of which it needs one.
 TEAM_IDS, TEAM_BAD_WORDS, TEAM_PATTERNS = (900001,), ("danh sách", "huấn luyện viên"), ("đội tuyển", r"u-?[0-9]+")
 
 

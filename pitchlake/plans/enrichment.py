@@ -58,7 +58,7 @@ def recognised_entities(spark: SparkSession, sf: str) -> DataFrame:
     return textops.recognised(spans.unionByName(found), "relation_id", ["kind", "wiki_id"])
 
 
-#: (subject type, object type, trigger words, predicate, confidence) of relations by co-occurrence.
+# Fixed values: (subject type, object type, trigger words, predicate, confidence) of relations by co-occurrence.
 TRIGGERS = (
     ("PLAYER", "CLUB", ("thi đấu", "chơi cho", "khoác áo", "cầu thủ", "gia nhập", "chuyển sang"), "PLAYED_FOR", 0.75), ("PLAYER", "NATIONAL_TEAM", ("đội tuyển", "quốc gia", "khoác áo"), "PLAYED_FOR_NATIONAL", 0.8),
     ("CLUB", "CLUB", ("thắng", "thua", "hòa", "scored against"), "PLAYED_AGAINST", 0.7), ("COACH", "CLUB", ("huấn luyện", "dẫn dắt", "hlv"), "COACHED", 0.75), ("NATIONAL_TEAM", "CLUB", ("thắng", "thua", "hòa"), "PLAYED_AGAINST", 0.7),
@@ -82,7 +82,7 @@ def triggered_relations(spark: SparkSession, sf: str) -> DataFrame:
     return r.withColumn("f", found).filter("f IS NOT NULL").select("relation_id", "f.found", "f.confidence", F.left("context", F.lit(200)).alias("shown"))
 
 
-#: (verb, predicate, confidence) of relations whose words stand in the order subject, verb, object.
+# Fixed values: (verb, predicate, confidence) of relations whose words stand in the order subject, verb, object.
 ORDERED = (("thi đấu cho", "PLAYED_FOR", 0.95), ("dẫn dắt", "COACHED", 0.95), ("đeo băng đội trưởng", "CAPTAINED", 0.9))
 NEAR = 100
 
@@ -289,7 +289,7 @@ def ranked_trails(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("place", place).filter("place <= 5").select("source", "target", "hops", "eids", "place")
 
 
-#: Verbs by which edges are told.
+# Verbs by which edges are told.
 VERBS = {"PLAYED_FOR": "chơi cho", "COACHED": "huấn luyện", "TEAMMATE": "là đồng đội của", "UNDER_COACH": "chơi dưới thời", "NATIONAL_TEAMMATE": "cùng đội tuyển với", "PLAYED_FOR_NATIONAL": "khoác áo", "COACHED_NATIONAL": "dẫn dắt đội tuyển", "BORN_IN": "sinh ra tại", "FROM_PROVINCE": "quê ở",
          "HAS_POSITION": "chơi ở vị trí", "HAS_NATIONALITY": "có quốc tịch", "HOME_STADIUM": "có sân nhà là", "BASED_IN": "đặt tại", "LOCATED_IN": "nằm ở", "COMPETES_IN": "thi đấu tại", "PLAYED_SAME_CLUBS": "từng cùng đội với"}
 

@@ -145,6 +145,7 @@ def yes_no_answers(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("a", "b", "kind", F.when(F.col("yes"), "Có").otherwise("Không").alias("answer"), F.when(F.col("yes"), 0.95).otherwise(F.col("no")).alias("confidence"))
 
 
+# Words that show that a national team is meant.
 GATE_WORDS = ("đội tuyển", "đt ", "tuyển", "u-", "u2")
 
 
@@ -185,18 +186,19 @@ def guarded_memberships(spark: SparkSession, sf: str) -> DataFrame:
 _NAMES_SQL = "SELECT wiki_id AS id, min(name) AS name FROM {t} WHERE wiki_id IS NOT NULL AND name IS NOT NULL GROUP BY 1"
 _EDGE_FACTS = """SELECT '{kind}' AS kind, {hops} AS hops, e.edge_id AS fid, e.s AS sid, s.name AS s, o.name AS o, [w1.name, w2.name, w3.name] AS others FROM e{kind} e JOIN ({subjects}) s ON s.id = e.s JOIN ({objects}) o ON o.id = e.o
 LEFT JOIN e{kind} x1 ON x1.edge_id = e.edge_id + 1 LEFT JOIN ({objects}) w1 ON w1.id = x1.o LEFT JOIN e{kind} x2 ON x2.edge_id = e.edge_id + 2 LEFT JOIN ({objects}) w2 ON w2.id = x2.o LEFT JOIN e{kind} x3 ON x3.edge_id = e.edge_id + 3 LEFT JOIN ({objects}) w3 ON w3.id = x3.o"""
-_LIST_FACTS = """SELECT '{kind}' AS kind, {hops} AS hops, f.player AS fid, f.player AS sid, s.name AS s, f.v AS o, [{others}] AS others FROM ({facts}) f JOIN (""" + _NAMES_SQL.format(t="player_parsed") + """) s ON s.id = f.player JOIN v{kind} l ON l.v = f.v"""
+_LIST_FACTS = """SELECT '{kind}' AS kind, {hops} AS hops, f.player AS fid, f.player AS sid, s.name AS s, f.v AS o, [{others}] AS others FROM ({facts}) f JOIN ({subjects}) s ON s.id = f.player JOIN v{kind} l ON l.v = f.v"""
 #: (kind, hops, statement, question, of several) of the facts that questions are made of.
 KINDS = {
     "played": (1, "{} từng chơi cho {}.", "{} có từng chơi cho {} không?", "{} từng chơi cho đội nào?"), "coached": (1, "{} từng dẫn dắt {}.", "{} có từng dẫn dắt {} không?", "{} từng dẫn dắt đội nào?"),
     "teammate": (1, "{} là đồng đội của {}.", "{} có phải đồng đội của {} không?", "Ai là đồng đội của {}?"), "born": (1, "{} quê ở {}.", "{} có quê ở {} không?", "{} quê ở đâu?"),
     "national": (1, "{} từng khoác áo {}.", "{} có từng khoác áo {} không?", "{} từng khoác áo đội tuyển nào?"), "position": (1, "{} chơi ở vị trí {}.", "{} có chơi ở vị trí {} không?", "{} chơi ở vị trí nào?"),
+    "based": (1, "{} đặt tại {}.", "{} có đặt tại {} không?", "{} đặt tại đâu?"),
     "club_province": (2, "{} từng chơi cho một đội ở {}.", "{} có từng chơi cho một đội ở {} không?", "{} từng chơi cho một đội ở tỉnh nào?"),
 }
 _EDGES = {"played": ("played_for", "from_player_id", "to_club_id", "player_parsed", "club_parsed"), "coached": ("coached", "from_coach_id", "to_club_id", "coach_parsed", "club_parsed"), "teammate": ("teammate", "player1_id", "player2_id", "player_parsed", "player_parsed")}
 _PROVINCES_SQL = f"SELECT p.player, b.province AS v FROM ({PLAYED_SQL}) p JOIN ({BASED_SQL}) b ON b.club = p.club"
 _LISTS = {"born": (f"SELECT player, province AS v FROM ({BORN_SQL})", "SELECT name AS v, province_id AS no FROM provinces_reference"), "national": (f"SELECT player, team AS v FROM ({NATIONAL_SQL})", "SELECT name AS v, row_number() OVER (ORDER BY wiki_id) AS no FROM national_team_parsed"),
-          "position": (f"SELECT player, code AS v FROM ({POSITION_SQL})", "SELECT position_code AS v, row_number() OVER (ORDER BY position_id) AS no FROM positions_reference"), "club_province": (f"SELECT DISTINCT player, v FROM ({_PROVINCES_SQL})", "SELECT name AS v, province_id AS no FROM provinces_reference")}
+          "position": (f"SELECT player, code AS v FROM ({POSITION_SQL})", "SELECT position_code AS v, row_number() OVER (ORDER BY position_id) AS no FROM positions_reference"), "club_province": (f"SELECT DISTINCT player, v FROM ({_PROVINCES_SQL})", "SELECT name AS v, province_id AS no FROM provinces_reference"), "based": (f"SELECT club AS player, province AS v FROM ({BASED_SQL})", "SELECT name AS v, province_id AS no FROM provinces_reference")}
 
 
 def _facts_sql() -> str:
@@ -208,7 +210,7 @@ def _facts_sql() -> str:
         ctes.append(f"v{kind} AS ({values})")
         size = f"(SELECT count(*) FROM v{kind})"
         others = ", ".join(f"(SELECT min(w.v) FROM v{kind} w WHERE w.no = (l.no - 1 + {i}) % {size} + 1)" for i in (1, 2, 3))
-        parts.append(_LIST_FACTS.format(kind=kind, hops=KINDS[kind][0], facts=facts, others=others))
+        parts.append(_LIST_FACTS.format(kind=kind, hops=KINDS[kind][0], facts=facts, others=others, subjects=_NAMES_SQL.format(t="club_parsed" if kind == "based" else "player_parsed")))
     return f"WITH {', '.join(ctes)}, f AS ({' UNION ALL '.join(parts)}), t AS (SELECT kind, sid, list(DISTINCT o) AS truth FROM f GROUP BY 1, 2) SELECT f.kind, f.hops, f.fid, f.s, f.o, list_sort(list_filter(list_distinct(f.others), lambda w: w IS NOT NULL AND w <> f.s AND NOT list_contains(t.truth, w))) AS wrong FROM f JOIN t ON t.kind = f.kind AND t.sid = f.sid"
 
 
@@ -225,7 +227,9 @@ def _edge_facts(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 def _list_facts(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     places = [r["name"] for r in table(spark, sf, "provinces_reference").orderBy("province_id").collect()]  # lists of fixed size
-    if kind == "born":
+    if kind == "based":
+        facts, values = based(spark, sf).select(F.col("club").alias("player"), F.col("province").alias("o")), places
+    elif kind == "born":
         facts, values = born(spark, sf).withColumnRenamed("province", "o"), places
     elif kind == "national":
         facts, values = national(spark, sf).withColumnRenamed("team", "o"), [r["name"] for r in table(spark, sf, "national_team_parsed").orderBy("wiki_id").collect()]
@@ -234,7 +238,8 @@ def _list_facts(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     else:
         facts, values = played(spark, sf).join(based(spark, sf), "club").select("player", F.col("province").alias("o")).distinct(), places
     following = spark.createDataFrame([(v, [values[(i + n) % len(values)] for n in (1, 2, 3)]) for i, v in enumerate(values)], "o string, others array<string>")
-    names = table(spark, sf, "player_parsed").filter("wiki_id IS NOT NULL AND name IS NOT NULL").groupBy(F.col("wiki_id").alias("player")).agg(F.min("name").alias("s"))
+    subjects = table(spark, sf, "club_parsed" if kind == "based" else "player_parsed")
+    names = subjects.filter("wiki_id IS NOT NULL AND name IS NOT NULL").groupBy(F.col("wiki_id").alias("player")).agg(F.min("name").alias("s"))
     found = facts.join(F.broadcast(following), "o").join(names, "player")
     return found.select(F.lit(kind).alias("kind"), F.lit(KINDS[kind][0]).alias("hops"), F.col("player").alias("fid"), F.col("player").alias("sid"), "s", "o", "others")
 
@@ -274,7 +279,7 @@ CASE WHEN type = 'MCQ' THEN list_sort(list_append(wrong, o)) END AS choices FROM
 
 @query("question_bank", BANK_SQL)
 def question_bank(spark: SparkSession, sf: str) -> DataFrame:
-    """A balanced set of 200 questions: true and false statements, yes-or-no questions, choices of up to four; over seven kinds of facts of one and two hops, shuffled and numbered.
+    """A balanced set of 200 questions: true and false statements, yes-or-no questions, choices of up to four; over eight kinds of facts of one and two hops, shuffled and numbered.
 
     A false object is drawn among those that aren't the subject's, so no negative has to be rejected; each stratum keeps the
     first by hash.
@@ -322,6 +327,19 @@ def bank_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return stats.grouped_sets(a, [["type"], ["hops"], ["kind"], ["answer"], []], F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("accuracy"))
 
 
+@query(
+    "existence_checks",
+    f"""WITH f AS ({_facts_sql()}), asked AS (SELECT DISTINCT kind, s, o FROM f UNION SELECT DISTINCT kind, s, wrong[1] FROM f WHERE len(wrong) > 0), n AS (SELECT DISTINCT kind, s, o FROM f)
+    SELECT a.kind, a.s, a.o, n.s IS NOT NULL AS holds FROM asked a LEFT JOIN n ON n.kind = a.kind AND n.s = a.s AND n.o = a.o""",
+)
+def existence_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a fact holds by the names of its ends, for eight kinds of facts: every fact, and one that its subject hasn't."""
+    f = question_facts(spark, sf)
+    known = f.select("kind", "s", "o").distinct()
+    asked = known.unionByName(f.select("kind", "s", F.get("wrong", F.lit(0)).alias("o")).filter("o IS NOT NULL")).distinct()
+    return asked.join(known.withColumn("holds", F.lit(True)), ["kind", "s", "o"], "left").select("kind", "s", "o", F.coalesce("holds", F.lit(False)).alias("holds"))
+
+
 @query(
     "missing_locations",
     f"SELECT club, province FROM ({BASED_SQL}) EXCEPT SELECT c.wiki_id, p.name FROM club_parsed c JOIN provinces_reference p ON c.ground IN ('Sân ' || p.name, 'Sân vận động ' || p.name)",

@@ -142,7 +142,7 @@ def import_queues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NAME = f"[{UPPER}][^ .,]*(?: [{UPPER}][^ .,]*)*"
-#: (verb pattern, predicate, swapped, confidence) of the relations that patterns find.
+# Fixed values: (verb pattern, predicate, swapped, confidence) of the relations that patterns find.
 RULES = [
     ("(?:đã )?(?:thi đấu|chơi) cho|khoác áo|plays for|played for", "PLAYED_FOR", False, 0.9), ("là cầu thủ (?:của )?", "PLAYED_FOR", False, 0.8), ("thuộc biên chế|bên phía", "PLAYED_FOR", False, 0.8),
     ("chuyển (?:sang|đến|về)|joined|moved to", "TRANSFERRED_TO", False, 0.85), ("gia nhập|cập bến", "TRANSFERRED_TO", False, 0.85), ("ký hợp đồng với|signed for", "SIGNED_WITH", False, 0.85),
@@ -155,7 +155,7 @@ RULES = [
     ("(?:được )?sinh(?: ra)? (?:tại|ở)|was born in", "BORN_IN", False, 0.9), ("quê(?: quán)?(?: tại| ở|:)?|người|a native of", "BORN_IN", False, 0.85),
     ("(?:giành|đoạt|nhận)(?: giải)?|won", "WON_AWARD", False, 0.78), ("được (?:trao|vinh danh)", "WON_AWARD", False, 0.8),
 ]
-#: Types that a predicate's subject and object may have; another type takes a part of the confidence.
+# Types that a predicate's subject and object may have; another type takes a part of the confidence.
 TYPES = {
     "PLAYED_FOR": (("PLAYER",), ("CLUB", "NATIONAL_TEAM")), "TRANSFERRED_TO": (("PLAYER",), ("CLUB",)), "SIGNED_WITH": (("PLAYER",), ("CLUB",)), "CAPTAINED": (("PLAYER",), ("CLUB", "NATIONAL_TEAM")),
     "COACHED": (("COACH",), ("CLUB", "NATIONAL_TEAM")), "SCORED_AGAINST": (("PLAYER",), ("CLUB", "NATIONAL_TEAM")), "CONCEDED_FROM": (("CLUB", "NATIONAL_TEAM"), ("PLAYER",)),
