@@ -109,12 +109,9 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 def _public(spark: SparkSession, sf: str) -> DataFrame:
     """Names of the persons who are public: players, coaches and officials of the tables."""
-    out = None
-    for name, columns in (("player_parsed", ["name", "full_name"]), ("coach_parsed", ["name", "full_name"]), ("club_parsed", ["chairman", "manager"]), ("national_team_parsed", ["manager"])):
-        for c in columns:
-            own = table(spark, sf, name).select(F.col(c).alias("name")).filter("name IS NOT NULL")
-            out = own if out is None else out.unionByName(own)
-    return out.distinct()
+    sources = (("player_parsed", ["name", "full_name"]), ("coach_parsed", ["name", "full_name"]), ("club_parsed", ["chairman", "manager"]), ("national_team_parsed", ["manager"]))
+    parts = [table(spark, sf, name).select(F.explode(F.array(*columns)).alias("name")) for name, columns in sources]
+    return reduce(DataFrame.unionByName, parts).filter("name IS NOT NULL").distinct()
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
