@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries.
-MODULES = ("training_data", "projections", "cleaning", "edges", "stats", "graph", "text", "questions", "answers", "enrichment", "sources")
+MODULES = ("training_data", "projections", "cleaning", "parsing", "edges", "stats", "graph", "text", "questions", "answers", "enrichment", "sources")
 
 
 def load() -> None:

@@ -64,10 +64,15 @@ META = "wiki_id bigint, entity_type string, page_title string, text_hash string"
 
 def read_texts(spark: SparkSession, path: str, meta: str = META) -> DataFrame:
     """Text files whose first line may hold ``<!-- METADATA: {json} -->``: path, the metadata's fields (null without) and the text after it."""
-    raw = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    return headed(spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path")), meta)
+
+
+def headed(raw: DataFrame, meta: str = META) -> DataFrame:
+    """``raw`` with the metadata's fields and the text of its column ``value``, which may begin with a header."""
     header = F.regexp_extract("value", r"(?s)^\s*<!-- METADATA: (\{.*?\}) -->", 1)
     body = F.regexp_replace("value", r"(?s)^\s*<!-- METADATA: \{.*?\} -->\s*", "")
-    return raw.select("path", F.from_json(header, meta).alias("m"), body.alias("text")).select("path", "m.*", "text")
+    others = [c for c in raw.columns if c != "value"]
+    return raw.select(*others, F.from_json(header, meta).alias("m"), body.alias("text")).select(*others, "m.*", "text")
 
 
 def collectable(pages: DataFrame, collected: DataFrame, key: str, text: str, least: int = 50) -> DataFrame:
