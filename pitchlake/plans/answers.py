@@ -19,7 +19,7 @@ def _pattern(template: str, ends: int) -> str:
 
 
 #: (type, kind, pattern) of the wordings, narrower ones first: a club in a province is asked for in the words of a club.
-WORDINGS = [(t, k, _pattern(KINDS[k][i], n)) for k in ("club_province", *[x for x in KINDS if x != "club_province"]) for t, i, n in (("YN", 2, 2), ("TF", 1, 2), ("MCQ", 3, 1))]
+WORDINGS = [(t, k, _pattern(KINDS[k][i], n)) for k in ("home_club", "club_province", *[x for x in KINDS if x not in ("home_club", "club_province")]) for t, i, n in (("YN", 2, 2), ("TF", 1, 2), ("MCQ", 3, 1))]
 #: Confidence of an answer by whether the graph has the fact.
 SURE, UNSURE = 0.95, 0.85
 _WHICH = " ".join(f"WHEN regexp_matches(question, '{p}') THEN {i}" for i, (_, _, p) in enumerate(WORDINGS))

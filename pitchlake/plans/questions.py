@@ -193,6 +193,7 @@ KINDS = {
     "teammate": (1, "{} là đồng đội của {}.", "{} có phải đồng đội của {} không?", "Ai là đồng đội của {}?"), "born": (1, "{} quê ở {}.", "{} có quê ở {} không?", "{} quê ở đâu?"),
     "national": (1, "{} từng khoác áo {}.", "{} có từng khoác áo {} không?", "{} từng khoác áo đội tuyển nào?"), "position": (1, "{} chơi ở vị trí {}.", "{} có chơi ở vị trí {} không?", "{} chơi ở vị trí nào?"),
     "based": (1, "{} đặt tại {}.", "{} có đặt tại {} không?", "{} đặt tại đâu?"),
+    "home_club": (3, "{} từng chơi cho một đội ở quê của {}.", "{} có từng chơi cho một đội ở quê của {} không?", "{} từng chơi cho một đội ở quê của ai?"),
     "club_province": (2, "{} từng chơi cho một đội ở {}.", "{} có từng chơi cho một đội ở {} không?", "{} từng chơi cho một đội ở tỉnh nào?"),
 }
 _EDGES = {"played": ("played_for", "from_player_id", "to_club_id", "player_parsed", "club_parsed"), "coached": ("coached", "from_coach_id", "to_club_id", "coach_parsed", "club_parsed"), "teammate": ("teammate", "player1_id", "player2_id", "player_parsed", "player_parsed")}
@@ -211,6 +212,9 @@ def _facts_sql() -> str:
         size = f"(SELECT count(*) FROM v{kind})"
         others = ", ".join(f"(SELECT min(w.v) FROM v{kind} w WHERE w.no = (l.no - 1 + {i}) % {size} + 1)" for i in (1, 2, 3))
         parts.append(_LIST_FACTS.format(kind=kind, hops=KINDS[kind][0], facts=facts, others=others, subjects=_NAMES_SQL.format(t="club_parsed" if kind == "based" else "player_parsed")))
+    names = _NAMES_SQL.format(t="player_parsed")
+    ctes += [f"hp AS ({PAIR_SQL})", f"hn AS ({names})", "hx AS (SELECT hp.a, list_sort(list(DISTINCT hn.name))[1:3] AS others FROM hp JOIN hn ON hn.id = hp.b WHERE hp.club_there IS NULL GROUP BY 1)"]
+    parts.append(f"SELECT 'home_club', {KINDS['home_club'][0]}, hp.a, hp.a, s.name, o.name, coalesce(hx.others, []) FROM hp JOIN hn s ON s.id = hp.a JOIN hn o ON o.id = hp.b LEFT JOIN hx ON hx.a = hp.a WHERE hp.club_there IS NOT NULL")
     return f"WITH {', '.join(ctes)}, f AS ({' UNION ALL '.join(parts)}), t AS (SELECT kind, sid, list(DISTINCT o) AS truth FROM f GROUP BY 1, 2) SELECT f.kind, f.hops, f.fid, f.s, f.o, list_sort(list_filter(list_distinct(f.others), lambda w: w IS NOT NULL AND w <> f.s AND NOT list_contains(t.truth, w))) AS wrong FROM f JOIN t ON t.kind = f.kind AND t.sid = f.sid"
 
 
@@ -244,9 +248,19 @@ def _list_facts(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return found.select(F.lit(kind).alias("kind"), F.lit(KINDS[kind][0]).alias("hops"), F.col("player").alias("fid"), F.col("player").alias("sid"), "s", "o", "others")
 
 
+def _pair_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of three hops: a player of a club in the home province of another; the others are up to three pairs of the player for which that doesn't hold."""
+    names = table(spark, sf, "player_parsed").filter("wiki_id IS NOT NULL AND name IS NOT NULL").groupBy("wiki_id").agg(F.min("name").alias("name"))
+    named = lambda i, c: names.select(F.col("wiki_id").alias(i), F.col("name").alias(c))
+    pairs = materialize(pair_checks(spark, sf).select("a", "b", F.col("club_there").isNotNull().alias("holds")).join(named("b", "o"), "b"), "pairs")
+    others = pairs.filter("NOT holds").groupBy("a").agg(F.slice(F.array_sort(F.collect_set("o")), 1, 3).alias("others"))
+    found = pairs.filter("holds").join(named("a", "s"), "a").join(others, "a", "left")
+    return found.select(F.lit("home_club").alias("kind"), F.lit(KINDS["home_club"][0]).alias("hops"), F.col("a").alias("fid"), F.col("a").alias("sid"), "s", "o", F.coalesce("others", F.array().cast("array<string>")).alias("others"))
+
+
 def question_facts(spark: SparkSession, sf: str) -> DataFrame:
     """(kind, hops, fid, s, o, wrong): facts with a subject, an object and up to three objects that aren't the subject's."""
-    f = materialize(reduce(DataFrame.unionByName, [*[_edge_facts(spark, sf, k) for k in _EDGES], *[_list_facts(spark, sf, k) for k in _LISTS]]), "facts")
+    f = materialize(reduce(DataFrame.unionByName, [*[_edge_facts(spark, sf, k) for k in _EDGES], *[_list_facts(spark, sf, k) for k in _LISTS], _pair_facts(spark, sf)]), "facts")
     truth = f.groupBy("kind", "sid").agg(F.collect_set("o").alias("truth"))  # the different objects of one subject
     wrong = F.array_sort(F.filter(F.array_except("others", "truth"), lambda w: w != F.col("s")))
     return f.join(truth, ["kind", "sid"]).select("kind", "hops", "fid", "s", "o", wrong.alias("wrong"))
@@ -279,7 +293,7 @@ CASE WHEN type = 'MCQ' THEN list_sort(list_append(wrong, o)) END AS choices FROM
 
 @query("question_bank", BANK_SQL)
 def question_bank(spark: SparkSession, sf: str) -> DataFrame:
-    """A balanced set of 200 questions: true and false statements, yes-or-no questions, choices of up to four; over eight kinds of facts of one and two hops, shuffled and numbered.
+    """A balanced set of 200 questions: true and false statements, yes-or-no questions, choices of up to four; over nine kinds of facts of one to three hops, shuffled and numbered.
 
     A false object is drawn among those that aren't the subject's, so no negative has to be rejected; each stratum keeps the
     first by hash.
@@ -333,7 +347,7 @@ def bank_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     SELECT a.kind, a.s, a.o, n.s IS NOT NULL AS holds FROM asked a LEFT JOIN n ON n.kind = a.kind AND n.s = a.s AND n.o = a.o""",
 )
 def existence_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a fact holds by the names of its ends, for eight kinds of facts: every fact, and one that its subject hasn't."""
+    """Whether a fact holds by the names of its ends, for nine kinds of facts: every fact, and one that its subject hasn't."""
     f = question_facts(spark, sf)
     known = f.select("kind", "s", "o").distinct()
     asked = known.unionByName(f.select("kind", "s", F.get("wrong", F.lit(0)).alias("o")).filter("o IS NOT NULL")).distinct()
