@@ -362,3 +362,20 @@ def test_surnames(spark):
     known = wordsets.WordFilter(variants.surname_bits(spark.createDataFrame([(n,) for n in full], "name string")))
     assert "quanh" in known and not any(w in known for w in ("ruu", "an", "hiem", "ong"))
     assert "quanh" not in wordsets.WordFilter(variants.surname_bits(spark.createDataFrame([], "name string")))
+
+
+def test_set_errors_is_brute_force():
+    from itertools import permutations
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 3)))
+    for _ in range(400):
+        a, b = tuple(word() for _ in range(rnd.randint(1, 3))), tuple(word() for _ in range(rnd.randint(1, 3)))
+        short, long = sorted((a, b), key=len)
+        best = 99
+        slots = [*range(len(long)), *[None] * len(short)]
+        for order in set(permutations(slots, len(short))):
+            taken = [j for j in order if j is not None]
+            n = sum(len(w) if j is None else names.edits(w, long[j], 9) for w, j in zip(short, order)) + sum(len(w) for j, w in enumerate(long) if j not in taken)
+            best = min(best, n + (taken != sorted(taken)))
+        assert canonical.set_errors(a, b, 2) == min(best, 3), (a, b)
