@@ -200,14 +200,15 @@ def match_subjects(relation: DataFrame, entity: DataFrame, labelled: int = LABEL
     for forms in PASSES:
         keys = profiles.select("wiki_id", F.explode(_key_column(False, forms)).alias("key"))
         keys = keys.groupBy("key").agg(F.min("wiki_id").alias("wiki_id"), F.max("wiki_id").alias("other")).filter("wiki_id = other").drop("other")
-        asked = rest.select("relation_id", F.explode(_key_column(True, forms)).alias("key"))
-        fits = asked.join(keys, "key").select("relation_id", rule, "wiki_id").distinct()
-        fits = fits.join(rest.select("relation_id", "known", "name", F.col("years").alias("said")), "relation_id").join(about, "wiki_id")
-        fits = fits.filter("size(said) = 0 OR size(years) = 0 OR arrays_overlap(years, said)")
-        if "typo" in forms:
+        verified = ["name"] if "typo" in forms else []  # what is checked after the join goes with the keys
+        asked = rest.select("relation_id", "known", F.get("years", F.lit(0)).alias("said"), *verified, F.explode(_key_column(True, forms)).alias("key"))
+        fits = asked.join(keys, "key").select("relation_id", "known", "said", *verified, rule, "wiki_id").join(about, "wiki_id")
+        fits = fits.filter("said IS NULL OR size(years) = 0 OR array_contains(years, said)")
+        if verified:
             fits = fits.filter(_close("name", "names"))
         fits = materialize(fits.select("relation_id", "known", "rule", "wiki_id"), "p3-fits")
-        trials.append(fits.filter("known IS NOT NULL").select("rule", (F.col("known") == F.col("wiki_id")).alias("right")))
+        tried = fits.filter("known IS NOT NULL").distinct()
+        trials.append(tried.select("rule", (F.col("known") == F.col("wiki_id")).alias("right")))
         low, high = F.min(F.struct("rule", "wiki_id")).alias("low"), F.max(F.struct(-F.col("rule"), "wiki_id")).alias("high")
         found = fits.filter("known IS NULL").groupBy("relation_id").agg(low, high).filter("low.wiki_id = high.wiki_id")
         parts.append(found.select("relation_id", "low.wiki_id", "low.rule"))
