@@ -97,7 +97,7 @@ def louvain(edges: DataFrame, levels: int = 10, rounds: int = 20, tolerance: flo
     for _ in range(levels):
         strength = checkpoint(weighted.groupBy("id").agg(F.sum("w").alias("k")))
         own = strength.select("id", F.col("id").alias("c"))
-        last, still = None, 0
+        last = None
         for r in range(rounds):
             sums = own.join(strength, "id").groupBy("c").agg(F.sum("k").alias("tot"))
             to = weighted.filter("id <> next").join(own.select(F.col("id").alias("next"), F.col("c").alias("to")), "next").groupBy("id", "to").agg(F.sum("w").alias("inside"))
@@ -109,9 +109,10 @@ def louvain(edges: DataFrame, levels: int = 10, rounds: int = 20, tolerance: flo
             best = options.groupBy("id").agg(F.max(F.struct("gain", (-F.col("to")).alias("to"))).alias("b"))
             moved = best.join(here, "id", "left").filter((F.col("b.gain") > F.coalesce("now", F.lit(0.0)) + 1e-9) & (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0))
             own = checkpoint(own.join(moved.select("id", (-F.col("b.to")).alias("to")), "id", "left").select("id", F.coalesce("to", "c").alias("c")))
+            if r % 2 == 0:  # the gain is looked at after every second round
+                continue
             q = modularity(weighted, own, total)
-            still = still + 1 if last is not None and q - last < tolerance else 0
-            if still == 2:  # both parities had their turn
+            if last is not None and q - last < tolerance:
                 break
             last = q
         assigned = checkpoint(assigned.join(own.select(F.col("id").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
