@@ -142,12 +142,15 @@ def surname_bits(people: DataFrame) -> bytes:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _near(folded: pd.Series) -> pd.Series:
-    """Keys that names share which differ in one word: all words but one of three or more, else all but one letter."""
+    """Keys that names share which differ by one edit in one word: of three or more words all but one with what is left of that one, else all letters but one.
+
+    Names that merely have all other words in common share no key, so a frequent surname and middle name make no block.
+    """
     out = []
     for f in folded:
         words = f.split()
         if len(words) > 2 and words[-1] != "b":
-            out.append(sorted({" ".join([*words[:i], *words[i + 1 :]]) for i in range(len(words))}))
+            out.append(sorted({f"{' '.join([*words[:i], *words[i + 1 :]])}|{d}" for i, w in enumerate(words) for d in deletions(w, 1)}))
         else:
             out.append(sorted(deletions("".join(words), 1)))
     return pd.Series(out)
