@@ -250,7 +250,7 @@ def lexicon_bits(people: DataFrame) -> tuple[bytes, bytes, bytes, bytes]:
     total = counts.agg(*[F.sum(c).alias(c) for c in ("n", "first", "second")]).first()
 
     def telling(place: str) -> DataFrame:
-        prior = (total[place] or 0) / max(total["n"] or 0, 1)
+        prior = max(total[place] or 0, 1) / max(total["n"] or 0, 1)
         share = (F.col(place) + SMOOTHING * prior) / (F.col("n") + SMOOTHING)
         return counts.filter((F.col(place) > 0) & (F.log2(share / F.lit(prior)) >= THRESHOLD_BITS)).select("word")
 

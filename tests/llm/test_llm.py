@@ -379,3 +379,13 @@ def test_set_errors_is_brute_force():
             n = sum(len(w) if j is None else names.edits(w, long[j], 9) for w, j in zip(short, order)) + sum(len(w) for j, w in enumerate(long) if j not in taken)
             best = min(best, n + (taken != sorted(taken)))
         assert canonical.set_errors(a, b, 2) == min(best, 3), (a, b)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables here")
+@pytest.mark.parametrize("name", ["p2_found", "p3_matches", "p5_found", "p7_plain", "p9_shares", "p10_sanitised"])
+def test_empty_tables(spark, tmp_path, name):
+    from pitchlake.llm import queries
+
+    for f in os.listdir("/root/testdata/sf0.001"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{f}").limit(0).coalesce(1).write.parquet(str(tmp_path / f))
+    assert getattr(queries, name)(spark, str(tmp_path)).count() == 0
