@@ -316,8 +316,9 @@ def mapped(c: Column, pairs: list[tuple[str, str]], default: Column) -> Column:
     ``pairs`` are (folded key, value) of a small list of fixed size; of equal keys the first counts.
     """
     low = F.lower(F.trim(c))
-    exact = F.coalesce(*[F.when(low == k, F.lit(v)) for k, v in pairs])
-    first = F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in pairs])
+    none = F.lit(None).cast("string")
+    exact = F.coalesce(none, *[F.when(low == k, F.lit(v)) for k, v in pairs])
+    first = F.coalesce(none, *[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in pairs])
     return F.when(low.isNotNull() & (low != ""), F.coalesce(exact, first, default))
 
 

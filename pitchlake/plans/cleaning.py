@@ -74,7 +74,7 @@ def birth_provinces(spark: SparkSession, sf: str) -> DataFrame:
     """Province in a birthplace: the first of the list, and the one with the longest name; rows without one are left out."""
     listed = [r["name"] for r in table(spark, sf, "provinces_reference").orderBy("province_id").collect()]  # of fixed size
     low = F.lower("place_of_birth")
-    first = lambda names: F.coalesce(*[F.when(F.contains(low, F.lit(n.lower())), F.lit(n)) for n in names])
+    first = lambda names: F.coalesce(F.lit(None).cast("string"), *[F.when(F.contains(low, F.lit(n.lower())), F.lit(n)) for n in names])
     p = table(spark, sf, "player_parsed").select("wiki_id", "fetched_at", first(listed).alias("first_listed"), first(sorted(listed, key=len, reverse=True)).alias("longest"))
     return p.filter("first_listed IS NOT NULL")
 
@@ -82,9 +82,10 @@ def birth_provinces(spark: SparkSession, sf: str) -> DataFrame:
 def province_of(location, name, exact: dict[str, str], aliases: dict[str, str], provinces: list[str]):
     """Province of a place: by its exact name, else the first alias or province in its location, else the first province in its name."""
     low_location, low_name = F.lower(location), F.lower(name)
-    by_name = F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in exact.items()]) if exact else F.lit(None)
+    none = F.lit(None).cast("string")
+    by_name = F.coalesce(none, *[F.when(name == k, F.lit(v)) for k, v in exact.items()])
     places = [*aliases.items(), *[(p, p) for p in provinces]]
-    by_location = F.coalesce(*[F.when(F.contains(low_location, F.lit(k.lower())), F.lit(v)) for k, v in places])
+    by_location = F.coalesce(none, *[F.when(F.contains(low_location, F.lit(k.lower())), F.lit(v)) for k, v in places])
     return F.coalesce(by_name, by_location, *[F.when(F.contains(low_name, F.lit(p.lower())), F.lit(p)) for p in provinces])
 
 

@@ -69,7 +69,7 @@ def listed_type_counts(spark: SparkSession, sf: str) -> DataFrame:
 def graph_density(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes, edges and density in percent of all ordered pairs."""
     n, e = nodes(spark, sf).agg(F.count("*").alias("nodes")), edges(spark, sf).agg(F.count("*").alias("edges"))
-    return n.join(F.broadcast(e)).select("nodes", "edges", F.round(100.0 * F.col("edges") / (F.col("nodes") * F.col("nodes")).cast("double"), 6).alias("density"))
+    return n.join(F.broadcast(e)).select("nodes", "edges", F.round(F.try_divide(100.0 * F.col("edges"), (F.col("nodes") * F.col("nodes")).cast("double")), 6).alias("density"))
 
 
 @query(
@@ -251,7 +251,7 @@ def data_quality(spark: SparkSession, sf: str) -> DataFrame:
     empty = lambda c: F.count_if(F.col(c).isNull() | (F.col(c) == ""))
     q = table(spark, sf, "player_parsed").agg(empty("name").alias("no_name"), empty("position").alias("no_position"), empty("nationality").alias("no_nationality"))
     y = table(spark, sf, "played_for").agg(F.count_if(F.col("from_year").isNull()).alias("no_year"))
-    score = F.greatest(F.lit(0.0), F.round(100 - 100.0 * (F.col("orphans") + F.col("no_name")) / F.col("total"), 6))
+    score = F.greatest(F.lit(0.0), F.round(100 - F.try_divide(100.0 * (F.col("orphans") + F.col("no_name")), F.col("total")), 6))
     return o.join(F.broadcast(q)).join(F.broadcast(y)).join(F.broadcast(total)).select("orphans", "no_name", "no_position", "no_nationality", "no_year", score.alias("score"))
 
 

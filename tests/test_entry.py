@@ -49,3 +49,11 @@ def test_against_sql(spark, name):
     at = [[d[0] for d in cursor.description].index(c) for c in df.columns]
     want = sorted(repr(tuple(r[i] for i in at)) for r in cursor.fetchall())
     assert sorted(repr(tuple(r)) for r in df.collect()) == want
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["p1_found", "p4_orphans_by_month", "p6_found", "question_bank", "pair_checks", "position_groups", "pagerank", "infobox_careers"])
+def test_empty_tables(spark, tmp_path, name):
+    for f in os.listdir(SMALL):
+        spark.read.parquet(f"{SMALL}/{f}").limit(0).coalesce(1).write.parquet(str(tmp_path / f))
+    assert entry.queries()[name](spark, str(tmp_path)).count() == 0
