@@ -71,18 +71,34 @@ def resolved(df: DataFrame, group: str, priority: Column, start: str, end: str,
     return grouped.select(group, F.explode(choose("_s")).alias("r")).select(group, F.col("r.i").alias(ident), F.col("r.s").alias(start), F.col("r.e").alias(end))
 
 
-def dictionary_mentions(df: DataFrame, key: str, text: str, names: DataFrame, name: str, ident: str) -> DataFrame:
-    """(key, ident): entries whose whole name, folded, stands in the text at word bounds; least id of equal names.
+#: Kinds of first words that ``_with_sizes`` tells apart: its table has no more rows, however many names there are.
+FIRST_WORDS = 1 << 14
+
+
+def _with_sizes(starts: DataFrame, entries: DataFrame) -> DataFrame:
+    """``starts`` (with ``_first``) that can begin an entry, with ``_sizes``: how many words entries with such a first word have.
+
+    First words meet by a hash, so the table that goes to every executor has a row per hash at most; the join of whole runs
+    is exact. It's named as the side to broadcast: a planner that goes by the size of files takes the words of all texts for smaller.
+    """
+    kind = lambda c: F.pmod(F.xxhash64(c), F.lit(FIRST_WORDS))
+    sizes = entries.groupBy(kind(F.col("_words")[0]).alias("_kind")).agg(F.collect_set(F.size("_words")).alias("_sizes"))
+    return starts.withColumn("_kind", kind("_first")).join(F.broadcast(sizes), "_kind").drop("_kind")
+
+
+def dictionary_mentions(df: DataFrame, key: str, text: str, names: DataFrame, name: str, ident: str, by: list[str] | None = None) -> DataFrame:
+    """(key, by columns, ident): entries whose whole name, folded, stands in the text at word bounds; least id of equal names (of each ``by``).
 
     Equi-joins on runs of words: a run begins where a name begins, and is as long as a name with that first word can be.
+    Runs and names are both shuffled, as either may be large.
     """
-    entries = names.filter(F.col(name).isNotNull()).groupBy(F.lower(name).alias("_r")).agg(F.min(ident).alias(ident)).withColumn("_words", F.split("_r", " "))
-    first = entries.groupBy(F.col("_words")[0].alias("_first")).agg(F.collect_set(F.size("_words")).alias("_sizes"))
+    by = by or []
+    entries = names.filter(F.col(name).isNotNull()).groupBy(F.lower(name).alias("_r"), *by).agg(F.min(ident).alias(ident)).withColumn("_words", F.split("_r", " "))
     words = F.split(F.regexp_replace(F.regexp_replace(F.lower(text), r"[,.;:!?()\"]", " "), " +", " "), " ")
     starts = df.filter(F.col(text).isNotNull()).select(key, words.alias("_w")).select(key, "_w", F.posexplode("_w").alias("_at", "_first"))
     runs = F.transform(F.filter("_sizes", lambda n: F.col("_at") + n <= F.size("_w")), lambda n: F.array_join(F.slice("_w", F.col("_at") + 1, n), " "))
-    found = starts.join(first, "_first").select(key, F.explode(runs).alias("_r"))
-    return found.join(entries.select("_r", ident), "_r").select(key, ident).distinct()
+    found = _with_sizes(starts, entries).select(key, F.explode(runs).alias("_r"))
+    return found.join(entries.select("_r", *by, ident).hint("merge"), "_r").select(key, *by, ident).distinct()
 
 
 def without_sections(text: Column, excluded: list[str]) -> Column:

@@ -40,10 +40,9 @@ def strict_mentions(spark: SparkSession, sf: str) -> DataFrame:
     least = F.lit(0)
     for k, n in LEAST_LETTERS.items():
         least = F.when(F.col("kind") == k, n).otherwise(least)
-    names = dictionary(spark, sf).filter(F.length("name") >= least).withColumn("entity", F.struct("kind", "wiki_id"))
-    # of equal names every kind counts, so each kind is looked for by itself
-    found = [textops.dictionary_mentions(table(spark, sf, "relation"), "relation_id", "context", names.filter(F.col("kind") == k), "name", "wiki_id").withColumn("kind", F.lit(k)) for k in LEAST_LETTERS]
-    return reduce(DataFrame.unionByName, found).select("relation_id", "kind", "wiki_id")
+    names = dictionary(spark, sf).filter(F.length("name") >= least)
+    # of equal names every kind counts
+    return textops.dictionary_mentions(table(spark, sf, "relation"), "relation_id", "context", names, "name", "wiki_id", ["kind"])
 
 
 @query("recognised_entities")
