@@ -178,12 +178,11 @@ def dictionary_spans(df: DataFrame, key: str, text: str, names: DataFrame, name:
     As ``dictionary_mentions``; signs become spaces one by one, so a word's place in the folded text is its place in the text.
     """
     entries = names.filter(F.col(name).isNotNull()).select(F.lower(name).alias("_r"), *kept).withColumn("_words", F.split("_r", " "))
-    first = entries.groupBy(F.col("_words")[0].alias("_first")).agg(F.collect_set(F.size("_words")).alias("_sizes"))
     words = F.split(F.regexp_replace(F.lower(text), r"[,.;:!?()\"\n]", " "), " ")
     starts = df.filter(F.col(text).isNotNull()).select(key, words.alias("_w")).select(key, "_w", F.posexplode("_w").alias("_at", "_first"))
-    found = starts.join(first, "_first").select(key, "_w", "_at", F.explode("_sizes").alias("_n")).filter("_at + _n <= size(_w)")
+    found = _with_sizes(starts, entries).select(key, "_w", "_at", F.explode("_sizes").alias("_n")).filter("_at + _n <= size(_w)")
     before = F.aggregate(F.slice("_w", 1, F.col("_at")), F.lit(0), lambda a, w: a + F.length(w) + 1)
-    found = found.select(key, before.alias("start_pos"), F.array_join(F.slice("_w", F.col("_at") + 1, F.col("_n")), " ").alias("_r")).join(entries.drop("_words"), "_r")
+    found = found.select(key, before.alias("start_pos"), F.array_join(F.slice("_w", F.col("_at") + 1, F.col("_n")), " ").alias("_r")).join(entries.drop("_words").hint("merge"), "_r")
     return found.select(key, "start_pos", (F.col("start_pos") + F.length("_r")).alias("end_pos"), *kept)
 
 

@@ -29,3 +29,10 @@ def test_texts_are_not_broadcast_for_mentions(texts):
     joins, merged = broadcasts(found)
     assert merged and len(joins) == 1 and joins[0].split(", ")[3] == "BuildRight" and "_kind" in joins[0]
     assert {tuple(r) for r in found.collect()} == {(k, *e) for k in (1, 2) for e in (("PLAYER", 1), ("CLUB", 2), ("CLUB", 3))}
+
+
+def test_texts_are_not_broadcast_for_spans(texts):
+    found = textops.dictionary_spans(texts[0], "relation_id", "context", texts[1], "name", ["kind", "wiki_id"])
+    joins, merged = broadcasts(found)
+    assert merged and len(joins) == 1 and joins[0].split(", ")[3] == "BuildRight" and "_kind" in joins[0]
+    assert {(r.relation_id, r.start_pos, r.wiki_id) for r in found.collect()} == {(1, 0, 1), (1, 0, 2), (1, 12, 3), (2, 0, 3), (2, 8, 1), (2, 8, 2)}
