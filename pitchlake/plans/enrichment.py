@@ -316,11 +316,9 @@ def told_edges(spark: SparkSession, sf: str) -> DataFrame:
 )
 def context_competitions(spark: SparkSession, sf: str) -> DataFrame:
     """Competition that each sentence names, by its whole name in the text; sentences without one are kept."""
-    from pitchlake.operators.dedup import with_surrogate_ids
-
-    leagues = with_surrogate_ids(table(spark, sf, "club_parsed").select("league").filter("league IS NOT NULL").distinct(), ["league"], "id")
+    leagues = table(spark, sf, "club_parsed").filter("league IS NOT NULL").select("league", F.lower("league").alias("name")).distinct()
     r = table(spark, sf, "relation").filter("context IS NOT NULL").select("relation_id", "context")
-    found = textops.dictionary_mentions(r, "relation_id", "context", leagues, "league", "id").join(leagues, "id").select("relation_id", "league")
+    found = textops.dictionary_mentions(r, "relation_id", "context", leagues, "name", "name", ["league"]).select("relation_id", "league")
     return r.select("relation_id").join(found, "relation_id", "left")
 
 

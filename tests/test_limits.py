@@ -36,3 +36,13 @@ def test_texts_are_not_broadcast_for_spans(texts):
     joins, merged = broadcasts(found)
     assert merged and len(joins) == 1 and joins[0].split(", ")[3] == "BuildRight" and "_kind" in joins[0]
     assert {(r.relation_id, r.start_pos, r.wiki_id) for r in found.collect()} == {(1, 0, 1), (1, 0, 2), (1, 12, 3), (2, 0, 3), (2, 8, 1), (2, 8, 2)}
+
+
+def test_leagues_that_differ_in_case(spark, tmp_path):
+    from pitchlake.plans import enrichment
+
+    spark.createDataFrame([("V Liga",), ("v liga",), ("Cup",), (None,)], "league string").write.parquet(str(tmp_path / "club_parsed.parquet"))
+    spark.createDataFrame([(1, "về V LIGA."), (2, "khác"), (3, None)], "relation_id long, context string").write.parquet(str(tmp_path / "relation.parquet"))
+    found = enrichment.context_competitions(spark, str(tmp_path))
+    assert broadcasts(found)[1]
+    assert {tuple(r) for r in found.collect()} == {(1, "V Liga"), (1, "v liga"), (2, None)}
