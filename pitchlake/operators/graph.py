@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlake.operators.dedup import with_surrogate_ids
 from pitchlake.session import checkpoint
 
 
@@ -87,40 +92,154 @@ def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return reached
 
 
-def path_counts(edges: DataFrame, words: int = 8, at_once: int = 1 << 15) -> DataFrame:
-    """(distance, pairs): how many ordered pairs of different nodes lie at each distance, undirected; from every node, without a cap on hops.
+#: Pairs of numbers in a row of the shuffle; tasks among which the sources of a search are dealt at most; words of 64 sources in a table of nodes.
+CHUNK, SEARCHES, TABLE = 1 << 15, 24, 1 << 23
+
+
+def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each node's component: labels spread over the edges and along themselves."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        low, new = np.minimum(x, y), label.copy()
+        for at in (x, y, a, b):
+            np.minimum.at(new, at, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _batches(start: np.ndarray, is_source: np.ndarray, width: Callable[[int], int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first node, end, sources): components that stand in order, small ones together, the sources of large ones in parts."""
+    c = 0
+    while c < len(start) - 1:
+        low, c = start[c], c + 1
+        while c < len(start) - 1 and start[c + 1] - low <= 4096:
+            c += 1
+        of = low + np.flatnonzero(is_source[low : start[c]])
+        most = 64 * width(start[c] - low)
+        for i in range(0, len(of), most):
+            yield low, start[c], of[i : i + most]
+
 
-    Breadth-first level by level until the frontier is empty. A row holds the sources that reach a node at this level as bits,
-    64 to a word and ``words`` words to a block, so pairs are counted without a row each. A neighbour of a node at distance d is
-    at d - 1, d or d + 1, so what is new is told from the last two levels alone. ``at_once`` sources go through in one pass.
+def _search(first: np.ndarray, to: np.ndarray, component: np.ndarray, sources: np.ndarray, most: int | None) -> Iterator[int]:
+    """Nodes that the sources reach at distance 1, 2 and so on, until there is none. Nodes stand by falling degree.
+
+    A row of the tables holds the sources that have reached a node as bits. Only rows beside the frontier are visited
+    that some source of their component hasn't reached; the k-th neighbours of all of them are joined in one step.
     """
-    spark = edges.sparkSession
-    pairs = checkpoint(undirected(edges))
-    step = pairs.select(F.col("a").alias("id"), F.col("b").alias("next")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("next")))
-    nodes = checkpoint(step.select("id").distinct().withColumn("no", F.monotonically_increasing_id()))
-    width, zero = 64 * words, F.lit(0).cast("bigint")
-    w, k = [f"w{i}" for i in range(words)], [f"k{i}" for i in range(words)]
-    bit = F.expr("shiftleft(1L, CAST(no % 64 AS INT))")
-    own = [F.when(F.floor(F.col("no") / 64) % words == i, bit).otherwise(zero).alias(c) for i, c in enumerate(w)]
-    starts = nodes.select("id", F.expr(f"no div {width}").alias("block"), *own)
-    passes = max(1, -(-nodes.count() // at_once))
+    n, words = len(first) - 1, -(-len(sources) // 64)
+    degree, i = np.diff(first), np.arange(len(sources))
+    seen = np.zeros((n, words), np.uint64)
+    seen[sources, i // 64] = np.uint64(1) << (i % 64).astype(np.uint64)
+    whole = np.zeros((component.max() + 1, words), np.uint64)
+    np.bitwise_or.at(whole, (component[sources], i // 64), seen[sources, i // 64])
+    frontier, active, is_open, d = seen.copy(), np.sort(sources), whole[component].any(axis=1), 0
+    step = max(1, (1 << 17) // words)
+    while len(active) and (most is None or d < most):
+        d += 1
+        beside = np.zeros(n, bool)
+        if len(active) < n // 2:
+            lengths = degree[active]
+            at = np.repeat(first[active] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+            beside[to[at]] = True
+        else:
+            beside[:] = True
+        rows, reached, fresh = np.flatnonzero(beside & is_open), 0, []
+        for lo in range(0, len(rows), step):
+            r = rows[lo : lo + step]
+            new, begins, left = np.zeros((len(r), words), np.uint64), first[r], degree[r]
+            for k in range(min(int(left[0]), 64)):
+                m = int(np.searchsorted(-left, -k, "left"))
+                new[:m] |= frontier[to[begins[:m] + k]]
+            for j in range(int(np.searchsorted(-left, -64, "left"))):  # rows of more neighbours, each by itself
+                for k in range(64, int(left[j]), 1 << 12):
+                    new[j] |= np.bitwise_or.reduce(frontier[to[begins[j] + k : begins[j] + min(k + (1 << 12), int(left[j]))]], axis=0)
+            new &= ~seen[r]
+            hit = new.any(axis=1)
+            r, new = r[hit], new[hit]
+            reached += int(np.bitwise_count(new).sum(dtype=np.int64))
+            fresh.append((r, new))
+        frontier[active] = 0
+        for r, new in fresh:
+            frontier[r] = new
+            seen[r] |= new
+            is_open[r] = (seen[r] != whole[component[r]]).any(axis=1)
+        active = np.concatenate([r for r, _ in fresh]) if fresh else active[:0]
+        if not reached:
+            return
+        yield reached
+
+
+def count_paths(edges: np.ndarray, is_source: np.ndarray, part: int, parts: int, words: int, most: int | None) -> dict[int, int]:
+    """Pairs by distance of a share of the sources of a graph, given as pairs of numbers of its nodes."""
+    n, a, b = len(is_source), edges[:, 0], edges[:, 1]
+    label = _components(n, a, b)
+    degree = np.bincount(np.concatenate([a, b]), minlength=n)
+    order = np.lexsort((-degree, label))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    src, to = np.concatenate([place[a], place[b]]), np.concatenate([place[b], place[a]])
+    to = to[np.argsort(src, kind="stable")].astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(degree[order])])
+    label = label[order]
+    start = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1], [True]]))
     found: dict[int, int] = {}
-    for p in range(passes):
-        frontier = checkpoint(starts.filter(F.pmod("block", F.lit(passes)) == p).groupBy("id", "block").agg(*[F.bit_or(c).alias(c) for c in w]))
-        before, d = None, 0
-        while True:
-            d += 1
-            known = frontier if before is None else frontier.unionByName(before)
-            known = known.select("id", "block", *[zero.alias(c) for c in w], *[F.col(c).alias(n) for c, n in zip(w, k)])
-            spread = frontier.join(step, "id").select(F.col("next").alias("id"), "block", *w, *[zero.alias(n) for n in k])
-            both = spread.unionByName(known).groupBy("id", "block").agg(*[F.bit_or(c).alias(c) for c in [*w, *k]])
-            fresh = both.select("id", "block", *[F.col(c).bitwiseAND(F.bitwise_not(n)).alias(c) for c, n in zip(w, k)])
-            before, frontier = frontier, checkpoint(fresh.filter(" OR ".join(f"{c} <> 0" for c in w)))
-            n = frontier.agg(F.sum(sum((F.bit_count(c).cast("bigint") for c in w), zero))).first()[0]
-            if not n:
-                break
-            found[d] = found.get(d, 0) + n
-    return spark.createDataFrame(sorted(found.items()), "distance int, pairs bigint")
+    for i, (low, end, sources) in enumerate(_batches(start, is_source[order], lambda size: max(1, min(words, TABLE // size)))):
+        if i % parts != part:
+            continue
+        by_degree = low + np.argsort(-(first[low + 1 : end + 1] - first[low:end]), kind="stable")
+        here = np.empty(end - low, np.int64)
+        here[by_degree - low] = np.arange(end - low)
+        begins = np.concatenate([[0], np.cumsum((first[low + 1 : end + 1] - first[low:end])[by_degree - low])])
+        at = np.repeat(first[by_degree] - begins[:-1], np.diff(begins)) + np.arange(begins[-1])
+        component = np.unique(label[by_degree], return_inverse=True)[1]
+        for d, pairs in enumerate(_search(begins, here[to[at] - low], component, here[sources - low], most), 1):
+            found[d] = found.get(d, 0) + pairs
+    return found
+
+
+def path_counts(edges: DataFrame, words: int = 64, at_once: int = 1 << 11, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(distance, pairs): how many ordered pairs of different nodes lie at each distance, undirected; from every node (or those of ``sources``), without a cap on hops (or up to ``most``).
+
+    Nodes are numbered, and each of up to ``SEARCHES`` tasks gets all edges, packed 8 bytes an edge, and a share of the
+    sources, one task per ``at_once`` of them at most; it goes breadth-first through memory, 64 times ``words`` sources at once, a component at a time.
+    So the number of jobs doesn't grow with the distances, and the pairs are counted where they are found.
+    """
+    pairs = checkpoint(undirected(edges))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    nodes = with_surrogate_ids(ids, ["id"], "no").select("id", (F.col("no") - 1).cast("int").alias("no"))
+    nodes = checkpoint(nodes)
+    n = nodes.count()
+    parts = max(1, min(SEARCHES, -(-n // at_once)))
+    numbered = pairs.join(nodes.select(F.col("id").alias("a"), F.col("no").alias("x")), "a").join(nodes.select(F.col("id").alias("b"), F.col("no").alias("y")), "b").select("x", "y")
+    # a source is told as an edge to itself
+    told = (nodes if sources is None else nodes.join(sources.select("id").distinct(), "id", "left_semi")).select(F.col("no").alias("x"), F.col("no").alias("y"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xy = np.stack([c.to_numpy().astype(np.int32) for c in batch.columns], axis=1)
+            for i in range(0, len(xy), CHUNK):
+                yield pa.RecordBatch.from_pydict({"xy": [xy[i : i + CHUNK].tobytes()]}, schema=pa.schema({"xy": pa.binary()}))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shares: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, v in zip(batch.column("part").to_pylist(), batch.column("xy")):
+                shares.setdefault(part, []).append(np.frombuffer(v.as_py(), np.int32).reshape(-1, 2))
+        for part, chunks in shares.items():
+            xy = np.concatenate(chunks)
+            loops = xy[:, 0] == xy[:, 1]
+            is_source = np.zeros(n, bool)
+            is_source[xy[loops, 0]] = True
+            found = count_paths(xy[~loops], is_source, part, parts, words, most)
+            yield pa.RecordBatch.from_pydict({"distance": list(found), "pairs": list(found.values())}, schema=pa.schema({"distance": pa.int32(), "pairs": pa.int64()}))
+
+    packed = numbered.unionByName(told).mapInArrow(pack, "xy binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    found = packed.repartitionById(parts, F.col("part")).mapInArrow(search, "distance int, pairs bigint")
+    return found.groupBy("distance").agg(F.sum("pairs").alias("pairs"))
 
 
 def shortest_paths(edges: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame:

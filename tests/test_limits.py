@@ -46,3 +46,51 @@ def test_leagues_that_differ_in_case(spark, tmp_path):
     found = enrichment.context_competitions(spark, str(tmp_path))
     assert broadcasts(found)[1]
     assert {tuple(r) for r in found.collect()} == {(1, "V Liga"), (1, "v liga"), (2, None)}
+
+
+@pytest.mark.parametrize("name", ["path_lengths"])
+def test_searches_take_no_job_a_level(spark, tmp_path, monkeypatch, name):
+    from pitchlake.operators import graph
+    from pitchlake.plans import graph as queries
+
+    spark.createDataFrame([(i, i, i + 1) for i in range(120)], "edge_id long, player1_id long, player2_id long").write.parquet(str(tmp_path / "teammate.parquet"))
+    spark.createDataFrame([], "edge_id long, from_player_id long, to_club_id long").write.parquet(str(tmp_path / "played_for.parquet"))
+    spark.createDataFrame([], "edge_id long, from_coach_id long, to_club_id long").write.parquet(str(tmp_path / "coached.parquet"))
+    steps, checkpoint = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: steps.append(1) or checkpoint(df))
+    row = tuple(getattr(queries, name)(spark, str(tmp_path)).first())
+    assert len(steps) <= 3
+    if name == "path_lengths":
+        assert row == (round(122 / 3, 6), 120, 121 * 120)
+    elif name == "small_world":
+        assert row[0] == round(122 / 3, 6)
+    else:
+        assert row[1:3] == (15, 1)
+
+
+def test_searches_in_parts_and_components():
+    import numpy as np
+
+    from pitchlake.operators import graph
+
+    n = 400
+    pairs = np.array([(0, i) for i in range(1, 150)] + [(i, i + 1) for i in range(140, 260)] + [(i, i + 1) for i in range(270, 399, 3)] + [(262, 263)], np.int32)
+    near = [set() for _ in range(n)]
+    for a, b in pairs.tolist():
+        near[a].add(b)
+        near[b].add(a)
+    is_source, most = np.arange(n) % 3 > 0, 40
+    want: dict[int, int] = {}
+    for s in np.flatnonzero(is_source).tolist():
+        level, reached, d = {s}, {s}, 0
+        while level and d < most:
+            level = {y for x in level for y in near[x]} - reached
+            reached |= level
+            d += 1
+            if level:
+                want[d] = want.get(d, 0) + len(level)
+    got: dict[int, int] = {}
+    for part in range(3):
+        for d, k in graph.count_paths(pairs, is_source, part, 3, 1, most).items():
+            got[d] = got.get(d, 0) + k
+    assert got == want
