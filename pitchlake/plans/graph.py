@@ -75,8 +75,8 @@ def sampled_path_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
     e = team(spark, sf).filter("src <> dst")
     ids = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    at = graph.distances(e, stats.hash_sample(ids, F.col("id"), "#p", "03"), 15).filter("distance > 0")
-    return at.agg(F.round(F.avg("distance"), 6).alias("mean"), F.max("distance").alias("longest"), F.min("distance").alias("shortest"), F.count("*").alias("pairs"))
+    at = graph.path_counts(e, sources=stats.hash_sample(ids, F.col("id"), "#p", "03"), most=15)
+    return at.agg(F.round(F.sum(F.col("distance") * F.col("pairs")) / F.sum("pairs"), 6).alias("mean"), F.max("distance").alias("longest"), F.min("distance").alias("shortest"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 
 
 @query("k_hop_nodes", f"SELECT id, min(distance)::INT AS hops FROM ({DIST_SQL}) WHERE distance <= 2 GROUP BY 1")

@@ -48,7 +48,7 @@ def test_leagues_that_differ_in_case(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == {(1, "V Liga"), (1, "v liga"), (2, None)}
 
 
-@pytest.mark.parametrize("name", ["path_lengths"])
+@pytest.mark.parametrize("name", ["path_lengths", "sampled_path_lengths"])
 def test_searches_take_no_job_a_level(spark, tmp_path, monkeypatch, name):
     from pitchlake.operators import graph
     from pitchlake.plans import graph as queries
