@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchlake.session import checkpoint
+
 FIRST_YEAR, AS_OF_YEAR = 1900, 2025
 
 
@@ -27,7 +31,7 @@ def with_bounds(df: DataFrame, start: str, end: str, as_of: int = AS_OF_YEAR) ->
 BLOCK = 20_000
 
 
-def blocks(left: DataFrame, right: DataFrame, group: str, unique: list[str], rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def blocks(left: DataFrame, right: DataFrame, group: str | list[str], unique: list[str], rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Two frames that are to be joined on ``group``, with ``_block`` to join on as well.
 
     A group with more than ``rows`` rows on the left is cut by a hash of the ``unique`` columns; its rows on the right come
@@ -66,6 +70,43 @@ def interval_self_join(stints: DataFrame, person: str, group: str, start: str, e
     return pairs.groupBy("p1", "p2", group).agg(first).select("p1", "p2", group, "_f.from_year", "_f.to_year")
 
 
+#: Stints of a person in a group up to which the test for an earlier pair is written out; beyond, it goes over the arrays.
+WRITTEN_OUT = 3
+
+
+def _earlier(x: Column, i: Column, y: Column, j: Column, most: int) -> Column:
+    """Whether two persons' sorted stints x and y have a pair that overlaps before the pair of places i and j."""
+    if most <= WRITTEN_OUT:
+        before = [((i > a) | ((i == a) & (j > b))) & overlaps((F.get(x, F.lit(a))["s"], F.get(x, F.lit(a))["e"]), (F.get(y, F.lit(b))["s"], F.get(y, F.lit(b))["e"])) for a in range(most) for b in range(most) if (a, b) != (most - 1, most - 1)]
+        return F.coalesce(reduce(Column.__or__, before, F.lit(False)), F.lit(False))
+    first = F.slice(x, 1, i)
+    return F.exists(first, lambda m: F.exists(y, lambda n: overlaps((m["s"], m["e"]), (n["s"], n["e"])))) | F.exists(F.slice(y, 1, j), lambda n: overlaps((F.get(x, i)["s"], F.get(x, i)["e"]), (n["s"], n["e"])))
+
+
+def hot_self_join(stints: DataFrame, person: str, group: str, start: str, end: str) -> DataFrame:
+    """As ``interval_self_join`` by the order of the bounds, for few large groups: the pairs are made where they are kept, none is shuffled.
+
+    Of two stints that overlap the one that begins later begins within the other. So stints meet on group and year, the
+    earlier one at each year in which any stint of the group begins; each carries all stints of its person in the group,
+    which tell whether an earlier pair of the two persons overlaps already.
+    """
+    s = with_bounds(stints.filter(F.col(person).isNotNull() & F.col(group).isNotNull()), start, end)
+    s = s.groupBy(group, F.col(person).alias("p")).agg(F.array_sort(F.collect_set(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e")))).alias("x"))
+    s = checkpoint(s)
+    most = s.agg(F.max(F.size("x"))).first()[0] or 1
+    rows = s.select(group, "p", "x", F.posexplode("x").alias("i", "o")).select(group, "p", "x", "i", "o.s", "o.e")
+    years = rows.select(group, F.col("s").alias("year")).distinct().groupBy(group).agg(F.collect_list("year").alias("years"))
+    side = lambda df, k: df.select(group, "year", *[F.col(c).alias(f"{c}{k}") for c in ("p", "x", "i", "s", "e")])
+    held = rows.join(years, group).withColumn("year", F.explode(F.filter("years", lambda y: y.between(F.col("s"), F.col("e"))))).drop("years")
+    late, early = blocks(side(rows.withColumn("year", F.col("s")), 1), side(held, 2), [group, "year"], ["p1", "e1"])
+    meet = ((F.col("s2") < F.col("s1")) & (F.col("p1") != F.col("p2")) | (F.col("s2") == F.col("s1")) & (F.col("p1") < F.col("p2"))) & (F.col("s2") <= F.col("e1"))
+    pairs = late.join(early.hint("merge"), [group, "year", "_block"]).filter(meet)
+    swapped = F.col("p1") > F.col("p2")
+    one, two = (lambda c: F.when(swapped, F.col(f"{c}2")).otherwise(F.col(f"{c}1"))), (lambda c: F.when(swapped, F.col(f"{c}1")).otherwise(F.col(f"{c}2")))
+    pairs = pairs.filter(~_earlier(one("x"), one("i"), two("x"), two("i"), most))
+    return pairs.select(one("p").alias("p1"), two("p").alias("p2"), group, F.col("s1").alias("from_year"), F.least("e1", "e2").alias("to_year"))
+
+
 def interval_join(a: DataFrame, a_person: str, b: DataFrame, b_person: str, group: str, start: str, end: str, a_order: str, b_order: str) -> DataFrame:
     """(a_person, b_person, group, from_year, to_year): members of two tables whose stints in a group overlap, one row each."""
     x = with_bounds(a.filter(F.col(a_person).isNotNull() & F.col(group).isNotNull()), start, end)

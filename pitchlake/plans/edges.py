@@ -75,8 +75,7 @@ def teammate_edges(spark: SparkSession, sf: str) -> DataFrame:
 def national_teammate_edges(spark: SparkSession, sf: str) -> DataFrame:
     """NATIONAL_TEAMMATE edges from the nested national-team histories."""
     p = table(spark, sf, "player_parsed").filter("wiki_id IS NOT NULL").select("wiki_id", F.explode("national_team_history").alias("h"))
-    s = intervals.with_bounds(p.select("wiki_id", F.col("h.club_name").alias("team"), "h.from_year", "h.to_year"), "from_year", "to_year").select("wiki_id", "team", F.col("_s").alias("from_year"), F.col("_e").alias("to_year")).distinct()
-    return intervals.interval_self_join(s.withColumn("o", F.struct("from_year", "to_year")), "wiki_id", "team", "from_year", "to_year", "o")
+    return intervals.hot_self_join(p.select("wiki_id", F.col("h.club_name").alias("team"), "h.from_year", "h.to_year"), "wiki_id", "team", "from_year", "to_year")
 
 
 @query(

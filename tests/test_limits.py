@@ -48,7 +48,7 @@ def test_leagues_that_differ_in_case(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == {(1, "V Liga"), (1, "v liga"), (2, None)}
 
 
-@pytest.mark.parametrize("name", ["path_lengths", "sampled_path_lengths"])
+@pytest.mark.parametrize("name", ["path_lengths", "small_world", "sampled_path_lengths"])
 def test_searches_take_no_job_a_level(spark, tmp_path, monkeypatch, name):
     from pitchlake.operators import graph
     from pitchlake.plans import graph as queries
@@ -94,3 +94,28 @@ def test_searches_in_parts_and_components():
         for d, k in graph.count_paths(pairs, is_source, part, 3, 1, most).items():
             got[d] = got.get(d, 0) + k
     assert got == want
+
+
+@pytest.mark.parametrize("most", [3, 1])
+def test_hot_self_join_shuffles_no_pairs(spark, monkeypatch, most):
+    import random
+
+    from pitchlake.operators import intervals
+
+    monkeypatch.setattr(intervals, "WRITTEN_OUT", most)
+    monkeypatch.setattr(intervals, "BLOCK", 7)
+    rng = random.Random(3)
+    year = lambda: rng.choice([None, 0, *range(1990, 2000)])  # noqa: E731  reversed and open bounds included
+    rows = [(rng.randrange(25), rng.choice(["a", "b", None]), year(), year()) for _ in range(110)] + [(1, "a", 1990, 2 * 10**9), (None, "a", 1990, 1991)]
+    rows = [r for i, r in enumerate(rows) if sum(q[:2] == r[:2] for q in rows[:i]) < 3]
+    df = spark.createDataFrame(rows, "p long, g string, a int, b int")
+    got = intervals.hot_self_join(df, "p", "g", "a", "b")
+    s = sorted({(p, g, a or 1900, b or 2025) for p, g, a, b in rows if p is not None and g is not None})
+    want = {}
+    for p, g, a, b in s:
+        for q, h, c, d in s:
+            if g == h and p < q and a <= d and c <= b:
+                want.setdefault((p, q, g), (max(a, c), min(b, d)))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((*k, *v) for k, v in want.items())
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" not in plan.split("SortMergeJoin")[0] and "SortAggregate" not in plan.split("SortMergeJoin")[0]
