@@ -103,7 +103,8 @@ def hot_self_join(stints: DataFrame, person: str, group: str, start: str, end: s
     pairs = late.join(early.hint("merge"), [group, "year", "_block"]).filter(meet)
     swapped = F.col("p1") > F.col("p2")
     one, two = (lambda c: F.when(swapped, F.col(f"{c}2")).otherwise(F.col(f"{c}1"))), (lambda c: F.when(swapped, F.col(f"{c}1")).otherwise(F.col(f"{c}2")))
-    pairs = pairs.filter(~_earlier(one("x"), one("i"), two("x"), two("i"), most))
+    # most pairs are the first stints of both
+    pairs = pairs.filter((F.col("i1") + F.col("i2") == 0) | ~_earlier(one("x"), one("i"), two("x"), two("i"), most))
     return pairs.select(one("p").alias("p1"), two("p").alias("p2"), group, F.col("s1").alias("from_year"), F.least("e1", "e2").alias("to_year"))
 
 
