@@ -92,8 +92,8 @@ def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return reached
 
 
-#: Pairs of numbers in a row of the shuffle; tasks among which the sources of a search are dealt at most; words of 64 sources in a table of nodes.
-CHUNK, SEARCHES, TABLE = 1 << 15, 24, 1 << 23
+#: Pairs of numbers in a row of the shuffle; tasks among which the sources of a search are dealt at most; words of 64 sources in a table of nodes, and in a step over it; pairs that a level may list in any case.
+CHUNK, SEARCHES, TABLE, STEP, LISTED = 1 << 15, 24, 1 << 24, 1 << 16, 1 << 14
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,94 +111,212 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _batches(start: np.ndarray, is_source: np.ndarray, width: Callable[[int], int]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first node, end, sources): components that stand in order, small ones together, the sources of large ones in parts."""
+def _batches(start: np.ndarray, kind: np.ndarray, reach: np.ndarray, width: Callable[[int], int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first node, end, sources, their words, their bits): components that stand in order, small ones together, the sources of large ones in parts.
+
+    The sources of a word are of one kind (0: no source); words of central sources come first, as their searches end earlier.
+    """
     c = 0
     while c < len(start) - 1:
         low, c = start[c], c + 1
         while c < len(start) - 1 and start[c + 1] - low <= 4096:
             c += 1
-        of = low + np.flatnonzero(is_source[low : start[c]])
-        most = 64 * width(start[c] - low)
-        for i in range(0, len(of), most):
-            yield low, start[c], of[i : i + most]
-
-
-def _search(first: np.ndarray, to: np.ndarray, component: np.ndarray, sources: np.ndarray, most: int | None) -> Iterator[int]:
-    """Nodes that the sources reach at distance 1, 2 and so on, until there is none. Nodes stand by falling degree.
-
-    A row of the tables holds the sources that have reached a node as bits. Only rows beside the frontier are visited
-    that some source of their component hasn't reached; the k-th neighbours of all of them are joined in one step.
+        of = low + np.flatnonzero(kind[low : start[c]])
+        if not len(of):
+            continue
+        of = of[np.lexsort((-reach[of], kind[of]))]
+        begins = np.flatnonzero(np.diff(kind[of], prepend=-1))
+        counts = np.diff(begins, append=len(of))
+        rank = np.arange(len(of)) - np.repeat(begins, counts)
+        full = -(-counts // 64)
+        word = np.repeat(np.cumsum(full) - full, counts) + rank // 64
+        order = np.argsort(-reach[of[rank % 64 == 0]], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        word, most = place[word], width(start[c] - low)
+        for i in range(0, len(order), most):
+            here = (word >= i) & (word < i + most)
+            yield low, start[c], of[here], word[here] - i, rank[here] % 64
+
+
+def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def _search(first: np.ndarray, to: np.ndarray, component: np.ndarray, sources: np.ndarray, word: np.ndarray, bit: np.ndarray, leaves: np.ndarray, most: int | None, tables: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of each word's sources and the nodes at distance 1, 2 and so on, and with the nodes counted by their ``leaves``, until there is none. Nodes stand by falling degree.
+
+    While the pairs of a level are few they are listed; later a row of the tables holds the sources that have reached a
+    node as bits. Only rows beside those that changed are visited that some source of their component hasn't reached,
+    and where few are missing only the words that miss some; the k-th neighbours of all rows are joined in one step.
+    Rows beside one that all sources have reached are full without a look at the others.
     """
-    n, words = len(first) - 1, -(-len(sources) // 64)
-    degree, i = np.diff(first), np.arange(len(sources))
-    seen = np.zeros((n, words), np.uint64)
-    seen[sources, i // 64] = np.uint64(1) << (i % 64).astype(np.uint64)
+    n, words, degree = len(first) - 1, int(word.max()) + 1, np.diff(first)
+    seen, before = (t[: n * words].reshape(n, words) for t in tables)
+    seen[:] = 0
+    seen[sources, word] = np.uint64(1) << bit.astype(np.uint64)
     whole = np.zeros((component.max() + 1, words), np.uint64)
-    np.bitwise_or.at(whole, (component[sources], i // 64), seen[sources, i // 64])
-    frontier, active, is_open, d = seen.copy(), np.sort(sources), whole[component].any(axis=1), 0
-    step = max(1, (1 << 17) // words)
+    np.bitwise_or.at(whole, (component[sources], word), seen[sources, word])
+    left = np.bincount(component[sources], minlength=len(whole))[component]
+    left[sources] -= 1
+    listed, active, d, few = sources * (64 * words) + word * 64 + bit, np.sort(sources), 0, True
+    step = max(1, STEP // words)
+    held, joined = np.empty((2, step, words), np.uint64)
     while len(active) and (most is None or d < most):
         d += 1
-        beside = np.zeros(n, bool)
-        if len(active) < n // 2:
-            lengths = degree[active]
-            at = np.repeat(first[active] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            beside[to[at]] = True
+        gains = np.zeros((2, words))
+        if few:
+            node, source = np.divmod(listed, 64 * words)
+            lengths = degree[node]
+            if lengths.sum() > max(len(to) * words // 64, LISTED):
+                few = False
+                before[:] = seen
+        if few:
+            listed = np.unique(to[_ranges(first[node], lengths)].astype(np.int64) * (64 * words) + np.repeat(source, lengths))
+            flat, b = seen.reshape(-1), (listed % 64).astype(np.uint64)
+            fresh = (flat[listed // 64] >> b & np.uint64(1)) == 0
+            listed, b = listed[fresh], b[fresh]
+            cell = listed // 64
+            node, at = np.divmod(cell, words)
+            if len(cell):
+                begins = np.flatnonzero(np.diff(cell, prepend=-1))
+                flat[cell[begins]] |= np.bitwise_or.reduceat(np.uint64(1) << b, begins)
+            gains = np.stack([np.bincount(at, minlength=words), np.bincount(at, leaves[node], words)])
+            np.subtract.at(left, node, 1)
+            active = np.unique(node)
         else:
-            beside[:] = True
-        rows, reached, fresh = np.flatnonzero(beside & is_open), 0, []
-        for lo in range(0, len(rows), step):
-            r = rows[lo : lo + step]
-            new, begins, left = np.zeros((len(r), words), np.uint64), first[r], degree[r]
-            for k in range(min(int(left[0]), 64)):
-                m = int(np.searchsorted(-left, -k, "left"))
-                new[:m] |= frontier[to[begins[:m] + k]]
-            for j in range(int(np.searchsorted(-left, -64, "left"))):  # rows of more neighbours, each by itself
-                for k in range(64, int(left[j]), 1 << 12):
-                    new[j] |= np.bitwise_or.reduce(frontier[to[begins[j] + k : begins[j] + min(k + (1 << 12), int(left[j]))]], axis=0)
-            new &= ~seen[r]
-            hit = new.any(axis=1)
-            r, new = r[hit], new[hit]
-            reached += int(np.bitwise_count(new).sum(dtype=np.int64))
-            fresh.append((r, new))
-        frontier[active] = 0
-        for r, new in fresh:
-            frontier[r] = new
-            seen[r] |= new
-            is_open[r] = (seen[r] != whole[component[r]]).any(axis=1)
-        active = np.concatenate([r for r, _ in fresh]) if fresh else active[:0]
-        if not reached:
-            return
-        yield reached
+            beside, full = np.zeros((2, n), bool)
+            if len(active) < n // 2:
+                beside[to[_ranges(first[active], degree[active])]] = True
+            else:
+                beside[:] = True
+            beside &= left > 0
+            shut = active[left[active] == 0]
+            full[to[_ranges(first[shut], degree[shut])]] = True
+            full &= beside
+            stale, changed = active[~beside[active]], []
+            before[stale] = seen[stale]
+            flat = seen.reshape(-1)
+            for is_full, rows in ((True, np.flatnonzero(full)), (False, np.flatnonzero(beside & ~full))):
+                for lo in range(0, len(rows), step):
+                    r = rows[lo : lo + step]
+                    begins, size, missing = first[r], degree[r], left[r]
+                    hubs = int(np.searchsorted(-size, -64, "left"))
+                    if not is_full and int(missing.sum()) * 12 < len(r) * words:
+                        i, at = np.nonzero(np.take(seen, r, axis=0) != (whole if len(whole) == 1 else whole[component[r]]))
+                        cell, starts, sizes = r[i] * words + at, begins[i], size[i]
+                        old = flat[cell]
+                        new = old.copy()
+                        for k in range(min(int(size[0]), 64)):
+                            m = int(np.searchsorted(-sizes, -k, "left"))
+                            new[:m] |= flat[to[starts[:m] + k] * words + at[:m]]
+                        for j in range(hubs):
+                            new[i == j] |= _joined(seen, to[begins[j] : begins[j] + size[j]])[at[i == j]]
+                        before[r] = seen[r]
+                        before.reshape(-1)[cell] = new
+                        more = np.bitwise_count(new ^ old).astype(np.float64)
+                        gains += np.stack([np.bincount(at, more, words), np.bincount(at, more * leaves[r[i]], words)])
+                        more = np.bincount(i, more, len(r))
+                    else:
+                        together, more = r[-1] - r[0] == len(r) - 1, joined[: len(r)]
+                        new, old = (before[r[0] : r[-1] + 1], seen[r[0] : r[-1] + 1]) if together else (held[: len(r)], np.take(seen, r, axis=0))
+                        all_of = whole if len(whole) == 1 else whole[component[r]]
+                        if is_full:
+                            new[:] = all_of
+                        else:
+                            new[:] = old
+                            _join(seen, to, begins, size, new, more, np.broadcast_to(all_of, new.shape) if int(missing.sum()) * 4 < len(r) * len(sources) else None)
+                            for j in range(hubs):  # rows of more neighbours, each by itself
+                                new[j] |= _joined(seen, to[begins[j] : begins[j] + size[j]])
+                        if not together:
+                            before[r] = new
+                        np.bitwise_xor(new, old, out=more)
+                        hung = leaves[r]
+                        exact = np.float32 if hung.sum() + len(r) + words < 1 << 18 else np.float64  # up to 64 times these numbers
+                        more = np.bitwise_count(more).astype(exact)
+                        gains[0] += np.ones(len(r), exact) @ more
+                        gains[1] += hung.astype(exact) @ more
+                        more = more @ np.ones(words, exact)
+                    left[r] = missing - more.astype(np.int64)
+                    changed.append(r[more > 0])
+            seen, before = before, seen
+            active = np.sort(np.concatenate(changed)) if changed else active[:0]
+        if len(active):
+            yield gains.astype(np.int64)
+
+
+def _join(seen: np.ndarray, to: np.ndarray, begins: np.ndarray, size: np.ndarray, new: np.ndarray, room: np.ndarray, whole: np.ndarray | None) -> None:
+    """Joins up to 64 neighbours to each of the ``new`` rows, which stand by falling size; with ``whole``, rows that are full after four are left alone."""
+    for k in range(min(int(size[0]), 64)):
+        m = int(np.searchsorted(-size, -k, "left"))
+        if k == 4 and whole is not None and m > 8:
+            live = np.flatnonzero((new[:m] != whole[:m]).any(axis=1))
+            if len(live) < 0.8 * m:
+                if len(live):
+                    rest = new[live]
+                    _join(seen, to, begins[live] + k, size[live] - k, rest, room, None)
+                    new[live] = rest
+                return
+        np.take(seen, to[begins[:m] + k], axis=0, out=room[:m], mode="clip")
+        np.bitwise_or(new[:m], room[:m], out=new[:m])
+
+
+def _joined(seen: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """All sources that have reached some of the rows."""
+    out = np.zeros(seen.shape[1], np.uint64)
+    for k in range(0, len(rows), 1 << 12):
+        out |= np.bitwise_or.reduce(seen[rows[k : k + (1 << 12)]], axis=0)
+    return out
 
 
 def count_paths(edges: np.ndarray, is_source: np.ndarray, part: int, parts: int, words: int, most: int | None) -> dict[int, int]:
-    """Pairs by distance of a share of the sources of a graph, given as pairs of numbers of its nodes."""
-    n, a, b = len(is_source), edges[:, 0], edges[:, 1]
+    """Pairs by distance of a share of the sources of a graph, given as pairs of numbers of its nodes.
+
+    Nodes with one neighbour, that has others, are left out of the search: what lies ``d`` from their neighbour lies ``d + 1`` from them.
+    """
+    a, b = edges[:, 0], edges[:, 1]
+    n = len(is_source)
+    degree, near = np.bincount(np.concatenate([a, b]), minlength=n), np.zeros(n, np.int64)
+    near[a], near[b] = b, a
+    leaf = (degree == 1) & (degree[near] > 1)
+    leaves, told = np.bincount(near[leaf], minlength=n), np.bincount(near[leaf & is_source], minlength=n)
+    inner = ~(leaf[a] | leaf[b])
+    place = np.cumsum(~leaf) - 1
+    a, b, leaves, told, is_source = place[a[inner]], place[b[inner]], leaves[~leaf], told[~leaf], is_source[~leaf]
+    n = len(is_source)
     label = _components(n, a, b)
     degree = np.bincount(np.concatenate([a, b]), minlength=n)
     order = np.lexsort((-degree, label))
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    src, to = np.concatenate([place[a], place[b]]), np.concatenate([place[b], place[a]])
-    to = to[np.argsort(src, kind="stable")].astype(np.int32)
+    a, b = place[a], place[b]
+    src, to = np.divmod(np.sort(np.concatenate([a * n + b, b * n + a])), n)  # in the same order in all tasks; neighbours of high degree first
     first = np.concatenate([[0], np.cumsum(degree[order])])
-    label = label[order]
+    label, leaves, told, is_source = label[order], leaves[order], told[order], is_source[order]
     start = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1], [True]]))
+    reach = np.ones(n)
+    for _ in range(3):
+        reach = np.bincount(src, reach[to], n)
+    width = lambda size: max(1, min(words, TABLE // size))
+    tables = np.empty((2, max(4096 * words, *((end - low) * width(end - low) for low, end in zip(start[:-1], start[1:])))), np.uint64)
     found: dict[int, int] = {}
-    for i, (low, end, sources) in enumerate(_batches(start, is_source[order], lambda size: max(1, min(words, TABLE // size)))):
+    for i, (low, end, sources, word, bit) in enumerate(_batches(start, 2 * told + is_source, reach, width)):
         if i % parts != part:
             continue
         by_degree = low + np.argsort(-(first[low + 1 : end + 1] - first[low:end]), kind="stable")
         here = np.empty(end - low, np.int64)
         here[by_degree - low] = np.arange(end - low)
-        begins = np.concatenate([[0], np.cumsum((first[low + 1 : end + 1] - first[low:end])[by_degree - low])])
-        at = np.repeat(first[by_degree] - begins[:-1], np.diff(begins)) + np.arange(begins[-1])
+        lengths = (first[low + 1 : end + 1] - first[low:end])[by_degree - low]
         component = np.unique(label[by_degree], return_inverse=True)[1]
-        for d, pairs in enumerate(_search(begins, here[to[at] - low], component, here[sources - low], most), 1):
-            found[d] = found.get(d, 0) + pairs
-    return found
+        own, outer = np.zeros((2, int(word.max()) + 1), np.int64)
+        own[word], outer[word] = is_source[sources], told[sources]  # a word's sources are of one kind
+        zero = np.stack([np.bincount(word), np.bincount(word, leaves[sources]).astype(np.int64)])
+        found[2] = found.get(2, 0) - int(told[sources].sum())  # leaves to themselves
+        for d, (nodes, hung) in enumerate([zero, *_search(np.concatenate([[0], np.cumsum(lengths)]), here[to[_ranges(first[by_degree], lengths)] - low], component, here[sources - low], word, bit, leaves[by_degree], most, tables)]):
+            for at, pairs in ((d, nodes @ own), (d + 1, hung @ own + nodes @ outer), (d + 2, hung @ outer)):
+                found[at] = found.get(at, 0) + int(pairs)
+    return {d: pairs for d, pairs in found.items() if pairs and 0 < d and (most is None or d <= most)}
 
 
 def path_counts(edges: DataFrame, words: int = 64, at_once: int = 1 << 11, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pitchlake.operators import algorithms, graph
 from pitchlake.plans.registry import query
 from pitchlake.plans.stats import EDGES_SQL, NODES_SQL, edges, nodes
-from pitchlake.session import table
+from pitchlake.session import checkpoint, table
 
 ANCHORS_SQL = "SELECT DISTINCT player1_id AS id FROM teammate WHERE player1_id IS NOT NULL ORDER BY 1 LIMIT 5"
 TEAM_SQL = "SELECT edge_id AS eid, player1_id AS src, player2_id AS dst FROM teammate WHERE player1_id IS NOT NULL AND player2_id IS NOT NULL"
@@ -147,8 +147,9 @@ def clustering(spark: SparkSession, sf: str) -> DataFrame:
 )
 def small_world(spark: SparkSession, sf: str) -> DataFrame:
     """Small-world test of the whole teammate graph: the mean is over all pairs of ``path_lengths``."""
-    m = graph.path_counts(team(spark, sf)).agg((F.sum(F.col("distance") * F.col("pairs")) / F.sum("pairs")).alias("mean"))
-    c = clustering(spark, sf).filter("coefficient > 0").agg(F.avg("coefficient").alias("cc"))
+    e = checkpoint(graph.undirected(team(spark, sf))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    m = graph.path_counts(e).agg((F.sum(F.col("distance") * F.col("pairs")) / F.sum("pairs")).alias("mean"))
+    c = algorithms.clustering(e).select(F.round("coefficient", 6).alias("coefficient")).filter("coefficient > 0").agg(F.avg("coefficient").alias("cc"))
     return m.join(F.broadcast(c)).select(F.round("mean", 6).alias("mean_path"), F.round("cc", 6).alias("mean_clustering"), ((F.col("mean") < 6) & (F.col("cc") > 0.1)).alias("small_world"))
 
 

@@ -96,6 +96,44 @@ def test_searches_in_parts_and_components():
     assert got == want
 
 
+@pytest.mark.parametrize(("listed", "table", "step"), [(1 << 14, 1 << 24, 1 << 16), (0, 1 << 24, 1 << 16), (0, 1 << 10, 1 << 6), (300, 1 << 10, 1 << 6)])
+@pytest.mark.parametrize("most", [None, 2])
+def test_searches_leave_out_ends(monkeypatch, most, listed, table, step):
+    """A network, a chain, a hub, small components and nodes with one neighbour at all of them; only the others are searched."""
+    import random
+
+    import numpy as np
+
+    from pitchlake.operators import graph
+
+    for name, value in (("LISTED", listed), ("TABLE", table), ("STEP", step)):
+        monkeypatch.setattr(graph, name, value, raising=False)
+    rng = random.Random(5)
+    pairs = {(rng.randrange(150), rng.randrange(150)) for _ in range(400)} | {(i, i + 1) for i in range(149, 190)} | {(0, i) for i in range(40, 140)}
+    pairs |= {(200, 201), (201, 202), (202, 200), (204, 205), (206, 207), (207, 208)} | {(rng.randrange(190), i) for i in range(300, 600)}
+    pairs = sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})
+    near: dict[int, set[int]] = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    is_source, want = np.arange(600) % 3 > 0, {}
+    for s in (s for s in near if is_source[s]):
+        level, reached, d = {s}, {s}, 0
+        while level and d != most:
+            level = {y for x in level for y in near[x]} - reached
+            reached, d = reached | level, d + 1
+            if level:
+                want[d] = want.get(d, 0) + len(level)
+    nodes, search = [], graph._search
+    monkeypatch.setattr(graph, "_search", lambda first, *rest: nodes.append(len(first) - 1) or search(first, *rest))
+    got: dict[int, int] = {}
+    for part in range(3):
+        for d, k in graph.count_paths(np.array(pairs, np.int32), is_source, part, 3, 2, most).items():
+            got[d] = got.get(d, 0) + k
+    assert got == want
+    assert nodes and max(nodes) <= sum(len(x) > 1 for x in near.values()) + 2 + 600 - len(near)
+
+
 @pytest.mark.parametrize("most", [3, 1])
 def test_hot_self_join_shuffles_no_pairs(spark, monkeypatch, most):
     import random
