@@ -93,7 +93,7 @@ def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
 
 
 #: Pairs of numbers in a row of the shuffle; tasks among which the sources of a search are dealt at most; words of 64 sources in a table of nodes, and in a step over it; pairs that a level may list in any case.
-CHUNK, SEARCHES, TABLE, STEP, LISTED = 1 << 15, 24, 1 << 24, 1 << 16, 1 << 14
+CHUNK, SEARCHES, TABLE, STEP, LISTED = 1 << 15, 24, 3 << 22, 1 << 16, 1 << 14
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def _search(first: np.ndarray, to: np.ndarray, component: np.ndarray, sources: n
                         new = old.copy()
                         for k in range(min(int(size[0]), 64)):
                             m = int(np.searchsorted(-sizes, -k, "left"))
-                            new[:m] |= flat[to[starts[:m] + k] * words + at[:m]]
+                            new[:m] |= flat[to[starts[:m] + k] * np.int64(words) + at[:m]]
                         for j in range(hubs):
                             new[i == j] |= _joined(seen, to[begins[j] : begins[j] + size[j]])[at[i == j]]
                         before[r] = seen[r]
@@ -291,29 +291,36 @@ def count_paths(edges: np.ndarray, is_source: np.ndarray, part: int, parts: int,
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     a, b = place[a], place[b]
-    src, to = np.divmod(np.sort(np.concatenate([a * n + b, b * n + a])), n)  # in the same order in all tasks; neighbours of high degree first
+    to = np.concatenate([a * n + b, b * n + a])
+    del a, b, inner
+    to.sort()  # the same order in all tasks; neighbours of high degree first
+    to = (to % n).astype(np.int32)
     first = np.concatenate([[0], np.cumsum(degree[order])])
-    label, leaves, told, is_source = label[order], leaves[order], told[order], is_source[order]
+    degree, label, leaves, told, is_source = degree[order], label[order], leaves[order], told[order], is_source[order]
     start = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1], [True]]))
     reach = np.ones(n)
     for _ in range(3):
-        reach = np.bincount(src, reach[to], n)
+        reach = np.diff(np.concatenate([[0], np.cumsum(reach[to])])[first])
     width = lambda size: max(1, min(words, TABLE // size))
     tables = np.empty((2, max(4096 * words, *((end - low) * width(end - low) for low, end in zip(start[:-1], start[1:])))), np.uint64)
     found: dict[int, int] = {}
     for i, (low, end, sources, word, bit) in enumerate(_batches(start, 2 * told + is_source, reach, width)):
         if i % parts != part:
             continue
-        by_degree = low + np.argsort(-(first[low + 1 : end + 1] - first[low:end]), kind="stable")
-        here = np.empty(end - low, np.int64)
-        here[by_degree - low] = np.arange(end - low)
-        lengths = (first[low + 1 : end + 1] - first[low:end])[by_degree - low]
-        component = np.unique(label[by_degree], return_inverse=True)[1]
+        lengths, near, component = degree[low:end], to[first[low] : first[end]] - np.int32(low), np.unique(label[low:end], return_inverse=True)[1]
+        if component[-1]:  # together by degree
+            by_degree = np.argsort(-lengths, kind="stable")
+            here = np.empty(end - low, np.int32)
+            here[by_degree] = np.arange(end - low)
+            near = here[near[_ranges((first[low:end] - first[low])[by_degree], lengths[by_degree])]]
+            lengths, component = lengths[by_degree], component[by_degree]
+        else:
+            by_degree = here = np.arange(end - low)
         own, outer = np.zeros((2, int(word.max()) + 1), np.int64)
         own[word], outer[word] = is_source[sources], told[sources]  # a word's sources are of one kind
         zero = np.stack([np.bincount(word), np.bincount(word, leaves[sources]).astype(np.int64)])
         found[2] = found.get(2, 0) - int(told[sources].sum())  # leaves to themselves
-        for d, (nodes, hung) in enumerate([zero, *_search(np.concatenate([[0], np.cumsum(lengths)]), here[to[_ranges(first[by_degree], lengths)] - low], component, here[sources - low], word, bit, leaves[by_degree], most, tables)]):
+        for d, (nodes, hung) in enumerate([zero, *_search(np.concatenate([[0], np.cumsum(lengths)]), near, component, here[sources - low].astype(np.int64), word, bit, leaves[low + by_degree], most, tables)]):
             for at, pairs in ((d, nodes @ own), (d + 1, hung @ own + nodes @ outer), (d + 2, hung @ outer)):
                 found[at] = found.get(at, 0) + int(pairs)
     return {d: pairs for d, pairs in found.items() if pairs and 0 < d and (most is None or d <= most)}
@@ -333,29 +340,35 @@ def path_counts(edges: DataFrame, words: int = 64, at_once: int = 1 << 11, sourc
     n = nodes.count()
     parts = max(1, min(SEARCHES, -(-n // at_once)))
     numbered = pairs.join(nodes.select(F.col("id").alias("a"), F.col("no").alias("x")), "a").join(nodes.select(F.col("id").alias("b"), F.col("no").alias("y")), "b").select("x", "y")
-    # a source is told as an edge to itself
-    told = (nodes if sources is None else nodes.join(sources.select("id").distinct(), "id", "left_semi")).select(F.col("no").alias("x"), F.col("no").alias("y"))
+    if sources is not None:  # each is told as an edge to itself; else all nodes are sources
+        told = nodes.join(sources.select("id").distinct(), "id", "left_semi").select(F.col("no").alias("x"), F.col("no").alias("y"))
+        numbered = numbered.unionByName(told)
+    every = sources is None
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xy = np.stack([c.to_numpy().astype(np.int32) for c in batch.columns], axis=1)
-            for i in range(0, len(xy), CHUNK):
-                yield pa.RecordBatch.from_pydict({"xy": [xy[i : i + CHUNK].tobytes()]}, schema=pa.schema({"xy": pa.binary()}))
+            xy = xy[np.argsort(xy[:, 0])]
+            for i in range(0, len(xy), CHUNK):  # first bytes, second bytes and so on: so they compress
+                yield pa.RecordBatch.from_pydict({"xy": [xy[i : i + CHUNK].view(np.uint8).reshape(-1, 8).T.tobytes()]}, schema=pa.schema({"xy": pa.binary()}))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for part, v in zip(batch.column("part").to_pylist(), batch.column("xy")):
-                shares.setdefault(part, []).append(np.frombuffer(v.as_py(), np.int32).reshape(-1, 2))
-        for part, chunks in shares.items():
-            xy = np.concatenate(chunks)
-            loops = xy[:, 0] == xy[:, 1]
-            is_source = np.zeros(n, bool)
-            is_source[xy[loops, 0]] = True
-            found = count_paths(xy[~loops], is_source, part, parts, words, most)
+                shares.setdefault(part, []).append(np.ascontiguousarray(np.frombuffer(v.as_py(), np.uint8).reshape(8, -1).T).view(np.int32))
+        while shares:
+            part, chunks = shares.popitem()
+            xy, is_source = np.concatenate(chunks), np.full(n, every)
+            del chunks
+            if not every:
+                loops = xy[:, 0] == xy[:, 1]
+                is_source[xy[loops, 0]] = True
+                xy = xy[~loops]
+            found = count_paths(xy, is_source, part, parts, words, most)
             yield pa.RecordBatch.from_pydict({"distance": list(found), "pairs": list(found.values())}, schema=pa.schema({"distance": pa.int32(), "pairs": pa.int64()}))
 
-    packed = numbered.unionByName(told).mapInArrow(pack, "xy binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    packed = numbered.mapInArrow(pack, "xy binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     found = packed.repartitionById(parts, F.col("part")).mapInArrow(search, "distance int, pairs bigint")
     return found.groupBy("distance").agg(F.sum("pairs").alias("pairs"))
 
